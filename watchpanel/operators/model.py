@@ -16,6 +16,7 @@ from watchpanel.operators.evaluate import regression_metrics
 from watchpanel.operators.ordering import with_position
 from watchpanel.operators.panel import KEYS
 from watchpanel.params import ModelParams
+from watchpanel.sources.storage import materialize
 
 TARGET = "y_label_value"
 
@@ -65,7 +66,8 @@ def balanced_sample(df: DataFrame, zero_ratio: float, seed: int, target: str = T
             zero.withColumn("_spread", _spread(seed)), ["_spread", *KEYS], "_place"
         )
         zero = placed.where(F.col("_place") < wanted).drop("_spread", "_place")
-    return positive.unionByName(zero)
+    # read many times by the trainer: computed once, kept in shared storage
+    return materialize(positive.unionByName(zero))
 
 
 def fit_regressor(

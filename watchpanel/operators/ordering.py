@@ -32,35 +32,35 @@ def with_running_total(
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
     rows = materialize(
-        df.withColumn("_weight", F.col(weight) if isinstance(weight, str) else weight)
+        df.withColumn("_ordering_weight", F.col(weight) if isinstance(weight, str) else weight)
         .repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_range", F.spark_partition_id())
+        .withColumn("_ordering_range", F.spark_partition_id())
         # grows with the order inside a sorted partition
-        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn("_ordering_place", F.monotonically_increasing_id())
     )
     earlier = (
         Window.partitionBy(*[F.col(g) for g in group])
-        .orderBy("_range")
+        .orderBy("_ordering_range")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     # one row per range and group met in it: at most (ranges + groups) rows
     starts = (
-        rows.groupBy("_range", *group)
-        .agg(F.sum("_weight").alias("_sum"))
-        .withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-        .drop("_sum")
+        rows.groupBy("_ordering_range", *group)
+        .agg(F.sum("_ordering_weight").alias("_ordering_sum"))
+        .withColumn("_ordering_start", F.coalesce(F.sum("_ordering_sum").over(earlier), F.lit(0)))
+        .drop("_ordering_sum")
     )
     inside = (
-        Window.partitionBy("_range", *group)
-        .orderBy("_place")
+        Window.partitionBy("_ordering_range", *group)
+        .orderBy("_ordering_place")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.withColumn("_inside", F.sum("_weight").over(inside))
-        .join(F.broadcast(starts), ["_range", *group])
-        .withColumn(out, F.col("_start") + F.col("_inside"))
-        .drop("_range", "_place", "_weight", "_inside", "_start")
+        rows.withColumn("_ordering_inside", F.sum("_ordering_weight").over(inside))
+        .join(F.broadcast(starts), ["_ordering_range", *group])
+        .withColumn(out, F.col("_ordering_start") + F.col("_ordering_inside"))
+        .drop("_ordering_range", "_ordering_place", "_ordering_weight", "_ordering_inside", "_ordering_start")
     )
 
 
