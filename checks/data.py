@@ -47,7 +47,7 @@ PHRASES = PhraseRules(
         "audit": (1, ("thanedble",), ("tion the", "nicht"), ("erth",)),
         "debt": (2, ("que la",), ("ouen",), ("lich", "worthless")),
     },
-    negations=("not ", "no ", "with ", "pas "),
+    negations=("not", "sans", "with", "pas"),
     disclaimers=("attion to thanedble the", "to thanedble", "the anea Eriner", "ouen the"),
 )
 

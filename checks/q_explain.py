@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.data import PHRASES, documents, sql, sql_strip
 from checks.registry import query
 from watchpanel.functions.phrases import phrase_applies
-from watchpanel.operators.explain import explain, with_main_type, with_risk_types, with_sentence
+from watchpanel.operators.explain import explain, risk_type_rows, with_main_type, with_risk_types, with_sentence
 
 
 def _list(items) -> str:
@@ -82,10 +82,8 @@ def phrase_hits(spark, sf):
 )
 def risk_categories(spark, sf):
     df = with_risk_types(documents(spark, sf), "content", rules=PHRASES)
-    return df.select("id", F.posexplode("risk_types").alias("i", "r")).select(
-        "id", "r.risk_type", "r.risk_level",
-        F.array_join("r.matched_keywords", "、").alias("matched_keywords"),
-        (F.col("i") + 1).alias("place"),
+    return risk_type_rows(df.select("id", "risk_types")).withColumn(
+        "matched_keywords", F.array_join("matched_keywords", "、")
     )
 
 

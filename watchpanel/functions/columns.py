@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from watchpanel import fixed_values as fv
 
-# Space characters that Python's str.strip() removes; Spark's trim() only removes U+0020.
-_SPACE = r"[\s\x1c-\x1f]"
+# Characters of the Unicode White_Space property and the four separators U+001C..U+001F;
+# trim() on its own removes U+0020 only.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 DATE_FORMATS = (
     "yyyy-MM-dd",
@@ -30,8 +35,8 @@ def as_column(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove white space of any kind at both ends."""
-    return F.regexp_replace(as_column(c), rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
+    """Remove white space of any kind at both ends; only the ends are looked at."""
+    return F.trim(as_column(c), F.lit(SPACES))
 
 
 def normalize_code(c: Column | str, *, cut: bool = True, pad: bool = True) -> Column:

@@ -41,6 +41,12 @@ class PhraseRules:
     disclaimers: Sequence[str] = fv.DISCLAIMERS
     reach: int = fv.NEGATION_REACH
 
+    def needs_strip(self) -> bool:
+        """Whether white space around the text could matter: only to words that have some."""
+        phrases = [p for v in self.categories.values() for group in v[1:] for p in group]
+        words = [*phrases, *self.negations, *self.disclaimers]
+        return any(w != w.strip() for w in words)
+
     def ordered_categories(self) -> list[tuple[str, int]]:
         return sorted(((c, v[0]) for c, v in self.categories.items()), key=lambda x: x[1])
 

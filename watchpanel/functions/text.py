@@ -22,7 +22,8 @@ def clean_text(c: Column | str) -> Column:
     """Null and 'nan' become empty; runs of blanks and of line breaks shrink to one."""
     text = strip(F.coalesce(as_column(c).cast("string"), F.lit("")))
     text = F.when(F.lower(text) == "nan", F.lit("")).otherwise(text)
-    text = F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
+    # lone blanks are left alone instead of being replaced by themselves
+    text = F.regexp_replace(text, r"[\t\r\f\x0B][ \t\r\f\x0B]*| [ \t\r\f\x0B]+", " ")
     return strip(F.regexp_replace(text, r"\n{2,}", "\n"))
 
 

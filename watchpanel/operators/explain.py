@@ -21,9 +21,11 @@ def with_risk_types(
     as many elements as it has phrases, already in its final order.
     """
     categories = rules.ordered_categories()
-    staged = df.withColumn("_t", strip(F.coalesce(F.col(text), F.lit(""))))
-    for i, (category, _) in enumerate(categories):
-        staged = staged.withColumn(f"_hits{i}", category_hits("_t", category, rules))
+    # null texts have no hits; without the strip, phrases are looked for in the column itself
+    source = strip(text) if rules.needs_strip() else F.col(text)
+    staged = df.withColumn("_t", source).withColumns(
+        {f"_hits{i}": category_hits("_t", c, rules) for i, (c, _) in enumerate(categories)}
+    )
     found = [
         F.when(
             F.size(f"_hits{i}") > 0,
@@ -40,6 +42,20 @@ def with_risk_types(
     )
 
 
+def risk_type_rows(df: DataFrame, types: str = "risk_types") -> DataFrame:
+    """One row per category found, with its 1-based `place`, instead of the array.
+
+    The outer form of explode keeps the optimizer from filtering on the array, which would
+    evaluate all phrase rules once more below.
+    """
+    keep = [c for c in df.columns if c != types]
+    return (
+        df.select(*keep, F.posexplode_outer(types).alias("_i", "_r"))
+        .where(F.col("_i").isNotNull())
+        .select(*keep, "_r.*", (F.col("_i") + 1).alias("place"))
+    )
+
+
 def _severity(level: Column) -> Column:
     return F.when(level == "high", F.lit(0)).when(level == "medium", F.lit(1)).otherwise(F.lit(2))
 

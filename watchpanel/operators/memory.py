@@ -58,41 +58,59 @@ def decay_memory(
         inside = F.col("date").between(F.lit(output[0]), F.lit(output[1]))
         counted = F.col("date") <= F.lit(output[1]) if warmup else inside
 
-    for i, name in enumerate(values):
+    def usable(name: str) -> Column:
         v = F.col(name).cast("double")
-        usable = counted & v.isNotNull() & ~F.isnan(v) & (v > 0)
-        best = F.when(usable, F.struct((v + d * day).alias("k"), v.alias("v"), day.alias("t")))
-        rows = rows.withColumn(f"_best{i}", F.max(best).over(w))
-    for i, name in enumerate(values):
+        return counted & v.isNotNull() & ~F.isnan(v) & (v > 0)
+
+    def best_so_far(name: str) -> Column:
         v = F.col(name).cast("double")
-        best = F.col(f"_best{i}")
-        # the same window as above: no further sort or shuffle
-        last = F.lag(f"_best{i}").over(w)
-        level = best["v"] - d * (day - best["t"])
-        weak = best.isNull() | (level < keep - _TOLERANCE)
-        gap_level = last["v"] - d * (day - 1 - last["t"])
-        died = last.isNull() | (gap_level < keep - _TOLERANCE) | (gap_level - d <= 0)
-        entered = counted & v.isNotNull() & ~F.isnan(v) & (v > 0) & (v >= enter)
-        rows = (
-            rows.withColumn(f"_level{i}", level)
-            .withColumn(f"_weak{i}", weak)
-            .withColumn(f"_cut{i}", weak | died)
-            .withColumn(f"_enter{i}", entered)
+        here = F.struct((v + d * day).alias("k"), v.alias("v"), day.alias("t"))
+        return F.max(F.when(usable(name), here)).over(w)
+
+    def interrupted(i: int) -> Column:
+        """The level of today, or of some day since the last row, is too low."""
+        best, last = F.col(f"_best{i}"), F.lag(f"_best{i}").over(w)
+        yesterday = last["v"] - d * (day - 1 - last["t"])
+        return (
+            best.isNull()
+            | (F.col(f"_level{i}") < keep - _TOLERANCE)
+            | last.isNull()
+            | (yesterday < keep - _TOLERANCE)
+            | (yesterday - d <= 0)
         )
-    for i in range(len(values)):
-        last_cut = F.max(F.when(F.col(f"_cut{i}"), day)).over(w)
-        last_enter = F.max(F.when(F.col(f"_enter{i}"), day)).over(w)
-        rows = rows.withColumn(f"_last_cut{i}", last_cut).withColumn(f"_last_enter{i}", last_enter)
-    for i, out in enumerate(values.values()):
+
+    names = list(enumerate(values))
+    rows = rows.withColumns({f"_best{i}": best_so_far(name) for i, name in names})
+    rows = rows.withColumns(
+        {f"_level{i}": F.col(f"_best{i}.v") - d * (day - F.col(f"_best{i}.t")) for i, _ in names}
+    )
+    # the same window throughout: one sort and one shuffle
+    rows = rows.withColumns({f"_cut{i}": interrupted(i) for i, _ in names})
+    rows = rows.withColumns(
+        {
+            **{f"_last_cut{i}": F.max(F.when(F.col(f"_cut{i}"), day)).over(w) for i, _ in names},
+            **{
+                f"_last_enter{i}": F.max(
+                    F.when(usable(name) & (F.col(name).cast("double") >= enter), day)
+                ).over(w)
+                for i, name in names
+            },
+        }
+    )
+
+    def state(i: int) -> Column:
+        level = F.col(f"_level{i}")
         alive = (
-            ~F.col(f"_weak{i}")
-            & inside
+            inside
+            & (level >= keep - _TOLERANCE)
             & (F.col(f"_last_enter{i}") >= F.coalesce(f"_last_cut{i}", F.lit(-(2**31))))
         )
-        state = F.greatest(F.col(f"_level{i}"), F.lit(0.0))
-        rows = rows.withColumn(out, F.when(alive, state).otherwise(F.lit(0.0)))
-    helper = [c for c in rows.columns if c.startswith(("_best", "_level", "_weak", "_cut", "_enter", "_last_"))]
-    return rows.drop("_day", *helper)
+        return F.when(alive, F.greatest(level, F.lit(0.0))).otherwise(F.lit(0.0))
+
+    helpers = [f"{p}{i}" for i, _ in names for p in ("_best", "_level", "_cut", "_last_cut", "_last_enter")]
+    return rows.withColumns({out: state(i) for i, out in enumerate(values.values())}).drop(
+        "_day", *helpers
+    )
 
 
 def memory_days(

@@ -36,6 +36,7 @@ from watchpanel.operators.panel import (
 from watchpanel.operators.scoring import Scorer, place_results, score_texts, scoring_results
 from watchpanel.operators.watchlist import model_flags
 from watchpanel.params import MODEL_PREFILTER, ModelParams, PrefilterParams, TextParams
+from watchpanel.sources.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,8 @@ def mark_prediction_only(df: DataFrame, params: ModelParams) -> DataFrame:
 
 def run(scores: DataFrame, labels: DataFrame, params: ModelParams) -> ModelResult:
     """Train on the training period and flag every row of both periods."""
-    frame = feature_frame(scores, labels, params)
+    # read for counting, splitting, sampling, training and scoring: computed once
+    frame = materialize(feature_frame(scores, labels, params))
     features = feature_columns()
     training = in_range(frame, params.train_start, params.train_end)
     model, metrics = train(training, features, params)
