@@ -184,7 +184,7 @@ def balanced(spark, sf):
     "model_listing_flags",
     sql(
         """select l.entity, l.date, 0 as predicted_label_empty, l.y_label_empty as predicted_st,
-             case when l.y_label_empty = 0 and cast(d.v / 100 as real) >= cast(0.3 as double) then 1 else 0 end as predicted_blacklist
+             case when l.y_label_empty = 0 and cast(d.v / 100 as real) >= cast(0.3 as real) then 1 else 0 end as predicted_blacklist
            from labelled l join dense d using (entity, date)""",
         "panel", "urgency", "dense", extra=_FILE,
     ),
@@ -249,7 +249,7 @@ _EVAL = {
     "ev": """
       select u.entity, u.date, u.y_status, case when a.entity is not null and u.y_status = 0 then 1 else 0 end as effective,
         case when a.entity is not null and u.y_status = 0
-          and coalesce(cast(cast(u.label as real) as double) between 1.0 / 20 and 1.0, false) then 1 else 0 end as correct
+          and coalesce(cast(u.label as real) between cast(1.0 / 20 as real) and cast(1.0 as real), false) then 1 else 0 end as correct
       from urgency u left join alive a using (entity, date)""",
     "ev_days": """select date, sum(effective) as listed_cnt, sum(correct) as correct_cnt, sum(y_status) as status_cnt from ev group by 1""",
     "ev_hits": """select e.entity, e.date, max(case when b.entity is not null then 1 else 0 end) as hit
@@ -295,9 +295,9 @@ _TH = ", ".join(f"({t})" for t in THRESHOLDS)
              round(coalesce(avg(case when listed_cnt > 0 then correct_cnt / listed_cnt end), 0)
                - avg((listed_cnt - correct_cnt) / (5400 - status_cnt - correct_cnt)), 6) as objective
            from (select t.threshold, u.date,
-               count(*) filter (u.y_status = 0 and d.v / 100 >= t.threshold) as listed_cnt,
-               count(*) filter (u.y_status = 0 and d.v / 100 >= t.threshold
-                 and coalesce(cast(cast(u.label as real) as double) between 1.0 / 20 and 1.0, false)) as correct_cnt,
+               count(*) filter (u.y_status = 0 and cast(d.v / 100 as real) >= cast(t.threshold as real)) as listed_cnt,
+               count(*) filter (u.y_status = 0 and cast(d.v / 100 as real) >= cast(t.threshold as real)
+                 and coalesce(cast(u.label as real) between cast(1.0 / 20 as real) and cast(1.0 as real), false)) as correct_cnt,
                count(*) filter (u.y_status = 1) as status_cnt
              from urgency u join dense d using (entity, date) cross join th t group by 1, 2) group by 1""",
         "urgency", "dense", extra={"th": f"select cast(t as double) as threshold from (values {_TH}) as x(t)"},

@@ -509,7 +509,7 @@ _BAND = {
       select u.entity, u.date, u.y_status,
         case when a.entity is not null and u.y_status = 0 then 1 else 0 end as effective,
         case when a.entity is not null and u.y_status = 0
-          and coalesce(cast(cast(u.label as real) as double) between 1.0 / 20 and 1.0, false) then 1 else 0 end as correct
+          and coalesce(cast(u.label as real) between cast(1.0 / 20 as real) and cast(1.0 as real), false) then 1 else 0 end as correct
       from urgency u left join alive a using (entity, date)""",
 }
 

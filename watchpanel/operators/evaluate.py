@@ -45,15 +45,19 @@ def matched_days(matches: DataFrame) -> DataFrame:
     )
 
 
+def in_label_band(label: str, min_lead: int, horizon: int) -> Column:
+    """Whether 1/horizon <= label <= 1/min_lead, compared in float precision; null is not."""
+    low = F.lit(1.0 / horizon if horizon > 0 else float("inf")).cast("float")
+    high = F.lit(1.0 / min_lead if min_lead > 0 else float("inf")).cast("float")
+    return F.coalesce(F.col(label).cast("float").between(low, high), F.lit(False))
+
+
 def label_band_correct(
     df: DataFrame, *, min_lead: int, horizon: int, label: str = "st_label_value"
 ) -> DataFrame:
     """Add `correct`: listed, not in-status, and the label within the band, in float precision."""
-    low = F.lit(1.0 / horizon if horizon > 0 else float("inf"))
-    high = F.lit(1.0 / min_lead if min_lead > 0 else float("inf"))
-    value = F.col(label).cast("float").cast("double")
     effective = (F.col("predicted_listing") == 1) & (F.col("y_status") == 0)
-    correct = effective & F.coalesce(value.between(low, high), F.lit(False))
+    correct = effective & in_label_band(label, min_lead, horizon)
     return df.withColumn("effective", effective.cast("int")).withColumn(
         "correct", correct.cast("int")
     )
@@ -84,7 +88,7 @@ def event_recall(
     )
 
 
-def _daily_ratios(counts: DataFrame, market_n: int) -> DataFrame:
+def with_daily_ratios(counts: DataFrame, market_n: int) -> DataFrame:
     listed, correct, status = F.col("listed_cnt"), F.col("correct_cnt"), F.col("status_cnt")
     others = F.lit(market_n) - status - correct
     return counts.withColumn(
@@ -122,7 +126,7 @@ def daily_metrics(
     filled = days.join(counts, "date", "left").select(
         "date", *[F.coalesce(n, F.lit(0)).alias(n) for n in names]
     )
-    return _daily_ratios(filled, market_n)
+    return with_daily_ratios(filled, market_n)
 
 
 def daily_metrics_from_panel(df: DataFrame, market_n: int) -> DataFrame:
@@ -132,7 +136,7 @@ def daily_metrics_from_panel(df: DataFrame, market_n: int) -> DataFrame:
         F.count_if(F.col("correct") == 1).alias("correct_cnt"),
         F.count_if(F.col("y_status") == 1).alias("status_cnt"),
     )
-    return _daily_ratios(counts, market_n)
+    return with_daily_ratios(counts, market_n)
 
 
 def overall_metrics(daily: DataFrame, events: DataFrame, settings: dict | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchpanel.operators.evaluate import _daily_ratios
+from watchpanel.operators.evaluate import in_label_band, with_daily_ratios
 from watchpanel.operators.memory import memory_days
 from watchpanel.operators.panel import KEYS, calendar, in_range
 from watchpanel.params import ModelParams
@@ -100,7 +100,7 @@ def sweep_rules(
             {c: F.coalesce(c, F.lit(0)) for c in ("listed_cnt", "correct_cnt", "status_cnt")}
         )
     )
-    means = _daily_ratios(daily, market_n).groupBy("grid_id", "entry", "retain", "decay").agg(
+    means = with_daily_ratios(daily, market_n).groupBy("grid_id", "entry", "retain", "decay").agg(
         F.avg("listed_cnt").alias("avg_list_size"),
         F.avg("daily_acc").alias("acc"),
         F.avg("daily_fpr").alias("fpr"),
@@ -132,18 +132,18 @@ def sweep_thresholds(
     shuffled.
     """
     points = sorted(float(t) for t in thresholds)
-    value = F.col("st_label_value").cast("float").cast("double")
-    band = value.between(F.lit(1.0 / horizon), F.lit(1.0 / min_lead))
+    band = in_label_band("st_label_value", min_lead, horizon)
+    predicted = F.col("predicted_label_value").cast("float")
     reached = F.array_compact(
-        F.array(*[F.when(F.col("predicted_label_value") >= t, F.lit(t)) for t in points])
+        F.array(*[F.when(predicted >= F.lit(t).cast("float"), F.lit(t)) for t in points])
     )
     listed = (
-        scored.where((F.col("y_status") == 0) & (F.col("predicted_label_value") >= points[0]))
+        scored.where((F.col("y_status") == 0) & (predicted >= F.lit(points[0]).cast("float")))
         .select("date", band.alias("band"), F.explode(reached).alias("threshold"))
         .groupBy("threshold", "date")
         .agg(
             F.count(F.lit(1)).alias("listed_cnt"),
-            F.count_if(F.coalesce("band", F.lit(False))).alias("correct_cnt"),
+            F.count_if("band").alias("correct_cnt"),
         )
     )
     days = scored.groupBy("date").agg(F.count_if(F.col("y_status") == 1).alias("status_cnt"))
@@ -151,7 +151,7 @@ def sweep_thresholds(
     daily = skeleton.join(listed, ["threshold", "date"], "left").withColumns(
         {c: F.coalesce(c, F.lit(0)) for c in ("listed_cnt", "correct_cnt")}
     )
-    means = _daily_ratios(daily, market_n).groupBy("threshold").agg(
+    means = with_daily_ratios(daily, market_n).groupBy("threshold").agg(
         F.avg("listed_cnt").alias("avg_list_size"),
         F.avg("daily_acc").alias("acc"),
         F.avg("daily_fpr").alias("fpr"),

@@ -156,7 +156,8 @@ def model_flags(df: DataFrame, threshold: float) -> DataFrame:
     """Add the listing flag (not in-status and predicted at or above the threshold) and the
     observed in-status flag."""
     empty = F.coalesce("y_label_empty", F.lit(0))
-    listed = (empty == 0) & (F.col("predicted_label_value") >= F.lit(threshold))
+    reached = F.col("predicted_label_value").cast("float") >= F.lit(threshold).cast("float")
+    listed = (empty == 0) & reached
     return (
         df.withColumn("predicted_label_empty", F.lit(0))
         .withColumn("predicted_label", F.col("predicted_label_value"))
