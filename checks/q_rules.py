@@ -453,12 +453,12 @@ def trace(spark, sf):
     ),
 )
 def run_matches(spark, sf):
-    return result(spark, sf).matches
+    return result(spark, sf).evaluation.matches
 
 
 @query("correct_listing_days", sql("select entity, date from correct", "correct"))
 def correct_days(spark, sf):
-    return ev.matched_days(result(spark, sf).matches)
+    return ev.matched_days(result(spark, sf).evaluation.matches)
 
 
 @query(
@@ -470,7 +470,7 @@ def correct_days(spark, sf):
     ),
 )
 def daily_metrics(spark, sf):
-    return result(spark, sf).daily.select(
+    return result(spark, sf).evaluation.daily.select(
         "date", "listed_cnt", "correct_cnt", "status_cnt", r6("daily_acc"), r6("daily_fpr")
     )
 
@@ -488,7 +488,7 @@ OVERALL_SQL = sql(
 
 @query("overall_metrics", OVERALL_SQL)
 def overall(spark, sf):
-    m = result(spark, sf).metrics
+    m = result(spark, sf).evaluation.metrics
     return m.select(
         r6("acc"), r6("fpr"), r6("avg_list_size"), "total_events", "hit_events", r6("recall")
     )

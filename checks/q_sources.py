@@ -229,7 +229,7 @@ def peek(spark, sf):
 @query("metrics_json", OVERALL_SQL)
 def metrics_json(spark, sf):
     latest, run = scratch_path(spark, "metrics"), scratch_path(spark, "run")
-    wr.write_metrics(result(spark, sf).metrics, latest, run)
+    wr.write_metrics(result(spark, sf).evaluation.metrics, latest, run)
     m = spark.read.json(run)
     return m.select(r6("acc"), r6("fpr"), r6("avg_list_size"), "total_events", "hit_events", r6("recall"))
 
@@ -240,7 +240,7 @@ def metrics_json(spark, sf):
 )
 def daily_csv(spark, sf):
     path = scratch_path(spark, "daily")
-    wr.write_csv(result(spark, sf).daily, path)
+    wr.write_csv(result(spark, sf).evaluation.daily, path)
     back = spark.read.csv(path, header=True)
     return back.select(
         F.to_date("date").alias("date"),
@@ -305,7 +305,7 @@ def label_document(spark, sf):
     labels = urgency_labels(status_panel(spark, sf), status_intervals(spark, sf)).withColumn(
         "empty", (F.col("y_status") == 1).cast("int")
     )
-    wr.write_day_objects(wl.label_maps(wl.label_rows(labels, "label", "empty"), parts=4), path)
+    wr.write_day_objects(wl.label_maps(wl.label_rows(labels, "label", "empty"), part_size=60), path)
     back = spark.read.schema("date date, part int, labels map<string,double>").json(path)
     return back.select("date", F.explode("labels").alias("entity", "label")).select(*KEYS, r6("label"))
 

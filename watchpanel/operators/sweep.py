@@ -13,6 +13,7 @@ from watchpanel.operators.evaluate import in_label_band, with_daily_ratios
 from watchpanel.operators.memory import memory_days
 from watchpanel.operators.panel import KEYS, calendar, in_range
 from watchpanel.params import ModelParams
+from watchpanel.sources.storage import materialize
 
 # Default search ranges of the model sweep
 SEARCH_RANGES = {
@@ -67,7 +68,9 @@ def sweep_rules(
         decay="decay", entry="entry", retain="retain", end=output[1], keys=keys,
     )
     # one copy of the status table, shared by all grid points
-    listed = alive.join(status_days.select(*KEYS), KEYS, "left_anti").select("grid_id", *KEYS)
+    listed = materialize(
+        alive.join(status_days.select(*KEYS), KEYS, "left_anti").select("grid_id", *KEYS)
+    )
     island = F.date_sub("date", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
     runs = (
         listed.withColumn("_island", island)
@@ -105,7 +108,8 @@ def sweep_rules(
         F.avg("daily_acc").alias("acc"),
         F.avg("daily_fpr").alias("fpr"),
     )
-    hits = matches.groupBy("grid_id").agg(F.count_distinct("entity", "event_date").alias("hit_events"))
+    # runs of an entity do not touch, so an event is matched by one run at most
+    hits = matches.groupBy("grid_id").agg(F.count(F.lit(1)).alias("hit_events"))
     total = counted.count()
     return means.join(hits, "grid_id", "left").select(
         "grid_id", "entry", "retain", "decay", "avg_list_size", "acc", "fpr",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,8 +142,14 @@ def label_rows(df: DataFrame, value: str, empty: str) -> DataFrame:
     return df.select("date", "entity", label.alias("label"))
 
 
-def label_maps(rows: DataFrame, parts: int = 1) -> DataFrame:
-    """`date, part, labels`: entity to label maps, a day split by entity into `parts` maps."""
+def label_maps(rows: DataFrame, part_size: int = 100_000) -> DataFrame:
+    """`date, part, labels`: entity to label maps of about `part_size` entries at most.
+
+    The number of parts comes from the largest day; an entity is met once per day, so its hash
+    spreads the entries evenly.
+    """
+    largest = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    parts = max(1, math.ceil((largest or 0) / part_size))
     part = F.pmod(F.xxhash64("entity"), F.lit(parts)).cast("int")
     pairs = F.array_sort(F.collect_list(F.struct("entity", "label")))
     return (

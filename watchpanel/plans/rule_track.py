@@ -6,8 +6,10 @@ memory, in-status days.  The dense entity-by-day panel is never built here.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,31 +20,90 @@ from watchpanel.operators.documents import daily_text, lookback_text, select_pla
 from watchpanel.operators.evaluate import daily_metrics, match_runs, matched_days, overall_metrics
 from watchpanel.operators.intervals import entry_days, status_days_any, status_days_as_of
 from watchpanel.operators.memory import cut_stale, forward_fill, memory_days
-from watchpanel.operators.panel import KEYS, dense_panel, universe
+from watchpanel.operators.panel import KEYS, dense_panel, in_range, universe
 from watchpanel.operators.scoring import KeywordScorer, Scorer, place_results, score_texts, scoring_results
 from watchpanel.operators.watchlist import listed_rows, ranked, reasoned_rows
 from watchpanel.params import RuleParams
+from watchpanel.sources.storage import materialize
 
 
-@dataclass(frozen=True)
-class RuleResult:
-    """Lazy tables of one run."""
+@dataclass
+class RuleRun:
+    """One run: days with a live memory, in-status days, and what follows from them on demand."""
 
     alive: DataFrame
     status_days: DataFrame
-    events: DataFrame
-    listed: DataFrame
-    matches: DataFrame
-    daily: DataFrame
-    metrics: DataFrame
+    params: RuleParams
+    panel_start: dt.date
+
+    @property
+    def output(self) -> tuple[dt.date, dt.date]:
+        return self.params.output_start, self.params.output_end
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        """`entity, date, score` of the listed days."""
+        return listed_rows(
+            self.alive,
+            self.params.retain,
+            top_k=self.params.top_k,
+            status_days=self.status_days,
+            output=self.output,
+        ).select(*KEYS, "score")
 
     def watchlist(self) -> DataFrame:
         """`date, rank, entity, score`."""
-        return ranked(self.listed.select(*KEYS, "score"))
+        return ranked(self.listed)
 
     def reasoned(self, daily: DataFrame) -> DataFrame:
+        """The watchlist with integer scores and the text of the day."""
         return reasoned_rows(self.watchlist(), daily)
 
+    @cached_property
+    def evaluation(self) -> RuleEvaluation:
+        """Matches, daily and overall metrics.
+
+        The listed and in-status days are a small part of the panel and are used several times
+        each, so they are computed once first.
+        """
+        p, output = self.params, self.output
+        listed, status = materialize(self.listed.select(*KEYS)), materialize(self.status_days)
+        events = entry_days(status, self.panel_start)
+        matches = match_runs(
+            listed,
+            events,
+            min_lead=p.min_lead_days,
+            horizon=p.horizon_days,
+            output=output if p.only_events_in_output else None,
+        )
+        daily = daily_metrics(
+            listed, matched_days(matches), status, output=output, market_n=p.market_n
+        )
+        hits = matches.select("entity", "event_date", F.lit(1).alias("hit"))
+        counted = (
+            in_range(events, *output, column="event_date")
+            .join(hits, ["entity", "event_date"], "left")
+            .withColumn("hit", F.coalesce("hit", F.lit(0)))
+        )
+        settings = {
+            "threshold": p.retain,
+            "market_n": p.market_n,
+            "horizon_days": p.horizon_days,
+            "min_lead_days": p.min_lead_days,
+            "only_events_in_output": p.only_events_in_output,
+            "output_start": output[0],
+            "output_end": output[1],
+        }
+        return RuleEvaluation(events, matches, daily, overall_metrics(daily, counted, settings))
+
+
+@dataclass(frozen=True)
+class RuleEvaluation:
+    events: DataFrame
+    matches: DataFrame
+    daily: DataFrame
+    metrics: DataFrame
+
 
 def daily_max(scores: DataFrame, dims=fv.DIMS) -> DataFrame:
     """Highest of the four dimensions per entity and day."""
@@ -53,42 +114,7 @@ def daily_max(scores: DataFrame, dims=fv.DIMS) -> DataFrame:
     )
 
 
-def evaluate_listing(
-    alive: DataFrame, status_days: DataFrame, params: RuleParams
-) -> RuleResult:
-    """List the alive days and evaluate them against the status entries."""
-    output = (params.output_start, params.output_end)
-    events = entry_days(status_days, params.output_start)
-    listed = listed_rows(
-        alive, params.retain, top_k=params.top_k, status_days=status_days, output=output
-    )
-    matches = match_runs(
-        listed,
-        events,
-        min_lead=params.min_lead_days,
-        horizon=params.horizon_days,
-        output=output if params.only_events_in_output else None,
-    )
-    daily = daily_metrics(
-        listed, matched_days(matches), status_days, output=output, market_n=params.market_n
-    )
-    counted = events.where(F.col("event_date").between(F.lit(output[0]), F.lit(output[1])))
-    hits = matches.select("entity", "event_date").withColumn("hit", F.lit(1))
-    found = counted.join(hits, ["entity", "event_date"], "left").withColumn(
-        "hit", F.coalesce("hit", F.lit(0))
-    )
-    settings = {
-        "threshold": params.retain,
-        "market_n": params.market_n,
-        "horizon_days": params.horizon_days,
-        "min_lead_days": params.min_lead_days,
-    }
-    return RuleResult(
-        alive, status_days, events, listed, matches, daily, overall_metrics(daily, found, settings)
-    )
-
-
-def run_from_scores(scores: DataFrame, intervals: DataFrame, params: RuleParams) -> RuleResult:
+def run_from_scores(scores: DataFrame, intervals: DataFrame, params: RuleParams) -> RuleRun:
     """Four-dimension score rows and status intervals to watchlist and metrics."""
     output = (params.output_start, params.output_end)
     daily = daily_max(scores.where(F.col("date").between(*[F.lit(x) for x in output])))
@@ -97,7 +123,7 @@ def run_from_scores(scores: DataFrame, intervals: DataFrame, params: RuleParams)
     )
     known = universe(scores)
     status = status_days_any(intervals, *output).join(known, "entity", "left_semi")
-    return evaluate_listing(alive, status, params)
+    return RuleRun(alive, status, params, params.output_start)
 
 
 def run_from_documents(
@@ -108,15 +134,13 @@ def run_from_documents(
     *,
     warmup: bool = False,
     scorer_parts: int | None = None,
-) -> tuple[RuleResult, DataFrame]:
+) -> tuple[RuleRun, DataFrame]:
     """Documents and status intervals to watchlist and metrics; also returns the daily texts.
 
     The memory starts empty on the first output day unless `warmup` lets the lookback days
     count.
     """
-    from datetime import timedelta
-
-    first = params.output_start - timedelta(days=params.text.lookback_days)
+    first = params.output_start - dt.timedelta(days=params.text.lookback_days)
     daily = daily_text(documents, first, params.output_end, params.text)
     tasks = select_prefiltered(
         daily, (params.output_start, params.output_end), params.prefilter
@@ -134,7 +158,7 @@ def run_from_documents(
         end=params.output_end,
     )
     status = status_days_as_of(intervals, first, params.output_end)
-    return evaluate_listing(alive, status, params), daily
+    return RuleRun(alive, status, params, first), daily
 
 
 def filled_scores(
@@ -150,10 +174,8 @@ def filled_scores(
 
     Returns the dense output panel with `score`.
     """
-    from datetime import timedelta
-
     output = (params.output_start, params.output_end)
-    first = params.output_start - timedelta(days=params.text.lookback_days)
+    first = params.output_start - dt.timedelta(days=params.text.lookback_days)
     texts = lookback_text(daily_text(documents, first, output[1], params.text), params.text.lookback_days)
     results = scoring_results(
         score_texts(select_plain(texts, output), make_scorer, parts=scorer_parts)
