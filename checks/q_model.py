@@ -25,7 +25,9 @@ KEYS = pn.KEYS
 
 
 def filled_dims(spark, sf):
-    return pn.fill_panel(panel_of(spark, sf), dim_scores(spark, sf), {d: 0.0 for d in fv.DIMS})
+    return pn.dense_fill(
+        pn.universe(score_rows(spark, sf)), dim_scores(spark, sf), {d: 0.0 for d in fv.DIMS}, START, END
+    )
 
 
 def labels(spark, sf):

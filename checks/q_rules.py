@@ -52,7 +52,9 @@ def status_panel(spark, sf):
 
 
 def dense_scores(spark, sf):
-    return pn.fill_panel(panel_of(spark, sf), daily_scores(spark, sf), {"score": 0.0})
+    return pn.dense_fill(
+        pn.universe(score_rows(spark, sf)), daily_scores(spark, sf), {"score": 0.0}, START, END
+    )
 
 
 def memory_panel(spark, sf):
@@ -139,6 +141,11 @@ def reindex(spark, sf):
     return dense_scores(spark, sf).select(*KEYS, r6("score"))
 
 
+@query("reindex_by_join", sql("select entity, date, round(v, 6) as score from dense", "dense"))
+def reindex_join(spark, sf):
+    return pn.fill_panel(panel_of(spark, sf), daily_scores(spark, sf), {"score": 0.0}).select(*KEYS, r6("score"))
+
+
 @query(
     "distinct_entity_days",
     sql("select distinct entity, date from score_rows", "score_rows"),
@@ -314,7 +321,9 @@ def memory_dims(spark, sf):
     import datetime as dt
 
     output = (dt.date(2024, 1, 11), END)
-    filled = pn.fill_panel(panel_of(spark, sf), dim_scores(spark, sf), {d: None for d in fv.DIMS})
+    filled = pn.dense_fill(
+        pn.universe(score_rows(spark, sf)), dim_scores(spark, sf), {d: None for d in fv.DIMS}, START, END
+    )
     decayed = decay_memory(
         filled, {d: f"{d}_state" for d in fv.DIMS}, decay=3.0, entry=40.0, output=output
     )
@@ -333,7 +342,9 @@ def memory_dims(spark, sf):
     ),
 )
 def fill(spark, sf):
-    rows = pn.fill_panel(panel_of(spark, sf), daily_scores(spark, sf), {"score": None})
+    rows = pn.dense_fill(
+        pn.universe(score_rows(spark, sf)), daily_scores(spark, sf), {"score": None}, START, END
+    )
     rows = rows.withColumn("scored", F.col("score").isNotNull())
     return cut_stale(forward_fill(rows, ["score"]), ["score"], "scored", 4).select(*KEYS, r6("score"))
 
@@ -580,6 +591,33 @@ def distribution_nonzero(spark, sf):
     return _rounded(sm.describe(dense_scores(spark, sf), "score", nonzero=True))
 
 
+@query(
+    "run_metadata_json",
+    sql(
+        """select 65.0 as retain, (select count(*) from daily) as n_scored_points, (select count(*) from users) as n_universe,
+             (select count(*) from entries) as total_events""",
+        "daily", "users", "entries",
+    ),
+)
+def run_metadata(spark, sf):
+    """Settings, counters and metrics of a run as one JSON object, written and read back."""
+    from watchpanel.sources import writers as wr
+    from watchpanel.sources.storage import scratch_path
+
+    run = result(spark, sf)
+    counts = sm.run_counters(daily_scores(spark, sf), score_rows(spark, sf), run.listed)
+    meta = sm.run_metadata(
+        spark,
+        {"retain": RULES.retain, "entry": RULES.entry, "allowed_labels": RULES.prefilter.allowed},
+        {"counts": counts, "metrics": run.evaluation.metrics},
+    )
+    path = scratch_path(spark, "meta")
+    wr.write_json_rows(meta, path)
+    return spark.read.json(path).select(
+        "retain", "counts.n_scored_points", "counts.n_universe", "metrics.total_events"
+    )
+
+
 @query(
     "run_counters",
     sql(
@@ -637,14 +675,27 @@ def _grid_sql() -> str:
     )
 
 
-@query("rule_grid_sweep", _grid_sql())
-def grid_sweep(spark, sf):
+def _grid_results(spark, sf):
     status = status_of(spark, sf)
-    df = sw.sweep_rules(
+    return sw.sweep_rules(
         daily_scores(spark, sf), status, iv.entry_days(status, START), GRID,
         output=OUTPUT, min_lead=1, horizon=20, market_n=5400,
     )
-    return df.select(
+
+
+@query(
+    "rule_grid_within_budget",
+    "select grid_id, avg_list_size, recall from (" + _grid_sql() + ") where avg_list_size <= 8",
+)
+def grid_budget(spark, sf):
+    """Settings whose mean list stays within the budget, best recall first."""
+    rows = sw.best_within_budget(_grid_results(spark, sf), 8)
+    return rows.select("grid_id", r6("avg_list_size"), r6("recall"))
+
+
+@query("rule_grid_sweep", _grid_sql())
+def grid_sweep(spark, sf):
+    return _grid_results(spark, sf).select(
         "grid_id", "entry", "retain", "decay", r6("avg_list_size"), r6("acc"), r6("fpr"),
         "hit_events", "total_events", r6("recall"),
     )

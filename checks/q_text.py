@@ -490,3 +490,86 @@ def plain_scheme(spark, sf):
 
     df = filled_scores(documents(spark, sf), _document_rules(), make_scorer, max_days=4, scorer_parts=8)
     return df.select(*KEYS, F.col("score").cast("double").alias("score"))
+
+
+# --- four dimensions from documents -----------------------------------------
+DIM_WORDS = dict(
+    zip(fv.DIMS, (("attion", "License"), ("tion the", "@"), ("worthless", "license"), ("nicht", "que la", "anea")))
+)
+
+
+def make_dim_scorer():
+    return sc.DimKeywordScorer(DIM_WORDS, 30)
+
+
+def _points(dim: str, column: str) -> str:
+    found = " + ".join(f"(case when contains({column}, '{k}') then 1 else 0 end)" for k in DIM_WORDS[dim])
+    return f"least(100, 30 * ({found}))"
+
+
+def _dim_states() -> tuple[str, dict[str, str]]:
+    extra = {
+        **_RATED_DAYS,
+        "dim_scores": "select entity, date, "
+        + ", ".join(f"{_points(d, 'text')} as {d}" for d in fv.DIMS)
+        + f" from ({_TASKS_SQL})",
+        "doc_days": """
+          select e.entity, c.date from (select distinct entity from docs) e cross join
+            (select cast(unnest(generate_series(date '2023-12-20', date '2024-01-20', interval 1 day)) as date) as date) c""",
+    }
+    for d in fv.DIMS:
+        extra[f"v_{d}"] = f"select p.entity, p.date, coalesce(s.{d}, 0) as v from doc_days p left join dim_scores s using (entity, date)"
+        extra[f"s_{d}"] = f"""
+          select entity, date, cast(case when v >= 30 then v else 0 end as double) as s from v_{d} where date = date '2023-12-20'
+          union all
+          select n.entity, n.date, case when x.s1 < 30 then 0.0 else x.s1 end as s
+          from s_{d} m join v_{d} n on n.entity = m.entity and n.date = m.date + 1,
+            lateral (select greatest(m.s - 4, 0.0) as s0) a,
+            lateral (select case when n.v > 0 and a.s0 > 0 then greatest(a.s0, n.v)
+                                 when n.v > 0 and n.v >= 30 then n.v else a.s0 end as s1) x"""
+    columns = ", ".join(f"round(s_{d}.s, 4) as {d}" for d in fv.DIMS)
+    joins = " ".join(f"join s_{d} using (entity, date)" for d in fv.DIMS)
+    return f"select p.entity, p.date, {columns} from doc_days p {joins} where p.date >= date '2024-01-01'", extra
+
+
+_STATES, _STATE_CTES = _dim_states()
+
+
+@query("dim_score_panel_from_documents", sql(_STATES, "doc_text", extra=_STATE_CTES))
+def dim_panel(spark, sf):
+    from watchpanel.plans.model_track import score_dims
+
+    df = score_dims(
+        documents(spark, sf), make_dim_scorer, output=DOC_OUTPUT, text=TEXT, prefilter=PREFILTER,
+        decay=4.0, threshold=30.0, scorer_parts=8,
+    )
+    return df.select(*KEYS, *[F.round(F.col(d).cast("double"), 4).alias(d) for d in fv.DIMS])
+
+
+@query(
+    "plain_scheme_four_dims",
+    sql(
+        "select p.entity, p.date, "
+        + ", ".join(f"cast(case when x.seen is null or p.date - x.seen > 4 then 0 else x.{d} end as double) as {d}" for d in fv.DIMS)
+        + """ from (select * from doc_panel where date >= date '2024-01-01') p left join lateral (
+             select q.* from (
+               select entity, date as seen, """
+        + ", ".join(f"{_points(d, 'lookback')} as {d}" for d in fv.DIMS)
+        + """ from text_panel where doc_text <> '无相关公告' and date >= date '2024-01-01') q
+             where q.entity = p.entity and q.seen <= p.date order by q.seen desc limit 1) x on true""",
+        "doc_text", extra=_TEXT_PANEL,
+    ),
+)
+def plain_dims(spark, sf):
+    from watchpanel.plans.rule_track import filled_scores
+
+    df = filled_scores(
+        documents(spark, sf), _document_rules(), make_dim_scorer, dims=fv.DIMS, max_days=4, scorer_parts=8
+    )
+    return df.select(*KEYS, *[F.col(d).cast("double").alias(d) for d in fv.DIMS])
+
+
+@query("scoring_summary_by_task")
+def summary_by_task(spark, sf):
+    """Totals of each scoring task."""
+    return sc.scoring_summary(sc.scoring_results(scored(spark, sf)), by_task=True)

@@ -57,6 +57,39 @@ def fill_panel(panel: DataFrame, values: DataFrame, defaults: Mapping[str, objec
     return joined
 
 
+def dense_fill(
+    entities: DataFrame,
+    values: DataFrame,
+    defaults: Mapping[str, object],
+    start: dt.date,
+    end: dt.date,
+) -> DataFrame:
+    """Dense panel with value columns, like `fill_panel(dense_panel(...), ...)`.
+
+    The values of an entity (one row per day, so at most as many as there are days) travel to
+    the entity as one map, and the days are generated beside it.  Only scored days are shuffled,
+    never the panel, and the result is already partitioned for windows over an entity.
+    """
+    row = F.struct(*defaults)
+    packed = (
+        in_range(values, start, end)
+        .groupBy("entity")
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("date"), row.alias("row")))).alias("_rows"))
+    )
+    days = (
+        entities.select("entity")
+        .join(packed, "entity", "left")
+        .select("entity", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"), "_rows")
+    )
+    columns = []
+    for name, default in defaults.items():
+        value = F.col("_rows")[F.col("date")][name]
+        if default is not None:
+            value = F.coalesce(value, F.lit(default).cast(values.schema[name].dataType))
+        columns.append(value.alias(name))
+    return days.select(*KEYS, *columns)
+
+
 def in_range(df: DataFrame, start: dt.date, end: dt.date, column: str = "date") -> DataFrame:
     return df.where(F.col(column).between(F.lit(start), F.lit(end)))
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from watchpanel import fixed_values as fv
 from watchpanel.functions.outputs import with_parsed_dims, with_parsed_score
 from watchpanel.functions.text import keep_tail
-from watchpanel.operators.panel import KEYS, latest_per_key
+from watchpanel.operators.panel import KEYS, dense_fill, latest_per_key
 
 Scorer = Callable[[Sequence[str]], Sequence[str]]
 
@@ -31,6 +32,21 @@ class KeywordScorer:
         ]
 
 
+class DimKeywordScorer:
+    """Rule scorer for several dimensions: points per different keyword of each one."""
+
+    def __init__(self, keywords: Mapping[str, Sequence[str]], points: int = 20) -> None:
+        self.keywords = {dim: tuple(words) for dim, words in keywords.items()}
+        self.points = points
+
+    def _answer(self, text: str) -> str:
+        found = {d: sum(k in text for k in words) for d, words in self.keywords.items()}
+        return json.dumps({d: min(100, self.points * n) for d, n in found.items()})
+
+    def __call__(self, texts: Sequence[str]) -> list[str]:
+        return [self._answer(t) for t in texts]
+
+
 def score_texts(
     df: DataFrame,
     make_scorer: Callable[[], Scorer],
@@ -95,6 +111,26 @@ def scoring_summary(results: DataFrame, *, by_task: bool = False) -> DataFrame:
     )
 
 
+def place_results_dense(
+    entities: DataFrame,
+    results: DataFrame,
+    columns: Sequence[str],
+    start: dt.date,
+    end: dt.date,
+    order: str | None = None,
+) -> DataFrame:
+    """The same on the dense panel of the entities, without shuffling the panel."""
+    unique = _unique(results, columns, order)
+    values = unique.select(*KEYS, *[F.col(c).cast("float").alias(c) for c in columns])
+    return dense_fill(entities, values, {c: None for c in columns}, start, end)
+
+
+def _unique(results: DataFrame, columns: Sequence[str], order: str | None) -> DataFrame:
+    if order is None:
+        return results
+    return latest_per_key(results.select(*KEYS, *columns, order), order)
+
+
 def place_results(
     panel: DataFrame, results: DataFrame, columns: Sequence[str], order: str | None = None
 ) -> DataFrame:
@@ -102,7 +138,7 @@ def place_results(
 
     With `order`, the last result of a key wins.
     """
-    unique = latest_per_key(results.select(*KEYS, *columns, *([order] if order else [])), order) if order else results
+    unique = _unique(results, columns, order)
     return panel.join(
         unique.select(*KEYS, *[F.col(c).cast("float").alias(c) for c in columns]), KEYS, "left"
     )

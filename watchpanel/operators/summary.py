@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchpanel.operators.ordering import with_running_total
@@ -73,6 +73,25 @@ def run_counters(tasks: DataFrame, panel: DataFrame, output_rows: DataFrame) ->
     )
 
 
+def run_metadata(
+    spark: SparkSession, settings: Mapping[str, object], tables: Mapping[str, DataFrame]
+) -> DataFrame:
+    """One row describing a run: the settings, and each one-row table as a struct.
+
+    Every table has one row, which is read to the driver.
+    """
+    columns = []
+    for name, value in settings.items():
+        plain = list(value) if isinstance(value, (tuple, list)) else value
+        column = F.array(*[F.lit(v) for v in plain]) if isinstance(plain, list) else F.lit(plain)
+        columns.append(column.alias(name))
+    for name, table in tables.items():
+        row = table.first()
+        fields = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in table.schema]
+        columns.append(F.struct(*fields).alias(name))
+    return spark.range(1).select(*columns)
+
+
 def target_counters(df: DataFrame, target: str = "y_label_value") -> DataFrame:
     """One row: positive, zero and numeric rows of the target."""
     t = F.col(target)

@@ -24,7 +24,6 @@ from watchpanel.operators.memory import decay_memory
 from watchpanel.operators.model import predict, train
 from watchpanel.operators.panel import (
     KEYS,
-    dense_panel,
     distinct_keys,
     in_range,
     require_complete_panel,
@@ -33,7 +32,7 @@ from watchpanel.operators.panel import (
     with_predictions,
     with_truth,
 )
-from watchpanel.operators.scoring import Scorer, place_results, score_texts, scoring_results
+from watchpanel.operators.scoring import Scorer, place_results_dense, score_texts, scoring_results
 from watchpanel.operators.watchlist import model_flags
 from watchpanel.params import MODEL_PREFILTER, ModelParams, PrefilterParams, TextParams
 from watchpanel.sources.storage import materialize
@@ -132,8 +131,7 @@ def score_dims(
     daily = daily_text(documents, first, output[1], text)
     tasks = select_prefiltered(daily, output, prefilter)
     results = scoring_results(score_texts(tasks, make_scorer, parts=scorer_parts), fv.DIMS)
-    panel = dense_panel(universe(documents), first, output[1])
-    placed = place_results(panel, results, fv.DIMS)
+    placed = place_results_dense(universe(documents), results, fv.DIMS, first, output[1])
     decayed = decay_memory(
         placed,
         {d: f"{d}_state" for d in fv.DIMS},

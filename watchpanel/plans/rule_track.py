@@ -7,7 +7,7 @@ memory, in-status days.  The dense entity-by-day panel is never built here.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -20,8 +20,8 @@ from watchpanel.operators.documents import daily_text, lookback_text, select_pla
 from watchpanel.operators.evaluate import daily_metrics, match_runs, matched_days, overall_metrics
 from watchpanel.operators.intervals import entry_days, status_days_any, status_days_as_of
 from watchpanel.operators.memory import cut_stale, forward_fill, memory_days
-from watchpanel.operators.panel import KEYS, dense_panel, in_range, universe
-from watchpanel.operators.scoring import KeywordScorer, Scorer, place_results, score_texts, scoring_results
+from watchpanel.operators.panel import KEYS, in_range, universe
+from watchpanel.operators.scoring import KeywordScorer, Scorer, place_results_dense, score_texts, scoring_results
 from watchpanel.operators.watchlist import listed_rows, ranked, reasoned_rows
 from watchpanel.params import RuleParams
 from watchpanel.sources.storage import materialize
@@ -166,25 +166,27 @@ def filled_scores(
     params: RuleParams,
     make_scorer: Callable[[], Scorer] = KeywordScorer,
     *,
+    dims: Sequence[str] | None = None,
     fill: bool = True,
     max_days: int | None = 30,
     scorer_parts: int | None = None,
 ) -> DataFrame:
     """The plain scheme: score the lookback text of document days, carry scores forward.
 
-    Returns the dense output panel with `score`.
+    Returns the dense output panel with `score`, or with `dims` when the scorer gives several
+    dimensions.
     """
     output = (params.output_start, params.output_end)
     first = params.output_start - dt.timedelta(days=params.text.lookback_days)
     texts = lookback_text(daily_text(documents, first, output[1], params.text), params.text.lookback_days)
     results = scoring_results(
-        score_texts(select_plain(texts, output), make_scorer, parts=scorer_parts)
-    )
-    scored = results.select(*KEYS, F.col("risk_score").alias("score"), F.lit(True).alias("scored"))
-    panel = dense_panel(universe(documents), *output)
-    placed = place_results(panel, scored, ["score"]).withColumn(
-        "scored", F.col("score").isNotNull()
+        score_texts(select_plain(texts, output), make_scorer, parts=scorer_parts), dims
     )
+    columns = ["score"] if dims is None else list(dims)
+    if dims is None:
+        results = results.withColumnRenamed("risk_score", "score")
+    placed = place_results_dense(universe(documents), results, columns, *output)
     if not fill:
-        return placed.drop("scored")
-    return cut_stale(forward_fill(placed, ["score"]), ["score"], "scored", max_days).drop("scored")
+        return placed
+    marked = placed.withColumn("_scored", F.col(columns[0]).isNotNull())
+    return cut_stale(forward_fill(marked, columns), columns, "_scored", max_days).drop("_scored")
