@@ -164,9 +164,13 @@ def melt_label_matrix(wide: DataFrame) -> DataFrame:
     A blank cell means in-status: `y_label_empty` is 1 and the value null.
     """
     date, *entities = wide.columns
-    texts = wide.select(F.col(date).alias("date"), *[F.col(f"`{e}`").cast("string").alias(e) for e in entities])
+    # codes may contain dots
+    cells = [F.col(f"`{e}`") for e in entities]
+    texts = wide.select(
+        F.col(f"`{date}`").alias("date"), *[c.cast("string").alias(e) for c, e in zip(cells, entities)]
+    )
     number = clip_unit(F.col("_cell").try_cast("double"))
-    return texts.unpivot(["date"], entities, "entity", "_cell").select(
+    return texts.unpivot(["date"], cells, "entity", "_cell").select(
         "date",
         "entity",
         F.lit(1).alias("label_in_file"),
