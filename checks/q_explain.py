@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.data import PHRASES, documents, sql, sql_strip
-from checks.registry import query
-from watchpanel.functions.phrases import phrase_applies
+from checks.q_text import _DOC_RUN, _REASONED_SELECT
+from checks.registry import QUERIES, query
+from watchpanel.functions.phrases import DEFAULT_RULES, PhraseRules, phrase_applies
 from watchpanel.operators.explain import explain, risk_type_rows, with_main_type, with_risk_types, with_sentence
 
 
@@ -26,36 +27,44 @@ def _positions(table: str, words: str) -> str:
 
 
 _ALL = sorted({p for c in PHRASES.categories.values() for group in c[1:] for p in group})
-_RULE_ROWS = ", ".join(
-    f"('{c}', {PHRASES.categories[c][0]}, '{p}', {rank}, {seq})"
-    for c in PHRASES.categories
-    for seq, (p, rank) in enumerate(PHRASES.ordered_phrases(c))
-)
-_CTES = {
-    "txt": f"select id, {sql_strip('content')} as t from docs",
-    "hits": _positions("txt", _list(_ALL)),
-    "negs": _positions("txt", _list(PHRASES.negations)),
-    "dis": _positions("txt", _list(PHRASES.disclaimers)),
-    "dis_marked": """
-      select id, p as a, p + length(w) as b,
-        max(p + length(w)) over (partition by id order by p, length(w) rows between unbounded preceding and 1 preceding) as reached
-      from dis""",
-    "spans": """
-      select id, min(a) as a, max(b) as b from (
-        select *, sum(case when reached is null or a > reached then 1 else 0 end) over (
-          partition by id order by a, b rows unbounded preceding) as g from dis_marked) group by id, g""",
-    "valid": f"""
-      select distinct h.id, h.w from hits h
-      where not exists (select 1 from spans s where s.id = h.id and h.p >= s.a and h.p + length(h.w) <= s.b)
-        and not exists (select 1 from negs n where n.id = h.id
-          and n.p >= h.p - {PHRASES.reach} and n.p + length(n.w) <= h.p + length(h.w) + {PHRASES.reach})""",
-    "rules": f"select * from (values {_RULE_ROWS}) as r(category, priority, w, strength, seq)",
-    "cats": """
-      select v.id, r.category, any_value(r.priority) as priority, min(r.strength) as strength,
-        string_agg(v.w, '、' order by r.seq) as words
-      from valid v join rules r using (w) group by 1, 2""",
-    "mains": "select id, arg_min(category, (strength, priority)) as main, count(*) as n, count(distinct strength) as levels from cats group by 1",
-}
+
+
+def _phrase_ctes(rules: PhraseRules) -> dict[str, str]:
+    """Hits, disclaimer spans, negations and categories of the texts of `txt`."""
+    phrases = sorted({p for c in rules.categories.values() for group in c[1:] for p in group})
+    rows = ", ".join(
+        f"('{c}', {rules.categories[c][0]}, '{p}', {rank}, {seq})"
+        for c in rules.categories
+        for seq, (p, rank) in enumerate(rules.ordered_phrases(c))
+    )
+    return {
+        "txt": f"select id, {sql_strip('content')} as t from docs",
+        "hits": _positions("txt", _list(phrases)),
+        "negs": _positions("txt", _list(rules.negations)),
+        "dis": _positions("txt", _list(rules.disclaimers)),
+        "dis_marked": """
+          select id, p as a, p + length(w) as b,
+            max(p + length(w)) over (partition by id order by p, length(w) rows between unbounded preceding and 1 preceding) as reached
+          from dis""",
+        "spans": """
+          select id, min(a) as a, max(b) as b from (
+            select *, sum(case when reached is null or a > reached then 1 else 0 end) over (
+              partition by id order by a, b rows unbounded preceding) as g from dis_marked) group by id, g""",
+        "valid": f"""
+          select distinct h.id, h.w from hits h
+          where not exists (select 1 from spans s where s.id = h.id and h.p >= s.a and h.p + length(h.w) <= s.b)
+            and not exists (select 1 from negs n where n.id = h.id
+              and n.p >= h.p - {rules.reach} and n.p + length(n.w) <= h.p + length(h.w) + {rules.reach})""",
+        "rules": f"select * from (values {rows}) as r(category, priority, w, strength, seq)",
+        "cats": """
+          select v.id, r.category, any_value(r.priority) as priority, min(r.strength) as strength,
+            string_agg(v.w, '、' order by r.seq) as words
+          from valid v join rules r using (w) group by 1, 2""",
+        "mains": "select id, arg_min(category, (strength, priority)) as main, count(*) as n, count(distinct strength) as levels from cats group by 1",
+    }
+
+
+_CTES = _phrase_ctes(PHRASES)
 
 
 @query(
@@ -113,33 +122,59 @@ _SENTENCE = """
   else '该公告整体命中' || names || '等风险信号，均以' || lv || '等级为主，主要关键词包括' || w || '等，建议结合公告全文综合判断。' end"""
 
 
-@query(
-    "explanation_sentences",
-    sql(
-        f"""select doc as id, {_SENTENCE} as overall_explanation from (
+_EXPLAINED = f"""select doc as id, main as primary_risk_type, {_SENTENCE} as overall_explanation from (
              select d.id as doc, m.id, m.main, m.n, m.levels, c.strength, c.w,
                case c.strength when 0 then '高' when 1 then '中' else '低' end as lv,
                (select case count(*) when 1 then any_value(category) else
                   array_to_string(list_slice(list(category order by priority), 1, count(*) - 1), '、') || '与' || arg_max(category, priority) end
                 from cats x where x.id = d.id) as names
-             from docs d left join mains m using (id)
+             from txt d left join mains m using (id)
              left join (select id, category, strength, array_to_string(list_slice(string_split(words, '、'), 1, 8), '、') as w from cats) c
-               on c.id = m.id and c.category = m.main)""",
-        "docs", extra=_CTES,
-    ),
+               on c.id = m.id and c.category = m.main)"""
+
+
+@query(
+    "explanation_sentences",
+    sql(f"select id, overall_explanation from ({_EXPLAINED})", "docs", extra=_CTES),
 )
 def sentences(spark, sf):
     df = with_sentence(with_main_type(with_risk_types(documents(spark, sf), "content", rules=PHRASES)))
     return df.select("id", "overall_explanation")
 
 
+_REASONED_CTES = {
+    **_DOC_RUN,
+    "reasoned": _REASONED_SELECT,
+    **_CTES,
+    "txt": "select date || '/' || entity as id, ann_daily as t from reasoned",
+}
+
+
 @query(
     "explained_watchlist",
-    None,
+    sql(
+        f"""select r.date, r.rank, r.entity, r.risk_score, e.primary_risk_type, e.overall_explanation
+            from reasoned r join ({_EXPLAINED}) e on e.id = r.date || '/' || r.entity""",
+        "doc_text", extra=_REASONED_CTES,
+    ),
 )
 def explained_watchlist(spark, sf):
-    """The whole explanation of the reasoned watchlist, with the shipped rules."""
-    from checks.registry import QUERIES
+    """Documents to watchlist to explanations."""
+    rows = explain(QUERIES["reasoned_watchlist_from_documents"](spark, sf), rules=PHRASES)
+    return rows.select(
+        "date", "rank", "entity", "risk_score",
+        "explain.primary_risk_type", "explain.overall_explanation",
+    )
+
 
-    df = explain(QUERIES["reasoned_watchlist_from_documents"](spark, sf))
-    return df.select("date", "rank", "entity", "risk_score", F.to_json("explain").alias("explain"))
+@query(
+    "explained_documents_with_shipped_rules",
+    sql(
+        f"select id, primary_risk_type, overall_explanation from ({_EXPLAINED})",
+        "docs", extra=_phrase_ctes(DEFAULT_RULES),
+    ),
+)
+def explained_documents(spark, sf):
+    """All documents under the shipped phrase rules."""
+    df = explain(documents(spark, sf), "content")
+    return df.select("id", "explain.primary_risk_type", "explain.overall_explanation")

@@ -222,6 +222,24 @@ def train_model(spark, sf):
     return _trained(spark, sf).metrics
 
 
+@query(
+    "training_row_counts",
+    sql(
+        """select positive + least(zero, greatest(cast(floor(positive * 5.53767) as bigint), 1)) as sampled_rows,
+             positive as positive_rows, zero as zero_rows, positive + zero as numeric_rows from (
+             select count(*) filter (y_label_value > 0) as positive, count(*) filter (y_label_value = 0) as zero
+             from labelled where date <= date '2024-01-20')""",
+        "panel", "urgency", extra=_FILE,
+    ),
+)
+def training_counts(spark, sf):
+    """Row counts reported by a training run."""
+    metrics = _trained(spark, sf, replace(MODEL, max_iter=2)).metrics
+    return metrics.select(
+        *[F.col(c).cast("bigint").alias(c) for c in ("sampled_rows", "positive_rows", "zero_rows", "numeric_rows")]
+    )
+
+
 @query("predict_urgency")
 def predict(spark, sf):
     return _trained(spark, sf).predicted.select(*KEYS, "predicted_label_value", "predicted_st", "predicted_blacklist")

@@ -453,16 +453,13 @@ def _document_intervals(spark, sf):
     )
 
 
-@query(
-    "reasoned_watchlist_from_documents",
-    sql(
-        """select m.date, cast(row_number() over (partition by m.date order by s desc, m.entity) as bigint) as rank, m.entity,
+_REASONED_SELECT = """select m.date, cast(row_number() over (partition by m.date order by s desc, m.entity) as bigint) as rank, m.entity,
              cast(trunc(s) as int) as risk_score, 0 as is_st, coalesce(t.doc_text, '无相关公告') as ann_daily
            from doc_mem m left join doc_text t using (entity, date)
-           where s >= 40 and not exists (select 1 from doc_status d where d.entity = m.entity and d.date = m.date)""",
-        "doc_text", extra=_DOC_RUN,
-    ),
-)
+           where s >= 40 and not exists (select 1 from doc_status d where d.entity = m.entity and d.date = m.date)"""
+
+
+@query("reasoned_watchlist_from_documents", sql(_REASONED_SELECT, "doc_text", extra=_DOC_RUN))
 def reasoned(spark, sf):
     from watchpanel.plans.rule_track import run_from_documents
 

@@ -99,8 +99,11 @@ def evaluate(
     check_panel: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Daily and overall metrics of listed rows by the label rule."""
-    panel = evaluation_panel(
-        in_range(scores, start, end), in_range(truth, start, end), in_range(listed, start, end)
+    # checked, then read for the daily counts and for the events
+    panel = materialize(
+        evaluation_panel(
+            in_range(scores, start, end), in_range(truth, start, end), in_range(listed, start, end)
+        )
     )
     if check_panel:
         require_complete_panel(panel)
@@ -130,7 +133,10 @@ def score_dims(
     first = output[0] - dt.timedelta(days=text.lookback_days)
     daily = daily_text(documents, first, output[1], text)
     tasks = select_prefiltered(daily, output, prefilter)
-    results = scoring_results(score_texts(tasks, make_scorer, parts=scorer_parts), fv.DIMS)
+    # every text is scored once
+    results = materialize(
+        scoring_results(score_texts(tasks, make_scorer, parts=scorer_parts), fv.DIMS)
+    )
     placed = place_results_dense(universe(documents), results, fv.DIMS, first, output[1])
     decayed = decay_memory(
         placed,

@@ -51,9 +51,13 @@ class RuleRun:
             output=self.output,
         ).select(*KEYS, "score")
 
+    @cached_property
+    def _kept(self) -> DataFrame:
+        return materialize(self.listed)
+
     def watchlist(self) -> DataFrame:
         """`date, rank, entity, score`."""
-        return ranked(self.listed)
+        return ranked(self.__dict__.get("_kept", self.listed))
 
     def reasoned(self, daily: DataFrame) -> DataFrame:
         """The watchlist with integer scores and the text of the day."""
@@ -67,7 +71,7 @@ class RuleRun:
         each, so they are computed once first.
         """
         p, output = self.params, self.output
-        listed, status = materialize(self.listed.select(*KEYS)), materialize(self.status_days)
+        listed, status = self._kept.select(*KEYS), materialize(self.status_days)
         events = entry_days(status, self.panel_start)
         matches = match_runs(
             listed,
@@ -138,14 +142,15 @@ def run_from_documents(
     """Documents and status intervals to watchlist and metrics; also returns the daily texts.
 
     The memory starts empty on the first output day unless `warmup` lets the lookback days
-    count.
+    count.  Daily texts and scores are kept in shared storage: documents are read once and every
+    text is scored once, whatever is asked for afterwards.
     """
     first = params.output_start - dt.timedelta(days=params.text.lookback_days)
-    daily = daily_text(documents, first, params.output_end, params.text)
+    daily = materialize(daily_text(documents, first, params.output_end, params.text))
     tasks = select_prefiltered(
         daily, (params.output_start, params.output_end), params.prefilter
     )
-    results = scoring_results(score_texts(tasks, make_scorer, parts=scorer_parts))
+    results = materialize(scoring_results(score_texts(tasks, make_scorer, parts=scorer_parts)))
     scores = results.select(*KEYS, F.col("risk_score").cast("double").alias("score"))
     if not warmup:
         scores = scores.where(F.col("date") >= F.lit(params.output_start))
@@ -179,8 +184,9 @@ def filled_scores(
     output = (params.output_start, params.output_end)
     first = params.output_start - dt.timedelta(days=params.text.lookback_days)
     texts = lookback_text(daily_text(documents, first, output[1], params.text), params.text.lookback_days)
-    results = scoring_results(
-        score_texts(select_plain(texts, output), make_scorer, parts=scorer_parts), dims
+    # every text is scored once
+    results = materialize(
+        scoring_results(score_texts(select_plain(texts, output), make_scorer, parts=scorer_parts), dims)
     )
     columns = ["score"] if dims is None else list(dims)
     if dims is None:
