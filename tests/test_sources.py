@@ -61,7 +61,7 @@ def test_status_intervals(spark, tmp_path):
 
 def test_label_matrix(spark, tmp_path):
     path = tmp_path / "labels.csv"
-    path.write_text("day,1,600000.SH\n2024-01-01,0.5,\n2024-01-02,7,0\n2030-01-01,1,1\n", encoding="utf-8")
+    path.write_text("day,1,600000.SH\n2024-01-01,0.5,NaN\n2024-01-02,7,0\n2030-01-01,1,1\n", encoding="utf-8")
     df = rd.scan_label_matrix(spark, str(path), D, day(5))
     rows = {(r.date, r.entity): (r.label_in_file, r.y_label_empty, r.y_label_value) for r in df.collect()}
     assert rows == {
@@ -102,6 +102,15 @@ def test_written_document_is_one_json_object(spark, tmp_path):
     }
 
 
+def test_days_in_parts_need_the_row_form(spark, tmp_path):
+    days = spark.createDataFrame([(D, 0, ["a"]), (D, 1, ["b"])], "date date, part int, entities array<string>")
+    with pytest.raises(ValueError, match="row form"):
+        wr.write_document(days, "entities", str(tmp_path / "doc"))
+    wr.write_day_objects(days, str(tmp_path / "rows"))
+    rows = rd.scan_watchlist_rows(spark, str(tmp_path / "rows"), D, D).collect()
+    assert {r.entity for r in rows} == {"a", "b"}
+
+
 def test_peek_nonzero(spark):
     df = spark.createDataFrame(
         [("b", D, 0.0, 1.0, 0.0, 0.0), ("a", D, 0.0, 0.0, 0.0, 0.0), ("a", day(1), 0.0, 0.0, 0.0, 5.0)],

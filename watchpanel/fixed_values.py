@@ -37,6 +37,12 @@ STATUS_COLUMNS = {
     "s_type_st": "kind",
 }
 
+# Cells that stand for a missing value in the incoming CSV files
+MISSING_CELLS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 DIMS = ("financial_risk", "normative_risk", "illegal_risk", "other_risk")
 
 # ---------------------------------------------------------------------------

@@ -21,10 +21,23 @@ def any_of(phrases: Sequence[str]) -> str:
 def clean_text(c: Column | str) -> Column:
     """Null and 'nan' become empty; runs of blanks and of line breaks shrink to one."""
     text = strip(F.coalesce(as_column(c).cast("string"), F.lit("")))
-    text = F.when(F.lower(text) == "nan", F.lit("")).otherwise(text)
-    # lone blanks are left alone instead of being replaced by themselves
-    text = F.regexp_replace(text, r"[\t\r\f\x0B][ \t\r\f\x0B]*| [ \t\r\f\x0B]+", " ")
-    return strip(F.regexp_replace(text, r"\n{2,}", "\n"))
+    text = F.when(F.lower(F.substring(text, 1, 4)) == "nan", F.lit("")).otherwise(text)
+    # plain replacement for the rare kinds of blanks; the regular expressions run only on
+    # texts that have runs to shrink
+    for blank in "\t\r\f\x0b":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    text = F.when(text.contains("  "), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
+    text = F.when(text.contains("\n\n"), F.regexp_replace(text, "\n{2,}", "\n")).otherwise(text)
+    return strip(text)
+
+
+def contains_any(c: Column, phrases: Sequence[str]) -> Column:
+    """Whether a text contains one of the phrases, by plain search."""
+    found = F.lit(False)
+    for phrase in phrases:
+        if phrase:
+            found = found | c.contains(phrase)
+    return found
 
 
 def with_key_sentences(
@@ -38,7 +51,6 @@ def with_key_sentences(
     """
     n = params.key_max_chars
     half = n // 2
-    keyword = any_of(params.keywords)
     c, sentences, picked = F.col("_clean"), F.col("_sentences"), F.col("_picked")
     tail = strip(F.right(c, F.lit(half)))
     head = strip(F.substring(c, 1, half))
@@ -49,7 +61,7 @@ def with_key_sentences(
     )
     relevant = F.filter(
         sentences,
-        lambda s: (F.length(s) >= params.min_sentence_chars) & s.rlike(keyword),
+        lambda s: (F.length(s) >= params.min_sentence_chars) & contains_any(s, params.keywords),
     )
     return (
         df.withColumn("_clean", clean_text(text))

@@ -40,8 +40,13 @@ def first_existing(spark: SparkSession, candidates: Sequence[str]) -> str:
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """CSV with header, quoted line breaks and doubled quotes; every column as text."""
-    return spark.read.csv(paths, header=True, multiLine=True, escape='"', inferSchema=False)
+    """CSV with header, quoted line breaks and doubled quotes; every column as text.
+
+    Cells that stand for a missing value are null.
+    """
+    df = spark.read.csv(paths, header=True, multiLine=True, escape='"', inferSchema=False)
+    cells = [(F.col(f"`{name}`"), name) for name in df.columns]
+    return df.select(*[F.when(~c.isin(*fv.MISSING_CELLS), c).alias(name) for c, name in cells])
 
 
 def renamed(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:

@@ -23,10 +23,15 @@ def write_day_objects(days: DataFrame, path: str) -> None:
 def write_document(days: DataFrame, value: Column | str, path: str) -> None:
     """Exchange form: one JSON document `{day: value, ...}`, a line per day.
 
-    Days must come in one part.
+    A day must come in one part; longer lists have the row form.
     """
     item = F.col(value) if isinstance(value, str) else value
-    bounds = days.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+    extent = [F.min("date").alias("first"), F.max("date").alias("last")]
+    if "part" in days.columns:
+        extent.append(F.max("part").alias("parts"))
+    bounds = days.agg(*extent).first()
+    if "part" in days.columns and bounds["parts"]:
+        raise ValueError("a day has several parts; use the row form (write_day_objects)")
     pair = F.to_json(F.create_map(F.col("date").cast("string"), item), {"ignoreNullFields": "false"})
     inner = F.substring(pair, F.lit(2), F.length(pair) - 2)
     line = F.concat(
