@@ -68,8 +68,9 @@ def test_arrays_cover_empty_days_and_parts(spark):
 
 def test_positions_and_running_totals(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 5).alias("w"))
-    rows = with_position(df, ["k"], "at").collect()
-    assert all(r.k == r["at"] for r in rows) and len(rows) == 5000
+    for parts in (None, 1, 7):
+        rows = with_position(df, ["k"], "at", parts=parts).collect()
+        assert all(r.k == r["at"] for r in rows) and len(rows) == 5000
     total, want = 0, {}
     for r in sorted(df.collect()):
         total += r.w

@@ -26,15 +26,16 @@ def with_running_total(
     """Add the sum of `weight` over the rows of the group up to and including this one.
 
     `order` must make the rows of a group distinguishable.  Groups may be of any size: they are
-    cut where the ranges are cut.
+    cut where the ranges are cut.  `parts` fixes the number of ranges.
     """
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
+    weighted = df.withColumn(
+        "_ordering_weight", F.col(weight) if isinstance(weight, str) else weight
+    )
+    # without a number, adaptive execution joins neighbouring small ranges; order is kept
+    ranged = weighted.repartitionByRange(*([parts] if parts else []), *keys)
     rows = materialize(
-        df.withColumn("_ordering_weight", F.col(weight) if isinstance(weight, str) else weight)
-        .repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
+        ranged.sortWithinPartitions(*keys)
         .withColumn("_ordering_range", F.spark_partition_id())
         # grows with the order inside a sorted partition
         .withColumn("_ordering_place", F.monotonically_increasing_id())
