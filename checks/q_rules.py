@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from checks.data import (
@@ -189,44 +191,50 @@ def merge(spark, sf):
     return iv.merge_intervals(long_intervals(spark, sf), "seq")
 
 
-_LONG_DAYS = """select distinct l.entity, c.date from {src} l join
-  (select cast(unnest(generate_series(date '1996-01-01', date '1996-03-31', interval 1 day)) as date) as date) c
-  on {on}"""
+# The whole period of the orders, as counts per entity
+LONG_START, LONG_END = dt.date(1995, 1, 1), dt.date(2001, 8, 1)
+_LONG_CAL = {
+    "long_cal": """select cast(unnest(generate_series(date '1995-01-01', date '2001-08-01', interval 1 day)) as date) as date"""
+}
+_PER_ENTITY = "select entity, count(*) as days, min(date) as first_day, max(date) as last_day from ({}) group by 1"
+
+
+def _per_entity(days):
+    return days.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day")
+    )
 
 
 @query(
     "status_days_any_cover",
     sql(
-        _LONG_DAYS.format(
-            src="long_intervals",
-            on="c.date between l.entry_date and coalesce(l.remove_date, date '2099-12-31')",
+        _PER_ENTITY.format(
+            """select distinct l.entity, c.date from long_intervals l join long_cal c
+               on c.date between l.entry_date and coalesce(l.remove_date, date '2099-12-31')"""
         ),
-        "long_intervals",
+        "long_intervals", extra=_LONG_CAL,
     ),
 )
 def any_cover(spark, sf):
-    import datetime as dt
-
-    return iv.status_days_any(long_intervals(spark, sf), dt.date(1996, 1, 1), dt.date(1996, 3, 31))
+    return _per_entity(iv.status_days_any(long_intervals(spark, sf), LONG_START, LONG_END))
 
 
 @query(
     "status_days_as_of",
     sql(
-        """select entity, date from (
-          select c.date, l.entity, arg_max(coalesce(l.remove_date, date '2099-12-31'), (l.entry_date, l.seq)) as until
-          from long_intervals l join
-          (select cast(unnest(generate_series(date '1996-01-01', date '1996-03-31', interval 1 day)) as date) as date) c
-          on l.entry_date <= c.date group by 1, 2) where date <= until""",
-        "long_intervals",
+        _PER_ENTITY.format(
+            """select c.date, e.entity from (select distinct entity from long_intervals) e cross join long_cal c
+               asof join (
+                 select entity, entry_date, arg_max(coalesce(remove_date, date '2099-12-31'), seq) as until
+                 from long_intervals group by 1, 2) l
+               on l.entity = e.entity and l.entry_date <= c.date
+               where c.date <= l.until"""
+        ),
+        "long_intervals", extra=_LONG_CAL,
     ),
 )
 def as_of(spark, sf):
-    import datetime as dt
-
-    return iv.status_days_as_of(
-        long_intervals(spark, sf), dt.date(1996, 1, 1), dt.date(1996, 3, 31), "seq"
-    )
+    return _per_entity(iv.status_days_as_of(long_intervals(spark, sf), LONG_START, LONG_END, "seq"))
 
 
 @query("panel_status", sql("select entity, date, y_status from status_panel", "status_panel"))
@@ -318,8 +326,6 @@ def _dim_memory_sql() -> str:
 
 @query("decay_memory_four_dims", _dim_memory_sql())
 def memory_dims(spark, sf):
-    import datetime as dt
-
     output = (dt.date(2024, 1, 11), END)
     filled = pn.dense_fill(
         pn.universe(score_rows(spark, sf)), dim_scores(spark, sf), {d: None for d in fv.DIMS}, START, END

@@ -150,10 +150,11 @@ def run_from_documents(
     tasks = select_prefiltered(
         daily, (params.output_start, params.output_end), params.prefilter
     )
+    if not warmup:
+        # days before the output cannot matter: not scored either
+        tasks = tasks.where(F.col("date") >= F.lit(params.output_start))
     results = materialize(scoring_results(score_texts(tasks, make_scorer, parts=scorer_parts)))
     scores = results.select(*KEYS, F.col("risk_score").cast("double").alias("score"))
-    if not warmup:
-        scores = scores.where(F.col("date") >= F.lit(params.output_start))
     alive = memory_days(
         scores,
         decay=params.decay,
