@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpanel.llm import packing, sharding, simhash
+from watchpanel.llm import main_text, packing, quality_rules, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +46,13 @@ def op10_hash_tree_shards(spark: SparkSession, sf: str) -> DataFrame:
     tree = sharding.even_tree(8)
     placed = sharding.shard_documents(table(spark, sf, "documents"), tree, sharding.with_shard(tree, 8))
     return placed.withColumn("law", F.lit("key"))
+
+
+@query("op2_divergence_rules")
+def op2_divergence_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf, "documents"))
+
+
+@query("op6_main_text")
+def op6_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text.extract(table(spark, sf, "pages"))
