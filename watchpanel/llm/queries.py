@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpanel.llm import main_text, packing, quality_rules, sharding, simhash
+from watchpanel.llm import main_text, packing, quality_rules, sharding, simhash, surrogates
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: production takes its own from its key store
+PII_SECRET = "watchpanel-surrogates"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -56,3 +58,13 @@ def op2_divergence_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_main_text")
 def op6_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return main_text.extract(table(spark, sf, "pages"))
+
+
+@query("op7_surrogates")
+def op7_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, n_entities, text, spans) of every document; spans are JSON."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = surrogates.with_surrogates(docs, PII_SECRET, spans="found")
+    return found.select(
+        "doc_id", F.size("found").cast("bigint").alias("n_entities"), "text", F.to_json("found").alias("spans")
+    )
