@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpanel.llm import main_text, packing, quality_rules, sharding, simhash, surrogates
+from watchpanel.llm import main_text, packing, quality_rules, secrets, sharding, simhash, surrogates
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: production takes its own from its key store
@@ -68,3 +68,18 @@ def op7_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", F.size("found").cast("bigint").alias("n_entities"), "text", F.to_json("found").alias("spans")
     )
+
+
+@query("op5_trigram_secrets")
+def op5_trigram_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf, "documents"))
+    spans = F.col("spans")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [number(r.kind) for r in secrets.BASE]
+    base = F.filter(spans, lambda s: s["order"] < len(secrets.BASE))
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans")
+    )
