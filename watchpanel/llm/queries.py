@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpanel.llm import main_text, packing, quality_rules, secrets, sharding, simhash, surrogates
+from watchpanel.llm import decontaminate, main_text, packing, quality_rules, secrets, sharding, simhash, substrings, surrogates
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: production takes its own from its key store
@@ -83,3 +83,13 @@ def op5_trigram_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans")
     )
+
+
+@query("op4_spaced_seeds")
+def op4_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op8_block_anchors")
+def op8_block_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.repeated_words(table(spark, sf, "documents"))
