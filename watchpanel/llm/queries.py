@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpanel.llm import decontaminate, main_text, packing, quality_rules, secrets, sharding, simhash, substrings, surrogates
+from watchpanel.llm import decontaminate, main_text, packing, quality_rules, secrets, sharding, simhash, substrings, surrogates, weak_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: production takes its own from its key store
@@ -93,3 +93,8 @@ def op4_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_block_anchors")
 def op8_block_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.repeated_words(table(spark, sf, "documents"))
+
+
+@query("op1_weak_labels")
+def op1_weak_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return weak_labels.scored(table(spark, sf, "documents"))
