@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchpanel.llm.rowmatch import matching
+
 #: 1: the word counts, 0: it is ignored.  The second finds any run in which each fifth word differs.
 MASKS = ("11101001101", "11001110011", "10110110101")
 
@@ -125,4 +127,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     row = F.xxhash64(F.col(key), F.col(text))
     found = leaks(docs.select(row.alias("_leak"), F.col(text).alias("_t")), benchmark.select(
         F.col("item_id"), F.col("text").alias("_t")), "_leak", "_t", "item_id", "_t", match)
-    return docs.join(found.select("_leak").distinct(), row == F.col("_leak"), "left_anti")
+    return matching(docs, row, found, "_leak", "left_anti")

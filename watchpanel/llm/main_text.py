@@ -1,7 +1,8 @@
 """Main text of web pages: the maximum-scoring subsequence of words and tags.
 
 A page is a sequence of words and tags.  Words score positive and tags negative; one linear scan
-finds the contiguous region with the largest sum.  The weights come from labelled pages: those that
+finds the contiguous region with the largest sum; where most of its words lie in one ``<article>``
+or ``<main>`` element, the region becomes that element.  The weights come from labelled pages: those that
 mark their content with one ``<article>`` or ``<main>`` element.  A tag that stands about as often
 inside as outside costs little; a tag found at the edge or outside of content costs more than the
 words of any block that stood beside it there, so that no such block is worth crossing it.
@@ -157,7 +158,22 @@ def best_region(scores: list[float]) -> tuple[int, int]:
         total += s
         if total > best:
             best, found = total, (begin, i + 1)
-    return found
+    return begin, end
+
+
+def _element(seq: list, scores: list[float], begin: int, end: int) -> tuple[int, int]:
+    """The smallest whole article or main element with most of the region's words, or the region."""
+    total = sum(s for s in scores[begin:end] if s > 0)
+    open_: dict[str, list[int]] = {"article": [], "main": []}
+    for i, (kind, _, _) in enumerate(seq):
+        if kind in open_:
+            open_[kind].append(i)
+        elif kind[:1] == "/" and open_.get(kind[1:]):
+            first = open_[kind[1:]].pop()
+            inside = sum(s for s in scores[max(first, begin) : min(i, end)] if s > 0)
+            if total and 2 * inside > total:
+                return first + 1, i
+    return begin, end
 
 
 def main_text(page: str | None, weights: Weights) -> str:
@@ -167,7 +183,7 @@ def main_text(page: str | None, weights: Weights) -> str:
         -weights.cost(kind) if kind else 0.0 if aside else weights.word * len(text.split())
         for kind, text, aside in seq
     ]
-    begin, end = best_region(scores)
+    begin, end = _element(seq, scores, *best_region(scores))
     # text and inline tags at the edges belong to the block that the region starts or ends in
     while begin > 0 and not _edge(seq[begin - 1]):
         begin -= 1

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchpanel.llm.rowmatch import matching
 from watchpanel.llm.wordspans import Words, covered, slices, utf8
 from watchpanel.sources.storage import materialize
 
@@ -230,7 +231,7 @@ def _known(rows: DataFrame, rules: Rules) -> list:
 def _compared(rows: DataFrame, known: list, rules: Rules) -> DataFrame:
     """`rows` with char_distance and word_distance."""
     names = [r["lang"] for r in known]
-    ref = {f: np.array([r[f] for r in known]).reshape(len(known), -1) for f in ("chars", "common")}
+    ref = {f: np.array([r[f] for r in known], dtype=float) for f in ("chars", "common")}
     index = {name: i for i, name in enumerate(names)}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,4 +261,4 @@ def good_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
     language, so null and repeated keys are judged by their own text."""
     row = F.xxhash64(F.col(key).cast("bigint"), F.col(text), F.col(lang))
     found = judged(docs.select(row.alias("_row"), F.col(text).alias("_t"), F.col(lang).alias("_l")), "_row", "_t", "_l")
-    return docs.join(found.where("kept").select("_row").distinct(), row == F.col("_row"), "left_semi")
+    return matching(docs, row, found.where("kept"), "_row", "left_semi")

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from watchpanel.llm.components import components
 from watchpanel.llm.golay import ball_indices
+from watchpanel.llm.rowmatch import matching
 from watchpanel.sources.storage import materialize
 
 SHINGLE_WORDS = 3
@@ -146,9 +147,11 @@ def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text")
     chosen = materialize(
         found.where("_key = component_id").groupBy(F.col("_key").alias("_kept")).agg(F.count("*").alias("_times"))
     )
-    once = docs.join(chosen.where("_times = 1"), named == F.col("_kept"), "left_semi")
+    once = matching(docs, named, chosen.where("_times = 1"), "_kept", "left_semi")
     again = chosen.where("_times > 1")
     if again.isEmpty():
         return once
-    repeated = docs.withColumn("_key", named).join(again, F.col("_key") == F.col("_kept"), "left_semi")
-    return once.unionByName(repeated.dropDuplicates(["_key"]).drop("_key"))
+    repeated = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("all"), named.alias("key")).join(
+        again.select(F.col("_kept").alias("key")), "key", "left_semi"
+    )
+    return once.unionByName(repeated.groupBy("key").agg(F.min_by("all", F.xxhash64("all")).alias("all")).select("all.*"))

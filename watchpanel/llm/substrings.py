@@ -119,11 +119,12 @@ def repeated_words(
     chunks = max(1, round(total / chunk_chars))
     parts = min(1 << 16, max(1, round(total / 6 / part_hashes)))
     top = np.iinfo(np.int64).max
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    # a null key in pandas would turn the others into floats
+    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(top - 1)).alias("id"), F.col(text).alias("text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.length("text")), F.lit(chunks)))
 
     def keys(frame: pd.DataFrame) -> np.ndarray:
-        return frame["id"].fillna(top - 1).to_numpy(np.int64)
+        return frame["id"].to_numpy(np.int64)
 
     def send_blocks(frame: pd.DataFrame) -> pd.DataFrame:
         h, least, most = _blocks_in_chunk(utf8(frame["text"]), keys(frame), block)
@@ -193,7 +194,6 @@ def repeated_words(
                     h[mine].tobytes() if some else None,
                 ))
         made = pd.DataFrame(out, columns=["id", "chunk", "n_words", "sha", "text", "places", "windows"])
-        made["id"] = made["id"].astype("Int64")
         return made
 
     def send_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,7 +241,6 @@ def repeated_words(
             kept = b" ".join(words.word(j) for j in np.flatnonzero(~gone))
             out.append((id_, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
         made = pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-        made["id"] = made["id"].astype("Int64")
         return made
 
     sent = rows.groupBy("chunk").applyInPandas(
@@ -264,7 +263,8 @@ def repeated_words(
         "id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("sha").alias("kept_sha256"),
         F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")).alias("kept_text"),
     )
-    out = clean.unionByName(removed).withColumnRenamed("id", key)
+    both = clean.unionByName(removed)
+    out = both.withColumn("id", F.when(F.col("id") != top - 1, F.col("id"))).withColumnRenamed("id", key)
     return out if with_text else out.drop("kept_text")
 
 
