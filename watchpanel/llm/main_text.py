@@ -158,7 +158,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
         total += s
         if total > best:
             best, found = total, (begin, i + 1)
-    return begin, end
+    return found
 
 
 def _element(seq: list, scores: list[float], begin: int, end: int) -> tuple[int, int]:
