@@ -128,7 +128,7 @@ def memory_days(
 
     The sparse form of `decay_memory`: each live scored day stands for the days until the next
     scored one or until the level falls under `retain`.  Nothing is generated for the entities
-    and days without risk, which are nearly all of a panel.  Needs `decay` > 0.
+    and days without risk, which are nearly all of a panel.  With `decay` 0 a level never falls.
     """
     d = _number(decay)
     keep = _number(entry) if retain is None else _number(retain)
@@ -143,7 +143,10 @@ def memory_days(
     )
     w = Window.partitionBy(*keys).orderBy("date")
     next_day = F.lead("date").over(w)
-    reach = F.floor((F.col("_state") - keep) / d + F.lit(1.0)).cast("int")
+    # without decay a state lasts to the end
+    reach = F.coalesce(
+        F.floor(F.try_divide(F.col("_state") - keep, d) + F.lit(1.0)).cast("int"), F.datediff(F.lit(end), "date")
+    )
     last = F.least(F.date_add("date", reach), F.coalesce(F.date_sub("_next", 1), F.lit(end)), F.lit(end))
     first = F.col("date") if start is None else F.greatest("date", F.lit(start))
     level = F.col("_state") - d * F.datediff("_alive_day", "date")

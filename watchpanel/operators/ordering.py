@@ -7,6 +7,8 @@ row counts of the ranges give the position at which each range starts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,9 +59,13 @@ def with_running_total(
         .orderBy("_ordering_place")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # null groups are groups too; Spark broadcasts the starts if they are small
+    keys = ["_ordering_range", *group]
+    same = [F.col(c).eqNullSafe(F.col(f"_start_{c}")) for c in keys]
     return (
         rows.withColumn("_ordering_inside", F.sum("_ordering_weight").over(inside))
-        .join(F.broadcast(starts), ["_ordering_range", *group])
+        .join(starts.toDF(*[f"_start_{c}" if c in keys else c for c in starts.columns]), reduce(and_, same))
+        .drop(*[f"_start_{c}" for c in keys])
         .withColumn(out, F.col("_ordering_start") + F.col("_ordering_inside"))
         .drop("_ordering_range", "_ordering_place", "_ordering_weight", "_ordering_inside", "_ordering_start")
     )

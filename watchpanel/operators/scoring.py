@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from watchpanel import fixed_values as fv
 from watchpanel.functions.outputs import with_parsed_dims, with_parsed_score
@@ -61,7 +62,8 @@ def score_texts(
     `parts`, rows are dealt out evenly first: scoring cost does not depend on the key, so hot
     entities do not matter.
     """
-    schema = df.schema.add("raw_output", "string")
+    # `add` would change the frame's own schema
+    schema = T.StructType([*df.schema.fields, T.StructField("raw_output", T.StringType())])
     rows = df.repartition(parts) if parts else df
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ from watchpanel import fixed_values as fv
 from watchpanel.functions.columns import row_max
 from watchpanel.operators.documents import daily_text, lookback_text, select_plain, select_prefiltered
 from watchpanel.operators.evaluate import daily_metrics, match_runs, matched_days, overall_metrics
-from watchpanel.operators.intervals import entry_days, status_days_any, status_days_as_of
+from watchpanel.operators.intervals import entry_days, status_days_any
 from watchpanel.operators.memory import cut_stale, forward_fill, memory_days
 from watchpanel.operators.panel import KEYS, in_range, universe
 from watchpanel.operators.scoring import KeywordScorer, Scorer, place_results_dense, score_texts, scoring_results
@@ -163,7 +163,7 @@ def run_from_documents(
         start=params.output_start,
         end=params.output_end,
     )
-    status = status_days_as_of(intervals, first, params.output_end)
+    status = status_days_any(intervals, first, params.output_end)
     return RuleRun(alive, status, params, first), daily
 
 
