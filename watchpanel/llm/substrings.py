@@ -179,7 +179,7 @@ def repeated_words(
         for cut in slices(texts):
             words = Words(texts[cut])
             full = words.windows(block)
-            at, h = _anchored_windows(words, full, told(full[1]), anchors, width, block)
+            at = _anchored_windows(words, full, told(full[1]), anchors, width, block)
             doc = words.doc[at]
             bounds = np.searchsorted(doc, np.arange(len(words.texts) + 1))
             frame = texts_.iloc[cut]
@@ -190,20 +190,21 @@ def repeated_words(
                     frame["id"].iloc[i], frame["chunk"].iloc[i], int(words.counts[i]),
                     None if some else _sha(words, i, None),
                     frame["text"].iloc[i] if some or with_text else None,
-                    (at[mine] - words.first[i]).astype("<i4").tobytes() if some else None,
-                    h[mine].tobytes() if some else None,
+                    _runs(at[mine] - words.first[i]) if some else None,
                 ))
-        made = pd.DataFrame(out, columns=["id", "chunk", "n_words", "sha", "text", "places", "windows"])
+        made = pd.DataFrame(out, columns=["id", "chunk", "n_words", "sha", "text", "places"])
         return made
 
     def send_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            h = np.concatenate([np.frombuffer(w, np.uint64) for w in frame["windows"]])
-            ids = np.repeat(keys(frame), [len(w) // 8 for w in frame["windows"]])
+            each = [_windows(t, p, width)[2] for t, p in zip(frame["text"], frame["places"])]
+            sizes = [len(x) for x in each]
+            h = np.concatenate(each)
+            ids = np.repeat(keys(frame), sizes)
             for chunk in frame["chunk"].unique():
-                own = np.repeat((frame["chunk"] == chunk).to_numpy(), [len(w) // 8 for w in frame["windows"]])
+                own = np.repeat((frame["chunk"] == chunk).to_numpy(), sizes)
                 order = np.lexsort((ids[own], h[own]))
                 hs, ks = h[own][order], ids[own][order]
                 first = np.concatenate([[True], hs[1:] != hs[:-1]])
@@ -231,13 +232,9 @@ def repeated_words(
             order = np.lexsort((k, h))
             h, k = h[order], k[order]
         out = []
-        for id_, own, text_, places, windows in zip(
-            texts_["id"], keys(texts_), texts_["text"], texts_["places"], texts_["windows"]
-        ):
-            words = Words([text_.encode()])
-            least = k[np.searchsorted(h, np.frombuffer(windows, np.uint64))]
-            at = np.frombuffer(places, "<i4")[least < own].astype(np.int64)
-            gone = covered(at, width, len(words))
+        for id_, own, text_, places in zip(texts_["id"], keys(texts_), texts_["text"], texts_["places"]):
+            words, at, mine = _windows(text_, places, width)
+            gone = covered(at[k[np.searchsorted(h, mine)] < own], width, len(words))
             kept = b" ".join(words.word(j) for j in np.flatnonzero(~gone))
             out.append((id_, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
         made = pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
@@ -249,17 +246,17 @@ def repeated_words(
     anchors = sent.groupBy("part").applyInPandas(find_anchors, "chunk long, part long, hashes binary")
     extended = materialize(
         rows.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInPandas(
-            extend, "id long, chunk long, n_words long, sha string, text string, places binary, windows binary"
+            extend, "id long, chunk long, n_words long, sha string, text string, places binary"
         )
     )
-    hit = extended.where("windows is not null")
+    hit = extended.where("places is not null")
     known = hit.mapInPandas(send_windows, "chunk long, part long, hashes binary, least binary").groupBy("part").applyInPandas(
         least_keys, "chunk long, hashes binary, least binary"
     )
-    removed = hit.select("id", "chunk", "text", "places", "windows").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(
+    removed = hit.select("id", "chunk", "text", "places").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(
         remove, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
-    clean = extended.where("windows is null").select(
+    clean = extended.where("places is null").select(
         "id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("sha").alias("kept_sha256"),
         F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")).alias("kept_text"),
     )
@@ -269,13 +266,27 @@ def repeated_words(
 
 
 def _anchored_windows(words: Words, full, told: np.ndarray, anchors: np.ndarray, width: int, block: int):
-    """Windows that hold an anchor: index of the first word, and hash."""
+    """Index of the first word of each window that holds an anchor."""
     near = np.zeros(len(words) + 1, np.int64)
     place = np.minimum(np.searchsorted(anchors, told), max(len(anchors) - 1, 0))
     hit = full[0][anchors[place] == told] if len(anchors) else full[0][:0]
     # a window holds the run if it starts at most width - block words before it
     np.add.at(near, np.maximum(hit - (width - block), 0), 1)
     np.add.at(near, hit + 1, -1)
-    at, h = words.windows(width)
-    keep = np.cumsum(near)[at] > 0
-    return at[keep], h[keep]
+    at, _ = words.windows(width)
+    return at[np.cumsum(near)[at] > 0]
+
+
+def _runs(places: np.ndarray) -> bytes:
+    """Ascending places as (first, end) of each unbroken run."""
+    cut = np.flatnonzero(np.diff(places) != 1)
+    first = places[np.concatenate([[0], cut + 1])]
+    end = places[np.concatenate([cut, [len(places) - 1]])] + 1
+    return np.stack([first, end], axis=1).astype("<i4").tobytes()
+
+
+def _windows(text: str, runs: bytes, width: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of a text, and places and hashes of its windows in the runs."""
+    words = Words([text.encode()])
+    at = np.concatenate([np.arange(a, b) for a, b in np.frombuffer(runs, "<i4").reshape(-1, 2)])
+    return words, at, words.windows(width)[1][at]
