@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,20 +10,23 @@ from watchpanel.operators.memory import cut_stale, decay_memory, forward_fill, m
 DAY0 = dt.date(2024, 1, 1)
 
 
-def loop(values, decay, entry, retain):
-    """Day by day, as the memory is defined."""
-    state, out = 0.0, []
-    for v in values:
-        state = max(0.0, state - decay)
-        if v is not None and v > 0:
-            if state > 0:
-                state = max(state, v)
-            elif v >= entry:
-                state = v
-        if state < retain:
-            state = 0.0
-        out.append(state)
-    return out
+def searched(values, decay, entry, retain):
+    """State of each day: the best level among all stretches that reach it, found by search.
+
+    A stretch begins with a value that may enter.  Its level is the best of its values, each less
+    `decay` for every day since; it ends where that is under `retain`, or would be used up overnight.
+    """
+    d = Fraction(str(decay))
+    known = [(i, Fraction(v)) for i, v in enumerate(values) if v]
+    best = [Fraction(0)] * len(values)
+    for first in (i for i, v in known if v >= entry):
+        levels = [
+            max(v - d * (day - i) for i, v in known if first <= i <= day) for day in range(first, len(values))
+        ]
+        ends = [n for n, x in enumerate(levels) if x < retain or (n and levels[n - 1] <= d)]
+        for n, x in enumerate(levels[: ends[0] if ends else None]):
+            best[first + n] = max(best[first + n], x)
+    return [float(x) for x in best]
 
 
 def frame(spark, series):
@@ -41,18 +45,18 @@ def random_series(seed, n, days):
     ]
 
 
-SETTINGS = [(0.3, 80, 65), (0.5, 80, 80), (5, 80, 65), (30, 60, 20), (0.5, 0, 0), (2, 50, 0), (70, 70, 65), (1, 10, 5)]
+SETTINGS = [(0, 80, 65), (0.3, 80, 65), (0.5, 80, 80), (5, 80, 65), (30, 60, 20), (0.5, 0, 0), (2, 50, 0), (70, 70, 65), (1, 10, 5)]
 
 
 @pytest.mark.parametrize("decay,entry,retain", SETTINGS)
-def test_dense_and_sparse_equal_loop(spark, decay, entry, retain):
+def test_dense_and_sparse_equal_search(spark, decay, entry, retain):
     series = random_series(int(decay * 10) + entry, 60, 90)
     df = frame(spark, series)
     got = decay_memory(df, {"score": "m"}, decay=decay, entry=entry, retain=retain)
     by_key = {(r.entity, r.date): r.m for r in got.collect()}
     want = {}
     for e, s in enumerate(series):
-        for i, state in enumerate(loop(s, decay, entry, retain)):
+        for i, state in enumerate(searched(s, decay, entry, retain)):
             want[(f"e{e:04d}", DAY0 + dt.timedelta(days=i))] = state
     assert by_key == pytest.approx(want, abs=1e-4)
     end = DAY0 + dt.timedelta(days=89)
@@ -64,12 +68,12 @@ def test_dense_and_sparse_equal_loop(spark, decay, entry, retain):
     )
 
 
-def test_default_thresholds_live_as_long_as_the_loop(spark):
+def test_default_thresholds_live_as_long_as_defined(spark):
     """80..100 falling by 0.3 to 65: the closed form must not die a day early or late."""
     series = [[float(v)] + [None] * 130 for v in range(60, 101)]
     got = decay_memory(frame(spark, series), {"score": "m"}, decay=0.3, entry=80, retain=65)
     lived = {r.entity: r.n for r in got.groupBy("entity").agg(F.count_if(F.col("m") > 0).alias("n")).collect()}
-    want = {f"e{e:04d}": sum(x > 0 for x in loop(s, 0.3, 80, 65)) for e, s in enumerate(series)}
+    want = {f"e{e:04d}": sum(x > 0 for x in searched(s, 0.3, 80, 65)) for e, s in enumerate(series)}
     assert lived == want
 
 
