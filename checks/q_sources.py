@@ -190,7 +190,7 @@ def watchlist_rows(spark, sf):
     "reasoned_watchlist_document",
     sql(
         """select date, cast(row_number() over (partition by date order by score desc, entity) as int) as rank, entity,
-             cast(trunc(score) as int) as risk_score, 0 as is_st, '无相关公告' as ann_daily from listed""",
+             cast(trunc(score) as bigint) as risk_score, 0 as is_st, '无相关公告' as ann_daily from listed""",
         "listed",
     ),
 )

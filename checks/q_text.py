@@ -133,7 +133,7 @@ def calendar_features(spark, sf):
     "clip_and_integer_scores",
     sql(
         """select event_id as id, round(least(greatest((value - 50) / 100, 0), 1), 6) as unit,
-             cast(trunc(value - 50) as int) as whole from events"""
+             cast(trunc(value - 50) as bigint) as whole from events"""
     ),
 )
 def clip_int(spark, sf):
@@ -454,7 +454,7 @@ def _document_intervals(spark, sf):
 
 
 _REASONED_SELECT = """select m.date, cast(row_number() over (partition by m.date order by s desc, m.entity) as bigint) as rank, m.entity,
-             cast(trunc(s) as int) as risk_score, 0 as is_st, coalesce(t.doc_text, '无相关公告') as ann_daily
+             cast(trunc(s) as bigint) as risk_score, 0 as is_st, coalesce(t.doc_text, '无相关公告') as ann_daily
            from doc_mem m left join doc_text t using (entity, date)
            where s >= 40 and not exists (select 1 from doc_status d where d.entity = m.entity and d.date = m.date)"""
 
@@ -489,6 +489,37 @@ def plain_scheme(spark, sf):
     return df.select(*KEYS, F.col("score").cast("double").alias("score"))
 
 
+# --- status entities and limits -----------------------------------------------
+@query(
+    "plain_scheme_with_status_entities",
+    sql(
+        """select entity, date, cast(score as double) as score from (
+             select p.entity, p.date, case when x.seen is null or p.date - x.seen > 4 then 0 else x.score end as score
+             from (select * from doc_panel where date >= date '2024-01-01') p left join lateral (
+               select q.date as seen, q.score from (
+                 select entity, date, """
+        + _SCORE_SQL.replace("text", "lookback")
+        + """ as score from text_panel where doc_text <> '无相关公告' and date >= date '2024-01-01') q
+               where q.entity = p.entity and q.date <= p.date order by q.date desc limit 1) x on true
+             union all
+             select entity, date, 0 from (select distinct lpad(cast(user_id as varchar), 6, '0') as entity from events
+               where event_type = 'signup' and value > 60) cross join
+               (select cast(unnest(generate_series(date '2024-01-01', date '2024-01-20', interval 1 day)) as date) as date))""",
+        "doc_text", extra=_TEXT_PANEL,
+    ),
+)
+def plain_scheme_status(spark, sf):
+    """Entities that have intervals only are in the panel, with score 0."""
+    from watchpanel.plans.rule_track import filled_scores
+
+    signups = table(spark, sf, "events").where((F.col("event_type") == "signup") & (F.col("value") > 60))
+    intervals = signups.select(
+        cl.normalize_code("user_id").alias("entity"), F.to_date("ts").alias("entry_date"), F.to_date("ts").alias("remove_date")
+    )
+    df = filled_scores(documents(spark, sf), _document_rules(), make_scorer, intervals=intervals, max_days=4)
+    return df.select(*KEYS, F.col("score").cast("double").alias("score"))
+
+
 # --- four dimensions from documents -----------------------------------------
 DIM_WORDS = dict(
     zip(fv.DIMS, (("attion", "License"), ("tion the", "@"), ("worthless", "license"), ("nicht", "que la", "anea")))

@@ -35,8 +35,8 @@ def test_numbers(spark):
     assert column(spark, given, cl.coerce_score("x")) == [5, 0, 0, 0, 100, 0]
     assert column(spark, given, cl.coerce_score("x", clip=False)) == [5, 0, 0, -3, 120, 0]
     assert column(spark, [None, -1.0, 0.5, 3.0], cl.clip_unit("x"), "double") == [None, 0, 0.5, 1]
-    values = [79.9, -1.5, float("nan"), float("inf"), None]
-    assert column(spark, values, cl.int_score("x"), "double") == [79, -1, 0, 0, 0]
+    values = [79.9, -1.5, float("nan"), float("inf"), None, 3e9, -3e9, 1e30]
+    assert column(spark, values, cl.int_score("x"), "double") == [79, -1, 0, 0, 0, 3 * 10**9, -3 * 10**9, 2**63 - 1]
 
 
 def test_clean_text(spark):
@@ -95,9 +95,9 @@ def test_prefilter(spark):
     assert [(r.filter_label, r.filter_score) for r in rows[:3]] == [("LOW", 0), ("LOW", 0), ("HIGH", 7)]
     assert rows[3].filter_score == 3 + 2 + 2 and rows[4].filter_score == 1
     long = spark.createDataFrame([(0, "平" * 1300 + "立案")], "i int, x string")
-    assert tx.with_prefilter(long, "x").first().filter_score == 0
-    whole = tx.with_prefilter(long, "x", PrefilterParams(scan_chars=None)).first()
-    assert whole.filter_score == 1
+    assert tx.with_prefilter(long, "x").first().filter_score == 1
+    prefix = tx.with_prefilter(long, "x", PrefilterParams(scan_chars=1200)).first()
+    assert prefix.filter_score == 0
 
 
 def test_score_parsing(spark):

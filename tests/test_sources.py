@@ -102,10 +102,16 @@ def test_written_document_is_one_json_object(spark, tmp_path):
     }
 
 
-def test_days_in_parts_need_the_row_form(spark, tmp_path):
+def test_days_in_parts_are_one_value_of_the_document(spark, tmp_path):
     days = spark.createDataFrame([(D, 0, ["a"]), (D, 1, ["b"])], "date date, part int, entities array<string>")
-    with pytest.raises(ValueError, match="row form"):
-        wr.write_document(days, "entities", str(tmp_path / "doc"))
+    long = days.unionByName(spark.createDataFrame([(day(1), 0, []), (day(2), 0, ["c"]), (day(2), 1, ["d"]), (day(2), 2, ["]}"])], days.schema))
+    wr.write_document(long.repartition(4), "entities", str(tmp_path / "doc"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "doc").glob("part-*")))
+    assert json.loads(text) == {"2024-01-01": ["a", "b"], "2024-01-02": [], "2024-01-03": ["c", "d", "]}"]}
+    maps = spark.createDataFrame([(D, 1, {"a": 0.5}), (D, 4, {"b": None})], "date date, part int, labels map<string,double>")
+    wr.write_document(maps, "labels", str(tmp_path / "maps"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "maps").glob("part-*")))
+    assert json.loads(text) == {"2024-01-01": {"a": 0.5, "b": None}}
     wr.write_day_objects(days, str(tmp_path / "rows"))
     rows = rd.scan_watchlist_rows(spark, str(tmp_path / "rows"), D, D).collect()
     assert {r.entity for r in rows} == {"a", "b"}

@@ -106,10 +106,18 @@ def calendar_parts(date: Column | str) -> dict[str, Column]:
 
 
 def int_score(c: Column | str) -> Column:
-    """Truncate toward zero; missing or non-finite becomes 0."""
+    """Truncate toward zero to a bigint; missing or non-finite becomes 0.
+
+    Values beyond the 64-bit range become its ends.
+    """
     col = as_column(c).cast("double")
-    finite = col.isNotNull() & ~F.isnan(col) & (F.abs(col) < F.lit(2.0**31))
-    return F.when(finite, col.cast("int")).otherwise(F.lit(0))
+    top = 2**63 - 1
+    return (
+        F.when(col.isNull() | F.isnan(col) | (F.abs(col) == float("inf")), F.lit(0).cast("bigint"))
+        .when(col >= 2.0**63, F.lit(top))
+        .when(col < -(2.0**63), F.lit(-top - 1))
+        .otherwise(col.try_cast("bigint"))
+    )
 
 
 def or_placeholder(c: Column | str, placeholder: str = fv.NO_DOCUMENT) -> Column:

@@ -40,16 +40,24 @@ def contains_any(c: Column, phrases: Sequence[str]) -> Column:
     return found
 
 
+def first_chars(c: Column | str, n: int | None) -> Column:
+    """The first n characters; everything when n is None."""
+    return as_column(c) if n is None else F.substring(as_column(c), 1, n)
+
+
 def with_key_sentences(
     df: DataFrame, text: str, out: str, params: TextParams = TextParams()
 ) -> DataFrame:
     """Add the key sentences of a text column.
 
     Short texts are kept whole.  Longer ones give the first few different sentences that
-    contain a keyword; without any, their head and tail.  Done in steps so that the cleaned
-    text and the sentence list are evaluated once per row.
+    contain a keyword; without any, their head and tail.  Without a length limit every text is
+    kept whole.  Done in steps so that the cleaned text and the sentence list are evaluated once
+    per row.
     """
     n = params.key_max_chars
+    if n is None:
+        return df.withColumn(out, clean_text(text))
     half = n // 2
     c, sentences, picked = F.col("_clean"), F.col("_sentences"), F.col("_picked")
     tail = strip(F.right(c, F.lit(half)))
@@ -63,10 +71,11 @@ def with_key_sentences(
         sentences,
         lambda s: (F.length(s) >= params.min_sentence_chars) & contains_any(s, params.keywords),
     )
+    different = F.array_distinct(relevant)
     return (
         df.withColumn("_clean", clean_text(text))
         .withColumn("_sentences", F.when(longer, split_up))
-        .withColumn("_picked", F.slice(F.array_distinct(relevant), 1, params.max_sentences))
+        .withColumn("_picked", different if params.max_sentences is None else F.slice(different, 1, params.max_sentences))
         .withColumn(
             out,
             F.when(~longer, c)
@@ -82,12 +91,10 @@ def document_line(
     category: Column | str, title: Column | str, key: Column | str, params: TextParams = TextParams()
 ) -> Column:
     """`category：title`, followed by the key sentences when there are any."""
-    head = F.concat(
-        as_column(category), F.lit("："), F.substring(as_column(title), 1, params.title_max_chars)
-    )
+    head = F.concat(as_column(category), F.lit("："), first_chars(title, params.title_max_chars))
     body = as_column(key)
     line = F.when(body != "", F.concat(head, F.lit("；正文要点："), body)).otherwise(head)
-    return F.substring(line, 1, params.document_max_chars)
+    return first_chars(line, params.document_max_chars)
 
 
 def keep_tail(c: Column | str, max_chars: int, mark: str = fv.TRUNCATED_MARK) -> Column:
@@ -128,8 +135,7 @@ def with_prefilter(
 ) -> DataFrame:
     """Rate a text by different keywords found, category terms and keyword density.
 
-    `scan_chars=None` reads the whole text; the default window is longer than any composed
-    daily text.
+    The whole text is read unless `scan_chars` limits it to a prefix.
     """
     text_col = strip(F.coalesce(F.col(text), F.lit("")))
     scanned = text_col if params.scan_chars is None else F.substring(text_col, 1, params.scan_chars)

@@ -32,14 +32,15 @@ def usable_documents(df: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     )
 
 
-def first_documents(df: DataFrame, n: int) -> DataFrame:
-    """The first n documents of each entity and day, by publish time and id.
+def first_documents(df: DataFrame, n: int | None) -> DataFrame:
+    """The first n documents of each entity and day, by publish time and id; all when n is None.
 
     The rank limit is pushed below the shuffle, so each task sends at most n documents of a
     key, however many it has.
     """
     order = Window.partitionBy(*KEYS).orderBy("publish_date", "id")
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    placed = df.withColumn("rank", F.row_number().over(order))
+    return placed if n is None else placed.where(F.col("rank") <= n)
 
 
 def daily_lines(
@@ -70,8 +71,8 @@ def daily_text(
 ) -> DataFrame:
     """`entity, date, doc_text` for the days with documents, lines in publish order.
 
-    At most `max_docs_per_day` lines are collected per group, and the group key is the key of
-    the window before it, so there is one shuffle for both.
+    At most `max_docs_per_day` lines are collected per group (with None the day's text holds them
+    all), and the group key is the key of the window before it, so there is one shuffle for both.
     """
     lines = daily_lines(df, start, end, params)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "line")))

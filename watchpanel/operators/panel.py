@@ -16,13 +16,6 @@ from watchpanel.functions.columns import clip_unit
 KEYS = ["entity", "date"]
 
 
-def days_between(start: Column, end: Column) -> Column:
-    """Array of the natural days start..end, empty when there are none."""
-    return F.when(start <= end, F.sequence(start, end)).otherwise(
-        F.array().cast("array<date>")
-    )
-
-
 def calendar(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
     """All natural days start..end."""
     return spark.range(1).select(

@@ -78,7 +78,7 @@ def run_metadata(
 ) -> DataFrame:
     """One row describing a run: the settings, and each one-row table as a struct.
 
-    Every table has one row, which is read to the driver.
+    Every table must have exactly one row, which is read to the driver.
     """
     columns = []
     for name, value in settings.items():
@@ -86,7 +86,10 @@ def run_metadata(
         column = F.array(*[F.lit(v) for v in plain]) if isinstance(plain, list) else F.lit(plain)
         columns.append(column.alias(name))
     for name, table in tables.items():
-        row = table.first()
+        found = table.limit(2).collect()
+        if len(found) != 1:
+            raise ValueError(f"{name} must have exactly one row")
+        row = found[0]
         fields = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in table.schema]
         columns.append(F.struct(*fields).alias(name))
     return spark.range(1).select(*columns)

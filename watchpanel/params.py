@@ -10,15 +10,15 @@ from watchpanel import fixed_values as fv
 
 @dataclass(frozen=True)
 class TextParams:
-    """How documents are condensed into one text per entity and day."""
+    """How documents are condensed into one text per entity and day; a limit of None is off."""
 
-    max_docs_per_day: int = 3
+    max_docs_per_day: int | None = 3
     use_key_sentences: bool = True
-    max_sentences: int = 3
-    key_max_chars: int = 300
+    max_sentences: int | None = 3
+    key_max_chars: int | None = 300
     min_sentence_chars: int = 8
-    title_max_chars: int = 60
-    document_max_chars: int = 220
+    title_max_chars: int | None = 60
+    document_max_chars: int | None = 220
     lookback_days: int = 60
     keywords: tuple[str, ...] = fv.RULE_KEYWORDS
     sentence_breaks: str = fv.SENTENCE_BREAKS
@@ -32,7 +32,7 @@ class PrefilterParams:
     medium: int = 3
     keywords: tuple[str, ...] = fv.RULE_KEYWORDS
     category_terms: tuple[str, ...] = fv.CATEGORY_TERMS
-    scan_chars: int | None = 1200
+    scan_chars: int | None = None
     allowed: tuple[str, ...] = ("HIGH", "MEDIUM")
 
 

@@ -120,6 +120,7 @@ def score_dims(
     make_scorer: Callable[[], Scorer],
     *,
     output: tuple[dt.date, dt.date],
+    intervals: DataFrame | None = None,
     text: TextParams = TextParams(),
     prefilter: PrefilterParams = MODEL_PREFILTER,
     decay: float = 0.5,
@@ -128,7 +129,8 @@ def score_dims(
 ) -> DataFrame:
     """Documents to the decayed four-dimension score panel of the output period.
 
-    The memory warms up over the lookback days.
+    The memory warms up over the lookback days.  Entities of `intervals` without documents belong
+    to the panel too.
     """
     first = output[0] - dt.timedelta(days=text.lookback_days)
     daily = daily_text(documents, first, output[1], text)
@@ -137,7 +139,8 @@ def score_dims(
     results = materialize(
         scoring_results(score_texts(tasks, make_scorer, parts=scorer_parts), fv.DIMS)
     )
-    placed = place_results_dense(universe(documents), results, fv.DIMS, first, output[1])
+    known = universe(documents) if intervals is None else universe(documents, intervals)
+    placed = place_results_dense(known, results, fv.DIMS, first, output[1])
     decayed = decay_memory(
         placed,
         {d: f"{d}_state" for d in fv.DIMS},

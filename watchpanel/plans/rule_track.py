@@ -141,8 +141,8 @@ def run_from_documents(
 ) -> tuple[RuleRun, DataFrame]:
     """Documents and status intervals to watchlist and metrics; also returns the daily texts.
 
-    The memory starts empty on the first output day unless `warmup` lets the lookback days
-    count.  Daily texts and scores are kept in shared storage: documents are read once and every
+    The lookback days are scored too; the memory starts empty on the first output day unless
+    `warmup` lets them count.  Daily texts and scores are kept in shared storage: documents are read once and every
     text is scored once, whatever is asked for afterwards.
     """
     first = params.output_start - dt.timedelta(days=params.text.lookback_days)
@@ -150,11 +150,10 @@ def run_from_documents(
     tasks = select_prefiltered(
         daily, (params.output_start, params.output_end), params.prefilter
     )
-    if not warmup:
-        # days before the output cannot matter: not scored either
-        tasks = tasks.where(F.col("date") >= F.lit(params.output_start))
     results = materialize(scoring_results(score_texts(tasks, make_scorer, parts=scorer_parts)))
     scores = results.select(*KEYS, F.col("risk_score").cast("double").alias("score"))
+    if not warmup:
+        scores = scores.where(F.col("date") >= F.lit(params.output_start))
     alive = memory_days(
         scores,
         decay=params.decay,
@@ -172,6 +171,7 @@ def filled_scores(
     params: RuleParams,
     make_scorer: Callable[[], Scorer] = KeywordScorer,
     *,
+    intervals: DataFrame | None = None,
     dims: Sequence[str] | None = None,
     fill: bool = True,
     max_days: int | None = 30,
@@ -180,7 +180,7 @@ def filled_scores(
     """The plain scheme: score the lookback text of document days, carry scores forward.
 
     Returns the dense output panel with `score`, or with `dims` when the scorer gives several
-    dimensions.
+    dimensions.  Entities of `intervals` without documents belong to the panel too.
     """
     output = (params.output_start, params.output_end)
     first = params.output_start - dt.timedelta(days=params.text.lookback_days)
@@ -192,7 +192,8 @@ def filled_scores(
     columns = ["score"] if dims is None else list(dims)
     if dims is None:
         results = results.withColumnRenamed("risk_score", "score")
-    placed = place_results_dense(universe(documents), results, columns, *output)
+    known = universe(documents) if intervals is None else universe(documents, intervals)
+    placed = place_results_dense(known, results, columns, *output)
     if not fill:
         return placed
     marked = placed.withColumn("_scored", F.col(columns[0]).isNotNull())

@@ -205,7 +205,7 @@ def scan_daily_watchlist(
     return distinct_keys(in_range(rows, start, end))
 
 
-_REASON = "array<struct<stock_code:string,risk_score:int,is_st:int,ann_daily:string>>"
+_REASON = "array<struct<stock_code:string,risk_score:bigint,is_st:int,ann_daily:string>>"
 
 
 def scan_reasoned_watchlist(spark: SparkSession, path: str, *, by_line: bool = False) -> DataFrame:

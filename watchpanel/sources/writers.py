@@ -2,7 +2,7 @@
 
 The stored form of every result is rows.  The `{day: value}` documents of the exchange format
 are written as text with one day per line, in date order over as many files as there are ranges:
-the files put one after another are the document, and no task holds more than its own days.
+the files put one after another are the document, and no task holds more than its own lines.
 """
 
 from __future__ import annotations
@@ -21,25 +21,32 @@ def write_day_objects(days: DataFrame, path: str) -> None:
 
 
 def write_document(days: DataFrame, value: Column | str, path: str) -> None:
-    """Exchange form: one JSON document `{day: value, ...}`, a line per day.
+    """Exchange form: one JSON document `{day: value, ...}`, a line per day, or per part of a day.
 
-    A day must come in one part; longer lists have the row form.
+    A day in several parts (lists or maps) is one value of the document: its first line opens
+    the value, its last one closes it (such a document is read as a whole, not by line).
     """
     item = F.col(value) if isinstance(value, str) else value
-    extent = [F.min("date").alias("first"), F.max("date").alias("last")]
-    if "part" in days.columns:
-        extent.append(F.max("part").alias("parts"))
-    bounds = days.agg(*extent).first()
-    if "part" in days.columns and bounds["parts"]:
-        raise ValueError("a day has several parts; use the row form (write_day_objects)")
+    rows = days if "part" in days.columns else days.withColumn("part", F.lit(0))
+    extent = rows.groupBy("date").agg(F.min("part").alias("_first"), F.max("part").alias("_last"))
+    bounds = extent.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+    opens, closes = F.col("part") == F.col("_first"), F.col("part") == F.col("_last")
     pair = F.to_json(F.create_map(F.col("date").cast("string"), item), {"ignoreNullFields": "false"})
-    inner = F.substring(pair, F.lit(2), F.length(pair) - 2)
+    # {"2024-01-01":[ and ]} are 15 and 2 characters, of a map as of a list
+    inner = F.substring(pair, F.lit(16), F.length(pair) - 17)
     line = F.concat(
-        F.when(F.col("date") == F.lit(bounds["first"]), F.lit("{")).otherwise(F.lit(" ")),
+        F.when(opens & (F.col("date") == F.lit(bounds["first"])), F.lit("{")).otherwise(F.lit(" ")),
+        F.when(opens, F.substring(pair, 2, 14)).otherwise(F.lit("")),
         inner,
-        F.when(F.col("date") == F.lit(bounds["last"]), F.lit("}")).otherwise(F.lit(",")),
+        F.when(~closes, F.lit(",")).otherwise(
+            F.concat(
+                F.substring(pair, F.length(pair) - 1, F.lit(1)),
+                F.when(F.col("date") == F.lit(bounds["last"]), F.lit("}")).otherwise(F.lit(",")),
+            )
+        ),
     )
-    days.orderBy("date").select(line.alias("value")).write.mode("overwrite").text(path)
+    lines = rows.join(extent, "date").orderBy("date", "part").select(line.alias("value"))
+    lines.write.mode("overwrite").text(path)
 
 
 def write_json_rows(df: DataFrame, path: str) -> None:
