@@ -76,3 +76,17 @@ def test_ranks_of_a_hot_day(rows):
     top = out.groupBy("date").agg(F.max("rank").alias("n"), F.count_distinct("rank").alias("m"))
     sizes = {r.date: r["count"] for r in listed.groupBy("date").count().collect()}
     assert {r.date: (r.n, r.m) for r in top.collect()} == {d: (n, n) for d, n in sizes.items()}
+
+
+def test_all_documents_without_limits(rows):
+    docs = rows.where("id < 3000").select(
+        "id", "entity", F.col("date").cast("timestamp").alias("publish_date"), F.lit("类").alias("category_name"),
+        F.format_string("t%d", F.col("id")).alias("title"), F.lit("正文" * 400).alias("content"),
+    )
+    off = TextParams(
+        max_docs_per_day=None, max_sentences=None, key_max_chars=None, title_max_chars=None, document_max_chars=None
+    )
+    out = dc.daily_text(docs, D, D + dt.timedelta(days=40), off)
+    lines = out.select(F.explode(F.split("doc_text", "；类：")).alias("line"))
+    assert lines.count() == 3000
+    assert lines.where(F.col("line").endswith("正文" * 400)).count() == 3000
