@@ -318,3 +318,38 @@ def test_all_queries_run(spark):
     for name in ("op5_trigram_secrets", "op7_surrogates", "op10_hash_tree_shards"):
         assert queries.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert os.path.exists(SF)
+
+
+@pytest.mark.parametrize("pairs_up_to", [64, 2])
+def test_near_copies_against_brute_force(spark, pairs_up_to):
+    import random
+
+    from watchpanel.llm import nearcopies
+
+    draw = random.Random(5)
+    texts = []
+    for size in (12, 60, 300, 1000):
+        for _ in range(6):
+            words = [f"w{draw.randrange(20_000)}" for _ in range(size)]
+            texts.append(" ".join(words))
+            for changes in (1, size // 60, size // 45, size // 30):
+                copy = list(words)
+                for at in draw.sample(range(size), changes):
+                    copy[at] = "new"
+                texts.append(" ".join(copy))
+    texts += ["one two", "One  TWO", "one three", "", " ", None]
+    sets = [set(nearcopies.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = [(i, min(k for k, r in enumerate(root) if r == root[i])) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = nearcopies.near_copies(docs, "doc_id", "text", pairs_up_to=pairs_up_to)
+    same([tuple(r) for r in found.collect()], want)
+    import corpus_pipeline
+
+    if pairs_up_to == 64:
+        kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+        same([r.doc_id for r in kept], [i for i, least in want if i == least])

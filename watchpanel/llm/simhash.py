@@ -15,7 +15,7 @@ have such a point in common: rows stay in proportion to fingerprints, and no lin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -136,14 +136,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of `docs` for each component: the one with the smallest key.
+def one_per_component(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    near: Callable[[DataFrame, str, str], DataFrame] = near_duplicates,
+) -> DataFrame:
+    """One row of `docs` for each component of `near`: the one with the smallest key.
 
     A row without key takes part under a negative number made from its text, so that equal texts
     without keys are one document.  Of rows repeated under the kept key one stays.
     """
     named = F.coalesce(F.col(key).cast("bigint"), -1 - F.pmod(F.xxhash64(text), F.lit(1 << 62)))
-    found = near_duplicates(docs.select(named.alias("_key"), F.col(text).alias("_body")), "_key", "_body")
+    found = near(docs.select(named.alias("_key"), F.col(text).alias("_body")), "_key", "_body")
     chosen = materialize(
         found.where("_key = component_id").groupBy(F.col("_key").alias("_kept")).agg(F.count("*").alias("_times"))
     )
