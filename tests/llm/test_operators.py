@@ -353,3 +353,58 @@ def test_near_copies_against_brute_force(spark, pairs_up_to):
     if pairs_up_to == 64:
         kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
         same([r.doc_id for r in kept], [i for i, least in want if i == least])
+
+
+def test_masks_leave_a_place_for_each_pattern():
+    from itertools import combinations
+
+    def covered(masks, n, wrong):
+        return any(
+            all(c == "0" or t + i not in wrong for i, c in enumerate(m)) for m in masks for t in range(n - len(m) + 1)
+        )
+
+    for n in range(1, 21):
+        masks = decontaminate.MASKS if n >= 11 else decontaminate.short_masks(n, 0.8)
+        assert all(covered(masks, n, set(w)) for w in combinations(range(n), n // 5)), n
+
+
+def test_decontamination_against_brute_force(spark):
+    import random
+
+    draw = random.Random(3)
+
+    def words(n):
+        return [f"w{draw.randrange(5000)}" for _ in range(n)]
+
+    items = [(n, words(n)) for n in (1, 3, 5, 8, 10, 11, 12, 15, 19, 25, 40)] + [(None, words(30))]
+    texts = []
+    for _, it in items:
+        n = len(it)
+        for wrong in (0, n // 5, n // 5 + 1):
+            copy = list(it)
+            for at in draw.sample(range(n), min(n, wrong)):
+                copy[at] = "new"
+            texts += [copy, words(9) + copy + words(9)]
+        for cut in (12, 13, 15, 18):
+            # ends of documents inside the item, and short exact quotes
+            texts += [words(20) + it[:cut], it[-cut:] + words(20), words(20) + it[4 : 4 + cut] + words(20)]
+            texts.append([*words(20), "new", *it[1:cut]])
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+    def leaked(doc, it):
+        least = min(13, len(it))
+        for shift in range(-len(it) + 1, len(doc)):
+            same = [doc[i] == it[i - shift] for i in range(max(shift, 0), min(len(doc), shift + len(it)))]
+            if len(same) < least:
+                continue
+            n = min(20, len(it), len(same))
+            if any(sum(same[i : i + n]) >= 0.8 * n for i in range(len(same) - n + 1)):
+                return True
+            if any(all(same[i : i + 13]) for i in range(len(same) - 12)):
+                return True
+        return False
+
+    want = [(i, k) for i, t in enumerate(texts) for k, it in items if leaked(t, it)]
+    bench = spark.createDataFrame([(k, " ".join(it)) for k, it in items], "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    same([(r.doc_id, r.item_id) for r in found.collect()], want)
