@@ -408,3 +408,16 @@ def test_decontamination_against_brute_force(spark):
     bench = spark.createDataFrame([(k, " ".join(it)) for k, it in items], "item_id long, text string")
     found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
     same([(r.doc_id, r.item_id) for r in found.collect()], want)
+
+
+def test_numbers_in_front_of_personal_data():
+    for text, want in {
+        "Call 2025 555-123-4567": [("phone", "555-123-4567")],
+        "ssn 2024 123-45-6789 end": [("ssn", "123-45-6789")],
+        "no 1 22 333 123-45-6789": [("ssn", "123-45-6789")],
+        "12345 555-123-4567": [("phone", "555-123-4567")],
+        "id 20 4111 1111 1111 1111": [("card", "4111 1111 1111 1111")],
+        "4111 1111 1111 1111 123": [("card", "4111 1111 1111 1111")],
+        "12345678901234567": [],
+    }.items():
+        assert [(k, text[a:b]) for k, a, b in surrogates.entities(text)] == want, text

@@ -50,6 +50,8 @@ PATTERNS = {
     "name": rf"(?<=\b)(?:{_TITLE})\.?\x20[^\W\d_][^\W\d_'’-]+(?:\x20[^\W\d_][^\W\d_'’-]+)?",
 }
 _ANY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
+_NOT_CARD = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items() if kind != "card"))
+_DIGITS = re.compile(r"[0-9]+")
 # a text without any of these cannot hold an entity
 _MAYBE = re.compile(rf"@|[0-9]|\b(?:{_TITLE})\b")
 
@@ -206,6 +208,19 @@ def surrogate(secret: bytes, kind: str, value: str) -> str:
     return _MAKERS[kind](secret, value)
 
 
+def _inside(text: str, start: int, end: int) -> tuple[str, int, int] | None:
+    """The first entity that begins at a group of digits of a number that is no card."""
+    groups = [(start + g.start(), start + g.end()) for g in _DIGITS.finditer(text[start:end])]
+    for i, (at, _) in enumerate(groups):
+        if m := _NOT_CARD.match(text, at):
+            return m.lastgroup, at, m.end()
+        for _, stop in reversed(groups[i:]):
+            digits = re.sub(r"\D", "", text[at:stop])
+            if 13 <= len(digits) <= 19 and _luhn(digits):
+                return "card", at, stop
+    return None
+
+
 def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of the entities of a whole text, leftmost first, without overlaps."""
     if not text or not _MAYBE.search(text):
@@ -215,6 +230,10 @@ def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
         kind, value = m.lastgroup, m[0]
         at = m.end()
         if kind == "card" and not _luhn(re.sub(r"\D", "", value)):
+            if other := _inside(text, m.start(), m.end()):
+                at = other[2]
+                yield other
+                continue
             kind = "card" if 15 <= len(re.sub(r"\D", "", value)) <= 16 else ""
         if kind == "iban" and not _iban_ok(value.replace(" ", "")):
             kind, at = "", m.start() + 2
