@@ -421,3 +421,31 @@ def test_numbers_in_front_of_personal_data():
         "12345678901234567": [],
     }.items():
         assert [(k, text[a:b]) for k, a, b in surrogates.entities(text)] == want, text
+
+
+def test_surrogates_of_other_numbers_and_names_are_distinct():
+    numbers = [f"4{i:015d}" for i in range(1000) if not surrogates._luhn(f"4{i:015d}")]
+    assert [k for k, _, _ in surrogates.entities(numbers[0])] == ["number"]
+    made = {surrogates.surrogate(b"k", "number", v) for v in numbers}
+    assert len(made) == len(numbers) and not any(map(surrogates._luhn, made))
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
+    names = [f"Mr {(a + b).title()}" for a in letters for b in letters] + [f"Mr {a}é" for a in "ABCDEF"] + ["Mr 王明"]
+    assert len({surrogates.surrogate(b"k", "name", v).lower() for v in names}) == len({v.lower() for v in names})
+    emails = [f"{c}@x.org" for c in "àáâãäåæçèéêëìíîïðñòóôõö"]
+    assert len({surrogates.surrogate(b"k", "email", v) for v in emails}) == len(emails)
+
+
+def test_later_mentions_of_a_name():
+    new, found = surrogates.replaced("Mr John Smith met Smith. Blacksmith Smithson, John and Mrs Anna.", b"k")
+    assert [s[0] for s in found] == ["name"] * 4 and "Smith " not in new and "Smith." not in new and "John" not in new
+    assert "Blacksmith Smithson" in new and new.count(found[1][3]) >= 2
+
+
+def test_colliding_surrogates_are_drawn_anew(spark, monkeypatch):
+    # a maker that is no permutation; the patched table travels with the tasks of the local session only
+    docs = spark.createDataFrame([(i, f"ssn 123-45-{i:04d}") for i in range(20)], "doc_id long, text string")
+    found = surrogates.distinct_surrogates(docs, "k", out="changed", spans="found")
+    assert surrogates.collisions(found, spans="found").count() == 0
+    again = {("ssn", "123450001"): 1}
+    once, twice = (surrogates.replaced("ssn 123-45-0001", b"k", a)[1][0][3] for a in (None, again))
+    assert once != twice

@@ -64,7 +64,7 @@ def op6_main_text(spark: SparkSession, sf: str) -> DataFrame:
 def op7_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, n_entities, text, spans) of every document; spans are JSON."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = surrogates.with_surrogates(docs, PII_SECRET, spans="found")
+    found = surrogates.distinct_surrogates(docs, PII_SECRET, spans="found")
     return found.select(
         "doc_id", F.size("found").cast("bigint").alias("n_entities"), "text", F.to_json("found").alias("spans")
     )

@@ -1,12 +1,14 @@
 """Personal data: surrogates that keep type and format, one for each detected entity.
 
 Detected are e-mail addresses, telephone numbers, payment cards (Luhn), IPv4 addresses, IBAN (check
-digits), social security numbers, and names after a title.  An entity's surrogate is a keyed
+digits), social security numbers, other numbers of 15 or 16 digits, and names after a title with their
+later mentions in the text.  An entity's surrogate is a keyed
 permutation of its alphabet: digits stay digits, letters keep case and script, separators stay where
 they are, and given names change into names of the same gender and script.  A permutation gives
 different surrogates to different entities and the same one to every mention (coreference), without
 a table of entities.  What is compared (case of an address, separators of a number) is left out
-of the key.  `collisions` checks all entities of a table for distinctness.
+of the key.  `distinct_surrogates` checks all entities of a table for distinctness and draws those
+that collide anew; `collisions` reports them.
 """
 
 from __future__ import annotations
@@ -125,7 +127,9 @@ def _email(secret: bytes, value: str) -> str:
     """The local part changes, also by domain; the domain's host becomes one of example.com."""
     local, _, domain = value.partition("@")
     ascii_ = "".join(c if c.isascii() else "x" for c in local)
-    tag = hmac.digest(secret, f"domain/{domain.lower()}".encode(), hashlib.sha256).hex()[:16]
+    # letters outside ASCII are not permuted: the tag tells such addresses apart
+    name = domain.lower() if local == ascii_ else f"{local.lower()}@{domain.lower()}"
+    tag = hmac.digest(secret, f"domain/{name}".encode(), hashlib.sha256).hex()[:16]
     return f"{_letters_digits(secret, 'email/' + domain.lower(), ascii_)}@{'m' + tag}.example.com" if (
         local == ascii_
     ) else f"{_letters_digits(secret, 'email/' + local.lower(), ascii_)}@{'u' + tag}.example.com"
@@ -137,6 +141,14 @@ def _card(secret: bytes, value: str) -> str:
     return _digits_into(value, digits[0] + body + _luhn_digit(digits[0] + body))
 
 
+def _number(secret: bytes, value: str) -> str:
+    """A number that fails the card check stays one: the permutation is walked past valid ones."""
+    digits = re.sub(r"\D", "", value)
+    while _luhn(digits := _letters_digits(secret, "number", digits)):
+        pass
+    return _digits_into(value, digits)
+
+
 def _iban(secret: bytes, value: str) -> str:
     plain = value.replace(" ", "")
     body = _letters_digits(secret, "iban/" + plain[:2], plain[4:])
@@ -162,50 +174,81 @@ def _ssn(secret: bytes, value: str) -> str:
     return _digits_into(value, _letters_digits(secret, "ssn", value.replace("-", "")))
 
 
-def _script(word: str) -> str:
-    return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "latin"
+@lru_cache(maxsize=1000)
+def _alphabet(page: int) -> str:
+    """Lower-case letters that take each other's place: of a page of 256 code points, or Russian ones."""
+    if page < 0:
+        return "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
+    cased = (chr(i) for i in range(max(page << 8, 128), (page + 1) << 8))
+    return "".join(c for c in cased if c.isalpha() and c.upper().lower() == c and len(c.upper()) == 1 and c not in _alphabet(-1))
+
+
+def _page(c: str) -> int:
+    return -1 if c in _alphabet(-1) else ord(c) >> 8
 
 
 def _same_script(secret: bytes, word: str) -> str:
-    """A word of the same length, case and script."""
+    """A word of the same length, case and script: a permutation of the words of one shape."""
     if word.isascii():
         return "".join(
             _letters_digits(secret, f"name/{i}", part) if part.isalpha() else part
             for i, part in enumerate(re.split(r"([^A-Za-z]+)", word))
         )
-    first, size = (0x430, 32) if _script(word) == "cyrillic" else (97, 26)
-    number = int.from_bytes(word.lower().encode(), "big") + 1
-    out = []
-    draw = int.from_bytes(hmac.digest(secret, f"name/{number}".encode(), hashlib.sha512), "big")
+    number, size, shape, sets = 0, 1, [], []
     for c in word:
-        draw, value = divmod(draw, size)
-        new = chr(first + value) if c.isalpha() else c
-        out.append(new.upper() if c.isupper() else new)
-    return "".join(out)
+        low = c.lower()
+        letters = "abcdefghijklmnopqrstuvwxyz" if "a" <= low <= "z" else _alphabet(_page(low)) if len(low) == 1 else ""
+        if low not in letters or low == "":
+            letters = low  # without a case or an alphabet: it stays
+        shape.append(letters[0] if len(letters) > 1 else letters)
+        sets.append(letters)
+        if len(letters) > 1 and len(low) == 1:
+            number, size = number * len(letters) + letters.index(low), size * len(letters)
+    number = permute(secret, f"name:{'/'.join(shape)}", number, size)
+    out = []
+    for c, letters in zip(reversed(word), reversed(sets)):
+        if len(letters) > 1 and len(c.lower()) == 1:
+            number, value = divmod(number, len(letters))
+            out.append(letters[value].upper() if c.isupper() else letters[value])
+        else:
+            out.append(c)
+    return "".join(reversed(out))
+
+
+_LISTED = {n.lower(): (group, i) for group, names in NAMES.items() for i, n in enumerate(names)}
+
+
+def _name_word(secret: bytes, word: str) -> str:
+    """A given name of the lists becomes one of its list, any other word a word outside the lists."""
+    if found := _LISTED.get(word.lower()):
+        (gender, script), at = found
+        names = NAMES[gender, script]
+        new = names[permute(secret, f"given/{gender}/{script}", at, len(names))]
+        return new.upper() if word.isupper() else new.lower() if word.islower() else new
+    while (word := _same_script(secret, word)).lower() in _LISTED:
+        pass
+    return word
 
 
 def _name(secret: bytes, value: str) -> str:
-    title, _, rest = value.partition(" ")
-    plain = title.rstrip(".")
-    gender = next((g for g, titles in TITLES.items() if plain in titles), "")
-    given, _, family = rest.partition(" ")
-    for (g, script), names in NAMES.items():
-        if given in names and g == (gender or g):
-            given = names[permute(secret, f"given/{g}/{script}", names.index(given), len(names))]
-            break
-    else:
-        given = _same_script(secret, given)
-    return f"{title} {given}" + (f" {_same_script(secret, family)}" if family else "")
+    title, *words = value.split(" ")
+    return " ".join([title, *(_name_word(secret, w) for w in words)])
 
 
 _MAKERS: dict[str, Callable[[bytes, str], str]] = {
-    "email": _email, "card": _card, "iban": _iban, "ip": _ip, "phone": _phone, "ssn": _ssn, "name": _name,
+    "email": _email, "card": _card, "number": _number, "iban": _iban, "ip": _ip, "phone": _phone, "ssn": _ssn, "name": _name,
 }
 
 
 @lru_cache(maxsize=100_000)
 def surrogate(secret: bytes, kind: str, value: str) -> str:
-    return _MAKERS[kind](secret, value)
+    return _name_word(secret, value) if kind == "name" and " " not in value else _MAKERS[kind](secret, value)
+
+
+def plain(kind: str, value: str) -> str:
+    """What is compared of an entity or a surrogate."""
+    value = value.lower()
+    return re.sub(r"[^0-9a-z+]", "", value) if kind in ("card", "number", "iban", "phone", "ssn") else value
 
 
 def _inside(text: str, start: int, end: int) -> tuple[str, int, int] | None:
@@ -234,25 +277,56 @@ def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
                 at = other[2]
                 yield other
                 continue
-            kind = "card" if 15 <= len(re.sub(r"\D", "", value)) <= 16 else ""
+            kind = "number" if 15 <= len(re.sub(r"\D", "", value)) <= 16 else ""
         if kind == "iban" and not _iban_ok(value.replace(" ", "")):
             kind, at = "", m.start() + 2
         if kind:
             yield kind, m.start(), m.end()
 
 
-def replaced(text: str, secret: bytes) -> tuple[str, list[tuple]]:
-    """The text with surrogates, and (kind, start, end, surrogate) for each entity of the input."""
+def mentions(text: str | None) -> list[tuple[str, int, int]]:
+    """`entities`, with later mentions of the words of a detected name that begin with no small letter."""
+    found = list(entities(text))
+    first: dict[str, int] = {}
+    for kind, start, end in found:
+        if kind == "name":
+            for word in text[start:end].split(" ")[1:]:
+                if not word[0].islower():
+                    first.setdefault(word, end)
+    if not first:
+        return found
+    taken = iter([*found, ("", len(text), len(text))])
+    kind, start, end = next(taken)
+    more = []
+    for m in re.finditer(r"[^\W\d_][^\W\d_'’-]+", text):
+        while end <= m.start() and kind:
+            kind, start, end = next(taken)
+        if first.get(m[0], len(text)) <= m.start() and m.end() <= start and (m.start() == 0 or not re.match(r"[\w]", text[m.start() - 1])):
+            more.append(("name", m.start(), m.end()))
+    return sorted(found + more, key=lambda e: e[1])
+
+
+def replaced(text: str, secret: bytes, again: dict | None = None) -> tuple[str, list[tuple]]:
+    """The text with surrogates, and (kind, start, end, surrogate) for each entity of the input.
+
+    `again` has the number of the key for entities that are drawn anew, by (kind, plain value).
+    """
     out, found, at = [], [], 0
-    for kind, start, end in entities(text):
-        new = surrogate(secret, kind, text[start:end])
+    for kind, start, end in mentions(text):
+        value = text[start:end]
+        turn = again.get((kind, plain(kind, value)), 0) if again else 0
+        key = hmac.digest(secret, f"again/{turn}".encode(), hashlib.sha256) if turn else secret
+        new = surrogate(key, kind, value)
         out += text[at:start], new
         found.append((kind, start, end, new))
         at = end
     return "".join([*out, text[at:]]), found
 
 
-def with_surrogates(docs: DataFrame, secret: str, text: str = "text", out: str = "text", spans: str | None = None) -> DataFrame:
+def with_surrogates(
+    docs: DataFrame, secret: str, text: str = "text", out: str = "text", spans: str | None = None,
+    again: dict | None = None,
+) -> DataFrame:
     """`docs` with surrogates in column `out`; `spans` names a column for (kind, start, end, surrogate).
 
     All rows and other columns stay as they are.  A null text stays null and has no spans, and a
@@ -267,7 +341,7 @@ def with_surrogates(docs: DataFrame, secret: str, text: str = "text", out: str =
 
     @F.pandas_udf(kinds)
     def change(texts: pd.Series) -> pd.DataFrame:
-        rows = [replaced(t, key) if isinstance(t, str) else (None, []) for t in texts]
+        rows = [replaced(t, key, again) if isinstance(t, str) else (None, []) for t in texts]
         as_dicts = [[dict(zip(("kind", "start", "end", "surrogate"), s)) for s in f] for _, f in rows]
         return pd.DataFrame({"text": [r[0] for r in rows], "spans": as_dicts}, columns=["text", "spans"])
 
@@ -276,6 +350,35 @@ def with_surrogates(docs: DataFrame, secret: str, text: str = "text", out: str =
     return (made.withColumn(spans, F.col("__made.spans")) if spans else made).drop("__made")
 
 
+def distinct_surrogates(docs: DataFrame, secret: str, text: str = "text", out: str = "text", spans: str | None = None) -> DataFrame:
+    """`with_surrogates` after a look at all entities of the table.
+
+    Entities are reduced to distinct ones and counted by surrogate.  Of those that share one, all but
+    the smallest get a surrogate of another key, until no two share one.  All kinds but telephone
+    numbers written with and without a separated country code are permutations, so few are sent to
+    the driver.
+    """
+    key = hashlib.sha256(secret.encode()).digest()
+    again: dict[tuple[str, str], int] = {}
+    while True:
+
+        def each(frames: Iterator[pd.DataFrame], again=dict(again)) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                seen = set()
+                for t in frame["text"]:
+                    if isinstance(t, str):
+                        seen.update((k, plain(k, t[a:b]), plain(k, new)) for k, a, b, new in replaced(t, key, again)[1])
+                yield pd.DataFrame(list(seen), columns=["kind", "value", "made"])
+
+        pairs = docs.select(F.col(text).alias("text")).mapInPandas(each, "kind string, value string, made string").distinct()
+        shared = pairs.groupBy("kind", "made").agg(F.min("value").alias("least"), F.countDistinct("value").alias("n")).where("n > 1")
+        worse = pairs.join(shared, ["kind", "made"]).where("value > least").select("kind", "value").distinct().collect()
+        if not worse:
+            return with_surrogates(docs, secret, text, out, spans, again)
+        for r in worse:
+            again[r.kind, r.value] = again.get((r.kind, r.value), 0) + 1
+
+
 def collisions(found: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """(kind, surrogate, n): surrogates that stand for more than one entity of the table.
 
@@ -284,8 +387,8 @@ def collisions(found: DataFrame, text: str = "text", spans: str = "spans") -> Da
     """
     each = found.select(F.col(text).alias("t"), F.explode(spans).alias("s"))
     value = F.lower(F.substring("t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")))
-    plain = F.when(F.col("s.kind").isin("card", "iban", "phone", "ssn"), F.regexp_replace(value, "[^0-9a-z+]", "")).otherwise(value)
+    plain = F.when(F.col("s.kind").isin("card", "number", "iban", "phone", "ssn"), F.regexp_replace(value, "[^0-9a-z+]", "")).otherwise(value)
     made = F.lower(F.col("s.surrogate"))
-    bare = F.when(F.col("s.kind").isin("card", "iban", "phone", "ssn"), F.regexp_replace(made, "[^0-9a-z+]", "")).otherwise(made)
+    bare = F.when(F.col("s.kind").isin("card", "number", "iban", "phone", "ssn"), F.regexp_replace(made, "[^0-9a-z+]", "")).otherwise(made)
     pairs = each.select(F.col("s.kind").alias("kind"), plain.alias("value"), bare.alias("surrogate")).distinct()
     return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
