@@ -449,3 +449,9 @@ def test_colliding_surrogates_are_drawn_anew(spark, monkeypatch):
     again = {("ssn", "123450001"): 1}
     once, twice = (surrogates.replaced("ssn 123-45-0001", b"k", a)[1][0][3] for a in (None, again))
     assert once != twice
+
+
+def test_word_table_smaller_than_a_batch():
+    few, many = packing.WordTokens(None, kept=3), packing.WordTokens(None)
+    for texts in (["a b"], ["a c d e f", "b g 0 x0 h"], ["a c d"]):
+        assert [x.tolist() for x in few(texts)] == [x.tolist() for x in many(texts)]

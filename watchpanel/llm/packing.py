@@ -23,7 +23,7 @@ SEQUENCE_TOKENS = 2048
 OPEN_BINS = 256
 #: pieces dealt to one block on average
 BLOCK_PIECES = 6000
-#: words whose ids a task keeps; the table starts anew beyond it
+#: words whose ids a task keeps from batch to batch; the table starts anew beyond it
 KEPT_WORDS = 400_000
 
 
@@ -59,33 +59,36 @@ class WordTokens:
     def _encode(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4")
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.ids) + len(words) > self.kept:
-            self.ids.clear()
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of each of `words`."""
+        found: dict[bytes, bytes] = {}
         plain = [w for w in words if self.MARK not in w]
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
             ids = self._encode((b" " + self.MARK + b" ").join(part))
             cut = np.flatnonzero(ids == self.mark)
             if len(cut) != len(part) - 1:  # a word has the mark in another form
-                self.ids.update((w, self._encode(w).tobytes()) for w in part)
+                found.update((w, self._encode(w).tobytes()) for w in part)
                 continue
             begin = np.concatenate([[0], cut + 1]) * 4
             end = np.concatenate([cut, [len(ids)]]) * 4
             data = ids.tobytes()
-            self.ids.update(zip(part, map(data.__getitem__, map(slice, begin.tolist(), end.tolist()))))
-        self.ids.update((w, self._encode(w).tobytes()) for w in words if self.MARK in w)
+            found.update(zip(part, map(data.__getitem__, map(slice, begin.tolist(), end.tolist()))))
+        found.update((w, self._encode(w).tobytes()) for w in words if self.MARK in w)
+        return found
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         # ASCII white space only: other white space stays inside a word, and the tokenizer drops it
         split = [t.encode().split() for t in texts]
         words = set().union(*split)
+        # the table is complete for this batch, and trimmed after it
         if new := words.difference(self.ids):
-            self.learn(new)
-            if lost := words.difference(self.ids):  # the table was started anew
-                self.learn(lost)
+            self.ids.update(self.learn(new))
         find = self.ids.__getitem__
-        return [np.frombuffer(b"".join(map(find, ws)), dtype="<u4") for ws in split]
+        made = [np.frombuffer(b"".join(map(find, ws)), dtype="<u4") for ws in split]
+        if len(self.ids) > self.kept:
+            self.ids.clear()
+        return made
 
 
 def pieces(
