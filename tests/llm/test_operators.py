@@ -441,8 +441,7 @@ def test_later_mentions_of_a_name():
     assert "Blacksmith Smithson" in new and new.count(found[1][3]) >= 2
 
 
-def test_colliding_surrogates_are_drawn_anew(spark, monkeypatch):
-    # a maker that is no permutation; the patched table travels with the tasks of the local session only
+def test_colliding_surrogates_are_drawn_anew(spark):
     docs = spark.createDataFrame([(i, f"ssn 123-45-{i:04d}") for i in range(20)], "doc_id long, text string")
     found = surrogates.distinct_surrogates(docs, "k", out="changed", spans="found")
     assert surrogates.collisions(found, spans="found").count() == 0
