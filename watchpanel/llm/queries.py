@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpanel.llm import decontaminate, main_text, packing, quality_rules, secrets, sharding, simhash, substrings, surrogates, weak_labels
+from watchpanel.llm import byte_bpe, decontaminate, main_text, packing, quality_rules, secrets, sharding, simhash, substrings, surrogates, weak_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: production takes its own from its key store
@@ -98,3 +98,11 @@ def op8_block_anchors(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_weak_labels")
 def op1_weak_labels(spark: SparkSession, sf: str) -> DataFrame:
     return weak_labels.scored(table(spark, sf, "documents"))
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf, "documents")))
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
