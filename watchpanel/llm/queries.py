@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpanel.llm import byte_bpe, decontaminate, main_text, packing, quality_rules, secrets, sharding, simhash, substrings, surrogates, weak_labels
+from watchpanel.llm import byte_bpe, decontaminate, main_text, packing, prefix_trie, quality_rules, secrets, sharding, simhash, substrings, surrogates, weak_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: production takes its own from its key store
@@ -106,3 +106,52 @@ def op12_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return decoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+OP13_SQL = """
+with turns as (
+  select conv_id, row_number() over (
+      partition by conv_id order by turn nulls first, sha256(length(r) || ':' || r || t)) as place,
+    sha256(length(r) || ':' || r || t) as id, length(t) as n
+  from (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t
+        from conversations where conv_id is not null)),
+convs as (
+  select conv_id, xor(4294967295, list_reduce(
+      list_concat([4294967295::bigint], list_transform(
+        range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i, 1))::bigint)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end))) % 6 as h,
+    conv_id - conv_id % 100 as base
+  from (select distinct conv_id from conversations where conv_id is not null)),
+rebuilt as (
+  select c.conv_id, 0 as part, t.place, t.id, t.n
+  from convs c join turns t on t.conv_id = c.base and t.place <= c.h
+  union all
+  select c.conv_id, 1, t.place, t.id, t.n from convs c join turns t on t.conv_id = c.conv_id and t.place > c.h),
+lists as (
+  select c.conv_id, coalesce(list(r.id order by r.part, r.place) filter (r.id is not null), []) as ids,
+    coalesce(list(r.n order by r.part, r.place) filter (r.id is not null), []) as ns
+  from convs c left join rebuilt r on r.conv_id = c.conv_id group by c.conv_id),
+prefixes as (
+  select conv_id, d, ids[1:d] as prefix, case when d = 0 then 0 else ns[d] end as n, d = len(ids) as ends
+  from lists, lateral (select unnest(range(0, len(ids) + 1)) as d)),
+nodes as (
+  select prefix, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(n) as n,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from prefixes group by prefix),
+kids as (select prefix[1:depth - 1] as of, count(*) as n_children from nodes where depth > 0 group by 1),
+whole as (
+  select nodes.*, coalesce(n_children, 0) as n_children from nodes left join kids on kids.of = nodes.prefix),
+below as (
+  select prefix[1:a] as top, sum((n_convs - 1) * n) as saved_tokens, count(*) filter (n_children = 0) as n_leaves
+  from whole, lateral (select unnest(range(0, depth + 1)) as a) group by 1)
+select w.conv_id, w.depth, p.conv_id as parent_conv_id, w.n_convs, w.n_children, b.n_leaves,
+  b.saved_tokens::bigint as saved_tokens, w.ends_sha256
+from whole w join below b on b.top = w.prefix
+left join whole p on w.depth > 0 and p.prefix = w.prefix[1:w.depth - 1]
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf, "conversations"))
