@@ -15,17 +15,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchpanel.llm import pretokens
 
-#: characters of texts that are cut together; a longer text stands alone
-BATCH_CHARS = 1 << 20
+#: bytes of texts that are cut together; a longer text stands alone
+BATCH_BYTES = 1 << 18
 #: longer pre-tokens are merged by a heap, and not kept
 LONG_BYTES = 64
 #: pre-tokens that a Python worker keeps
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
 
 _NONE = np.int64(1 << 40)
 
@@ -209,9 +210,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", *, ranks: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(ranks)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in runs(list(map(len, texts)), BATCH_CHARS):
-                ids = known.encode(texts[a:b])
+            for a, b in runs(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), BATCH_BYTES):
+                ids = known.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 offsets = [known.offsets(np.frombuffer(x, dtype="<u4")).astype("<u4").tobytes() for x in ids]
                 numbers = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -235,11 +235,11 @@ def decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(ranks)
         for batch in batches:
-            packed, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in runs([len(x or b"") for x in packed], 4 * BATCH_CHARS):
+            for a, b in runs(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist(), BATCH_BYTES):
+                packed, places = (batch.column(i).slice(a, b - a).to_pylist() for i in (0, 1))
                 made = [
                     None if x is None or y is None else known.decode(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"))
-                    for x, y in zip(packed[a:b], places[a:b])
+                    for x, y in zip(packed, places)
                 ]
                 rest = [batch.column(i).slice(a, b - a) for i in range(2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), *rest], names=names)

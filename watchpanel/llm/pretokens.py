@@ -118,7 +118,7 @@ def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 _FUNCTION, _COMPOSED, _IMAGE = _monoid()
 _STARTS = np.array([[_step(s, x)[1] for x in range(N_SYMBOLS)] for s in range(N_STATES)])
-_COLUMN = 512
+_COLUMN = 256
 
 
 def _states_before(symbols: np.ndarray) -> np.ndarray:
