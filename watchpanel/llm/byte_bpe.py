@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,42 +32,64 @@ KEPT_WORDS = 250_000
 _NONE = np.int64(1 << 40)
 
 
+def letters() -> dict[str, int]:
+    """Byte of each letter of a byte-level vocabulary: printable Latin-1 stands for itself, others follow U+00FF."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
 class Ranks:
-    """A vocabulary given as ranks: every byte string has an id, and lower ids merge first."""
+    """A byte-level vocabulary: tokens, and which two join into which, in what order.
+
+    A file of ranks gives every byte string an id, lower ids join first and a word that is a token needs no
+    joins.  A JSON file lists the joins in order.
+    """
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            entries = [line.split() for line in lines if line.strip()]
-        self.ids = {base64.b64decode(token): int(rank) for token, rank in entries}
-        n = max(self.ids.values()) + 1
-        self.tokens = [b""] * n
-        for token, i in self.ids.items():
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as file:
+                model = json.load(file)["model"]
+            byte_of = letters()
+            ids = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items()}
+            named = {token: i for token, i in model["vocab"].items()}
+            joins = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            pairs = {named[x] << 32 | named[y]: (k, named[x + y]) for k, (x, y) in reversed(list(enumerate(joins)))}
+            self.words: dict[bytes, int] = ids if model.get("ignore_merges") else {}
+        else:
+            with open(path, "rb") as lines:
+                entries = [line.split() for line in lines if line.strip()]
+            ids = self.words = {base64.b64decode(token): int(rank) for token, rank in entries}
+            pairs = {
+                ids[token[:k]] << 32 | ids[token[k:]]: (i, i)
+                for token, i in ids.items()
+                for k in range(1, len(token))
+                if token[:k] in ids and token[k:] in ids
+            }
+        self.tokens = [b""] * (max(ids.values()) + 1)
+        for token, i in ids.items():
             self.tokens[i] = token
-        self.sizes = np.fromiter(map(len, self.tokens), dtype=np.int64, count=n)
+        self.sizes = np.fromiter(map(len, self.tokens), dtype=np.int64, count=len(self.tokens))
         self.first = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
-        self.of_byte = np.array([self.ids[bytes([b])] for b in range(256)], dtype=np.int64)
-        # every way to join two tokens into one
-        pairs = [
-            (self.ids[token[:k]] << 32 | self.ids[token[k:]], i)
-            for token, i in self.ids.items()
-            for k in range(1, len(token))
-            if token[:k] in self.ids and token[k:] in self.ids
-        ]
-        pairs.sort()
-        self.pair = np.array([p for p, _ in pairs], dtype=np.int64)
-        self.joined = np.array([i for _, i in pairs], dtype=np.int64)
+        self.of_byte = np.array([ids[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.order = {key: k for key, (k, _) in pairs.items()}
+        self.pair = np.array(sorted(pairs), dtype=np.int64)
+        self.pair_order = np.array([self.order[key] for key in self.pair.tolist()], dtype=np.int64)
+        self.joined = np.zeros(max(k for k, _ in pairs.values()) + 1, dtype=np.int64)
+        for k, i in pairs.values():
+            self.joined[k] = i
         self.kept: dict[bytes, bytes] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Id of the joined token of each pair, or _NONE."""
+        """When each pair joins, or _NONE."""
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where(self.pair[at] == key, self.joined[at], _NONE)
+        return np.where(self.pair[at] == key, self.pair_order[at], _NONE)
 
     def merged(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of short words as little-endian 32-bit integers: all words together, one merge a round."""
-        done = {w: self.ids[w] for w in words if w in self.ids}
+        done = {w: self.words[w] for w in words if w in self.words}
         found = {w: np.uint32(i).tobytes() for w, i in done.items()}
         words = [w for w in words if w not in done]
         if not words:
@@ -97,7 +120,7 @@ class Ranks:
             hit = np.flatnonzero(rank == best[word])
             of = word[hit]
             hit = hit[np.append(True, of[1:] != of[:-1])]  # the leftmost of each word
-            ids[hit] = best
+            ids[hit] = self.joined[best]
             keep = np.ones(len(ids), dtype=bool)
             keep[hit + 1] = False
             # the pair that began at the dropped place is judged anew from the joined token
@@ -115,31 +138,31 @@ class Ranks:
 
     def merged_long(self, word: bytes) -> bytes:
         """Ids of one word, merged by a heap of candidate pairs."""
-        if word in self.ids:
-            return np.uint32(self.ids[word]).tobytes()
-        ids = self.of_byte[np.frombuffer(word, dtype=np.uint8)].tolist()
+        if word in self.words:
+            return np.uint32(self.words[word]).tobytes()
+        start = self.of_byte[np.frombuffer(word, dtype=np.uint8)]
+        ids = start.tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        token, tokens = self.ids.get, self.tokens
+        order = self.order.get
 
-        def joined(i: int) -> int | None:
+        def rank(i: int) -> int | None:
             j = after[i]
-            return token(tokens[ids[i]] + tokens[ids[j]]) if j < n else None
+            return order(ids[i] << 32 | ids[j]) if j < n else None
 
-        ranks = self.rank(np.array(ids[:-1], dtype=np.int64), np.array(ids[1:], dtype=np.int64))
-        heap = [(int(r), i) for i, r in enumerate(ranks) if r != _NONE]
+        heap = [(r, i) for i, r in enumerate(self.rank(start[:-1], start[1:]).tolist()) if r != _NONE]
         heapq.heapify(heap)
         while heap:
-            rank, i = heapq.heappop(heap)
-            if ids[i] < 0 or joined(i) != rank:
+            r, i = heapq.heappop(heap)
+            if ids[i] < 0 or rank(i) != r:
                 continue  # one of the two is gone by now
             gone = after[i]
-            ids[i], ids[gone] = rank, -1
+            ids[i], ids[gone] = int(self.joined[r]), -1
             after[i] = after[gone]
             if after[i] < n:
                 before[after[i]] = i
             for k in (i, before[i]):
-                if k >= 0 and (r := joined(k)) is not None:
+                if k >= 0 and (r := rank(k)) is not None:
                     heapq.heappush(heap, (r, k))
         return np.array([x for x in ids if x >= 0], dtype="<u4").tobytes()
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpanel.llm import byte_bpe, decontaminate, main_text, packing, prefix_trie, quality_rules, secrets, sharding, simhash, substrings, surrogates, weak_labels
+from watchpanel.llm import byte_bpe, decontaminate, main_text, packing, prefix_trie, quality_rules, secrets, sharding, simhash, substrings, surrogates, token_alignment, weak_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: production takes its own from its key store
@@ -155,3 +155,13 @@ left join whole p on w.depth > 0 and p.prefix = w.prefix[1:w.depth - 1]
 @query("op13_prefix_trie", OP13_SQL)
 def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf, "conversations"))
+
+
+@query("op11_pointer_jumping")
+def op11_pointer_jumping(spark: SparkSession, sf: str) -> DataFrame:
+    found = token_alignment.align(table(spark, sf, "documents"))
+    sha = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    return found.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        sha.alias("groups_sha256"),
+    )
