@@ -294,6 +294,43 @@ def test_empty_tables(spark, given):
     assert decontaminate.leaks(given, bench).count() == 0
 
 
+def classes_by_all_pairs(texts):
+    """Smallest key of each text's component: five-word Jaccard similarity of 0.8 or more, all pairs compared."""
+    def words(t):
+        w = [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in WORD.findall(t or "")]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    keys = sorted(texts)
+    sets = {k: words(texts[k]) for k in keys}
+    root = {k: k for k in keys}
+    for i in keys:
+        for j in keys:
+            if j < i and root[i] != root[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def test_near_copies_of_odd_rows(spark, given):
+    from watchpanel.llm import nearcopies
+
+    docs = given.where("doc_id is not null")
+    found = {(r.doc_id, r.component_id) for r in nearcopies.near_copies(docs, "doc_id", "text").collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert found == set(classes_by_all_pairs(texts).items())
+    assert nearcopies.near_copies(docs.limit(0), "doc_id", "text").collect() == []
+    kept = simhash.one_per_component(given, near=nearcopies.near_copies)
+    assert kept.columns == given.columns
+    # a row without key goes before its copies, as its number is negative
+    nameless = {r.text for r in given.where("doc_id is null").collect()}
+    lost = {k for k, t in texts.items() if t in nameless}
+    roots = {k: least for k, least in found}
+    gone = {roots[k] for k in lost}
+    kept = [r.doc_id for r in kept.collect()]
+    assert sorted(k for k in kept if k is not None) == sorted({k for k, least in found if k == least and least not in gone})
+    assert kept.count(None) == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
@@ -303,25 +340,24 @@ def test_pipeline(spark):
         at = stage(spark, at, SF)
         assert at.columns == docs.columns, name
         at = at.cache()
-    # the stages one by one, each against its operator's own verdict
+    # the quality and benchmark stages against their operators' verdicts, near-duplicates against all pairs
     good = {r.doc_id for r in quality_rules.judged(docs).where("kept").collect()}
     kept = docs.where(F.col("doc_id").isin(list(good)))
-    classes = simhash.near_duplicates(kept).collect()
-    left = {r.doc_id for r in classes if r.doc_id == r.component_id}
+    left = {k for k, least in classes_by_all_pairs({r.doc_id: r.text for r in kept.collect()}).items() if k == least}
     leaked = {r.doc_id for r in decontaminate.leaks(kept, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in at.collect()} == left - leaked
     assert {r.doc_id for r in p.run(spark, SF).collect()} == left - leaked
 
 
 def test_all_queries_run(spark):
-    assert len([q for q in queries.QUERIES if q.startswith("op")]) == 10
+    assert len([q for q in queries.QUERIES if q.startswith("op")]) == 13
     for name in ("op5_trigram_secrets", "op7_surrogates", "op10_hash_tree_shards"):
         assert queries.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert os.path.exists(SF)
 
 
-@pytest.mark.parametrize("pairs_up_to", [64, 2])
-def test_near_copies_against_brute_force(spark, pairs_up_to):
+@pytest.mark.parametrize("leaders", [(1, 1, 8, 64), (1,), (3, 2)])
+def test_near_copies_against_brute_force(spark, leaders):
     import random
 
     from watchpanel.llm import nearcopies
@@ -338,19 +374,13 @@ def test_near_copies_against_brute_force(spark, pairs_up_to):
                     copy[at] = "new"
                 texts.append(" ".join(copy))
     texts += ["one two", "One  TWO", "one three", "", " ", None]
-    sets = [set(nearcopies.shingles(t).tolist()) for t in texts]
-    root = list(range(len(texts)))
-    for i, x in enumerate(sets):
-        for j in range(i):
-            if x == sets[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j]):
-                root = [root[j] if r == root[i] else r for r in root]
-    want = [(i, min(k for k, r in enumerate(root) if r == root[i])) for i in range(len(texts))]
+    want = list(classes_by_all_pairs(dict(enumerate(texts))).items())
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = nearcopies.near_copies(docs, "doc_id", "text", pairs_up_to=pairs_up_to)
+    found = nearcopies.near_copies(docs, "doc_id", "text", leaders=leaders)
     same([tuple(r) for r in found.collect()], want)
     import corpus_pipeline
 
-    if pairs_up_to == 64:
+    if leaders == (1, 1, 8, 64):
         kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
         same([r.doc_id for r in kept], [i for i, least in want if i == least])
 
