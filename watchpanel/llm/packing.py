@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ SEQUENCE_TOKENS = 2048
 OPEN_BINS = 256
 #: pieces dealt to one block on average
 BLOCK_PIECES = 6000
-#: words whose ids a task keeps from batch to batch; the table starts anew beyond it
+#: words whose ids a Python worker keeps; the older half goes beyond it
 KEPT_WORDS = 400_000
 
 
@@ -55,6 +56,8 @@ class WordTokens:
         self.kept = kept
         self.ids: dict[bytes, bytes] = {}
         (self.mark,) = self._encode(self.MARK).tolist()
+        if not np.array_equal(self._encode(b"ab cd"), np.concatenate([self._encode(b"ab"), self._encode(b"cd")])):
+            raise ValueError("the tokenizer must drop white space and end every word on its own")
 
     def _encode(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4")
@@ -87,10 +90,17 @@ class WordTokens:
         find = self.ids.__getitem__
         made = [np.frombuffer(b"".join(map(find, ws)), dtype="<u4") for ws in split]
         if len(self.ids) > self.kept:
-            self.ids.clear()
+            for word in list(islice(self.ids, len(self.ids) - self.kept // 2)):
+                del self.ids[word]
         return made
 
 
+@cache
+def _words(path: str | None) -> WordTokens:
+    """The word table of a Python worker, which its tasks share."""
+    return WordTokens(path)
+
+
 def pieces(
     docs: DataFrame,
     key: str = "doc_id",
@@ -108,7 +118,7 @@ def pieces(
     """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordTokens(tokenizer)
+        encode = _words(tokenizer)
         last = np.array([end_id], dtype="<u4")
         for frame in frames:
             texts = [t if isinstance(t, str) else "" for t in frame["text"]]
