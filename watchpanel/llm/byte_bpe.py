@@ -13,6 +13,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -178,8 +179,7 @@ class Ranks:
             ids = [long[w] if w in long else self.kept[w] for w in pieces]
         else:
             ids = list(map(self.kept.__getitem__, pieces))
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()  # after the batch, which has its own list by now
+        trim(self.kept, KEPT_WORDS)  # after the batch, which has its own list by now
         return [b"".join(ids[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
@@ -197,6 +197,13 @@ class Ranks:
         return self.bytes[source].tobytes()
 
 
+def trim(kept: dict, most: int) -> None:
+    """Drop what came first, down to half of `most`, once there is more."""
+    if len(kept) > most:
+        for key in list(islice(kept, len(kept) - most // 2)):
+            del kept[key]
+
+
 def default_ranks() -> str:
     import public_tokenizers
 

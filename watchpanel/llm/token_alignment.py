@@ -22,25 +22,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchpanel.llm.byte_bpe import runs, vocabulary
+from watchpanel.llm import pretokens
+from watchpanel.llm.byte_bpe import Ranks, runs, trim
 from watchpanel.sources.storage import scratch_path
 
 #: bytes of texts that are encoded together; a longer text stands alone
 BATCH_BYTES = 1 << 18
 #: tokens of both kinds in a block; a longer text is a block of its own
 BLOCK_TOKENS = 1 << 20
+#: chunks of texts whose ids a Python worker keeps, and the longest of them
+KEPT_CHUNKS, KEPT_CHARS = 250_000, 48
+#: characters of new chunks that are encoded together
+NEW_CHARS = 1 << 16
 #: bits of a token id, and of a text's number in its block
 ID_BITS = 21
 
 
 class Encoders:
-    """Both tokenizers and their tokens as bytes."""
+    """Both tokenizers, their tokens as bytes, and the chunks of texts seen so far."""
 
     def __init__(self, left: str | None, right: str | None):
         import public_tokenizers
         from sentencepiece import SentencePieceProcessor
 
-        self.left = vocabulary(left or public_tokenizers.path("byte_bpe_50k.json"))
+        self.left = Ranks(left or public_tokenizers.path("byte_bpe_50k.json"))
         self.right = SentencePieceProcessor(model_file=right or public_tokenizers.path("piece_bpe_32k.model"))
         pieces = list(map(self.right.id_to_piece, range(self.right.get_piece_size())))
         self.b_tokens = [
@@ -54,21 +59,105 @@ class Encoders:
         # a text's number in its block and an id pair share 63 bits
         if max(len(self.a_sizes), len(pieces)) > 1 << ID_BITS:
             raise ValueError(f"vocabularies hold at most {1 << ID_BITS} tokens")
+        self.kind = "<u2" if max(len(self.a_sizes), len(pieces)) <= 1 << 16 else "<u4"
+        self.kept: dict[str, tuple[bytes, bytes] | None] = {}
         # names of ids with what follows them in a list of groups
         a, b = range(len(self.a_sizes)), range(len(pieces))
         self.a_names = np.array([f"{i}," for i in a] + [f"{i}|" for i in a], dtype=object)
         self.b_names = np.array([f"{i}," for i in b] + [f"{i};" for i in b], dtype=object)
 
+    def _both(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Ids of a text that begins with a space, and whether B gives its bytes; A always does."""
+        (raw,) = self.left.encode([text])
+        b = self.right.encode(text[1:])
+        same = b"".join(map(self.b_tokens.__getitem__, b)) == text.encode()
+        return np.frombuffer(raw, dtype="<u4"), np.array(b, dtype=np.int64), same
+
+    def _alone(self, chunk: str) -> tuple[bytes, bytes] | None:
+        a, b, same = self._both(chunk)
+        return (a.astype(self.kind).tobytes(), b.astype(self.kind).tobytes()) if same else None
+
+    def learn(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Ids of chunks, None where B changes the bytes.  Plain chunks are encoded in a row and parted after."""
+        found = {}
+        plain = []
+        for c in chunks:
+            # in a row, the next chunk's space must begin a token of its own
+            if len(c) > 1 and _solid(c[1]) and _solid(c[-1]):
+                plain.append(c)
+            else:
+                found[c] = self._alone(c)
+        for begin, end in runs(list(map(len, plain)), NEW_CHARS):
+            part = plain[begin:end]
+            a, b, same = self._both("".join(part))
+            ends = np.cumsum([len(c.encode()) for c in part])
+            a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+            a_cut, b_cut = np.searchsorted(a_ends, ends) + 1, np.searchsorted(b_ends, ends) + 1
+            if not same or (a_ends[a_cut - 1] != ends).any() or (b_ends[b_cut - 1] != ends).any():
+                found.update((c, self._alone(c)) for c in part)
+                continue
+            a_raw, b_raw = a.astype(self.kind).tobytes(), b.astype(self.kind).tobytes()
+            size = np.dtype(self.kind).itemsize
+            a_at, b_at = [0, *(size * a_cut).tolist()], [0, *(size * b_cut).tolist()]
+            a_parts = map(a_raw.__getitem__, map(slice, a_at, a_at[1:]))
+            found.update(zip(part, zip(a_parts, map(b_raw.__getitem__, map(slice, b_at, b_at[1:])))))
+        return found
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids of each text by A and B, packed; empty if the text is empty or B changes its bytes."""
-        a_ids = self.left.encode([" " + t for t in texts])  # gives the bytes of any text
-        made = []
-        for text, a, b in zip(texts, a_ids, self.right.encode(texts, num_threads=1)):
-            same = text and b"".join(map(self.b_tokens.__getitem__, b)) == b" " + text.encode()
-            made.append((a, np.array(b, dtype="<u4").tobytes()) if same else (b"", b""))
+        used = [i for i, t in enumerate(texts) if t]
+        made = [(b"", b"")] * len(texts)
+        if not used:
+            return made
+        # chunks begin at a space between characters that are no white space: neither side joins across it
+        joined = "".join([" " + texts[i] for i in used])
+        sizes = np.fromiter((len(texts[i]) + 1 for i in used), np.int64, len(used))
+        start = np.cumsum(sizes) - sizes
+        cps = pretokens.codepoints(joined)
+        solid = _solid_table()[cps]
+        cut = np.zeros(len(cps) + 1, dtype=bool)
+        cut[1:-2] = (cps[1:-1] == 0x20) & solid[:-2] & solid[2:]
+        cut[start] = True
+        cut[-1] = True
+        at = np.flatnonzero(cut)
+        places = at.tolist()
+        chunks = list(map(joined.__getitem__, map(slice, places, places[1:])))
+        new = self.learn(list(set(chunks).difference(self.kept)))
+        long = {c: x for c, x in new.items() if len(c) > KEPT_CHARS}
+        self.kept.update(new)
+        ids = list(map(self.kept.__getitem__, chunks))
+        for c in long:
+            del self.kept[c]
+        trim(self.kept, KEPT_CHUNKS)
+        first = np.searchsorted(at, np.append(start, len(cps))).tolist()
+        for i, x, y in zip(used, first, first[1:]):
+            own = ids[x:y]
+            if None not in own:
+                a, b = zip(*own)
+                made[i] = b"".join(a), b"".join(b)
         return made
 
 
+_solid_kept: np.ndarray | None = None
+
+
+def _solid_table() -> np.ndarray:
+    """Which codepoints are no white space for any tokenizer: no controls or separators, nor their stand-ins."""
+    global _solid_kept
+    if _solid_kept is None:
+        table = pretokens.classes() != pretokens.SPACE
+        table[:0x20] = False
+        table[0x7F:0xA1] = False
+        table[[0x180E, 0x2581, 0xFEFF]] = False
+        table[0x2000:0x2070] = False
+        _solid_kept = table
+    return _solid_kept
+
+
+def _solid(c: str) -> bool:
+    return _solid_table()[ord(c)]
+
+
 @cache
 def encoders(left: str | None, right: str | None) -> Encoders:
     """Read once in a Python worker."""
@@ -135,14 +224,15 @@ class Aligned:
 
 
 def _of_block(known: Encoders, row: dict) -> Aligned:
-    a, b = (np.frombuffer(row[c], dtype="<u4").astype(np.int64) for c in ("a", "b"))
+    a, b = (np.frombuffer(row[c], dtype=known.kind).astype(np.int64) for c in ("a", "b"))
     return Aligned(known, a, b, np.array(row["n_a"], dtype=np.int64), np.array(row["n_b"], dtype=np.int64))
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to a table of the shared folder."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # rows of blocks are large: small row groups keep the writer small
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -150,7 +240,7 @@ def token_blocks(
     docs: DataFrame, key: str = "doc_id", text: str = "text", *, left: str | None = None, right: str | None = None,
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
-    """(block, keys, n_a, n_b, a, b): ids of consecutive texts, packed little-endian 32-bit integers.
+    """(block, keys, n_a, n_b, a, b): ids of consecutive texts, packed little-endian integers (`Encoders.kind`).
 
     Written to a table, which fixes the blocks.  Null and empty texts, and texts that B does not give
     back byte by byte, have no tokens.
@@ -158,6 +248,7 @@ def token_blocks(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoders(left, right)
+        width = np.dtype(known.kind).itemsize
         number = TaskContext.get().partitionId() << 32
         keys, ids, held = [], [], 0
 
@@ -166,8 +257,8 @@ def token_blocks(
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()), pa.array([keys], pa.list_(key_type)),
-                    pa.array([[len(x) // 4 for x in a]], pa.list_(pa.int32())),
-                    pa.array([[len(x) // 4 for x in b]], pa.list_(pa.int32())),
+                    pa.array([[len(x) // width for x in a]], pa.list_(pa.int32())),
+                    pa.array([[len(x) // width for x in b]], pa.list_(pa.int32())),
                     pa.array([b"".join(a)], pa.binary()), pa.array([b"".join(b)], pa.binary()),
                 ],
                 names=["block", "keys", "n_a", "n_b", "a", "b"],
@@ -178,7 +269,7 @@ def token_blocks(
             for x, y in runs(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), BATCH_BYTES):
                 texts = [t or "" for t in batch.column(1).slice(x, y - x).to_pylist()]
                 for k, pair in zip(batch.column(0).slice(x, y - x).to_pylist(), known.encode(texts)):
-                    size = (len(pair[0]) + len(pair[1])) // 4 + 1
+                    size = (len(pair[0]) + len(pair[1])) // width + 1
                     if keys and held + size > block_tokens:
                         yield block()
                         number, keys, ids, held = number + 1, [], [], 0
