@@ -25,7 +25,7 @@ OPEN_BINS = 256
 #: pieces dealt to one block on average
 BLOCK_PIECES = 6000
 #: words whose ids a Python worker keeps; the older half goes beyond it
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
 
 
 @cache
@@ -122,9 +122,9 @@ def pieces(
         last = np.array([end_id], dtype="<u4")
         for frame in frames:
             texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            for at in range(0, len(texts), 128):
+            for at in range(0, len(texts), 64):
                 rows = []
-                for k, ids in zip(frame["id"].iloc[at : at + 128], encode(texts[at : at + 128])):
+                for k, ids in zip(frame["id"].iloc[at : at + 64], encode(texts[at : at + 64])):
                     ids = np.concatenate([ids, last])
                     for n, begin in enumerate(range(0, len(ids), capacity)):
                         part = ids[begin : begin + capacity]
