@@ -342,3 +342,81 @@ def model_sweep(spark, sf):
 
     trials = [{"zero_ratio": 2.0, "max_iter": 4}, {"zero_ratio": 6.0, "max_iter": 4}]
     return sw.sweep_models(fit_and_score, MODEL, trials, (0.01, 0.02, 0.05, 0.1, 0.2))
+
+
+_RUN_SQL = {
+    "history": "select * from labelled where date <= date '2024-01-20' and y_label_empty = 1",
+    "islands": """select entity, min(date) as first, max(date) as last from (
+        select *, date - cast(row_number() over (partition by entity order by date) as int) as g from history)
+        group by entity, g""",
+}
+
+
+@query(
+    "training_run_outputs",
+    sql(
+        """select 'history_daily' as output, entity, date, null::date as until, null::bigint as n from history
+           union all select 'history_intervals', entity, first, last, null from islands
+           union all select 'predicted_labels', null, date, null, count(*) from panel where date > date '2024-01-20' group by date
+           union all select 'table', null, null, null, count(*) from panel
+           union all select 'predictions', null, null, null, count(*) from panel
+           union all select 'rows', null, null, null, count(*) from panel
+           union all select 'prediction_only_rows', null, null, null, count(*) from panel where date > date '2024-01-20'
+           union all select 'history_daily_rows', null, null, null, count(*) from history
+           union all select x.name, null, null, null, 0 from (values ('predicted_daily_rows'), ('predicted_intervals'),
+             ('blacklist_differs'), ('labels_differ'), ('reloaded_differs'), ('unfinished_visible')) x(name)""",
+        "panel", "urgency", extra=_FILE | _RUN_SQL,
+    ),
+)
+def run_outputs(spark, sf):
+    """All outputs of a training run, read back through its manifest and held against its table."""
+    from watchpanel.sources import readers as rd
+    from watchpanel.sources import runs
+
+    base = scratch_path(spark, "runs")
+    # a run that stops before its manifest is no run
+    md_path = runs.RunWriter(spark, base).path("table")
+    panel_of(spark, sf).write.parquet(md_path)
+    unfinished = len(runs.committed_runs(spark, base))
+    mt.write_run(filled_dims(spark, sf), labels(spark, sf), MODEL, base)
+    found = runs.open_run(spark, base)
+    table = spark.read.parquet(found.paths["table"])
+
+    def rows(name, df, entity="entity", date="date", until=None, n=None):
+        kinds = ((entity, "string", "entity"), (date, "date", "date"), (until, "date", "until"), (n, "bigint", "n"))
+        values = [(F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c).cast(k).alias(o) for c, k, o in kinds]
+        return df.select(F.lit(name).alias("output"), *values)
+
+    def number(name, df):
+        return rows(name, df.agg(F.count(F.lit(1)).alias("n")), None, None, n="n")
+
+    def facts(*names):
+        one = spark.range(1)
+        return [rows(name, one, None, None, n=F.lit(found.facts[name])) for name in names]
+
+    period = (MODEL.predict_start, MODEL.predict_end)
+    listed = rd.scan_daily_watchlist(spark, found.paths["blacklist_daily"], *period, by_line=True)
+    flagged = table.where("predicted and predicted_blacklist = 1").select(*KEYS)
+    label_doc = spark.read.schema("date date, part int, labels map<string,double>").json(found.paths["predicted_labels"])
+    labels_read = label_doc.select("date", F.explode("labels").alias("entity", "label"))
+    label_table = table.where("predicted").select("date", "entity", F.round(F.col("predicted_label").cast("double"), 6).alias("label"))
+    model, _, _ = md.load_model(found.paths["model"])
+    frame = mt.feature_frame(filled_dims(spark, sf), labels(spark, sf), MODEL)
+    again = md.predict(model, frame).select(*KEYS, "predicted_label_value")
+    out = [
+        rows("history_daily", rd.scan_daily_watchlist(spark, found.paths["history_daily"], START, MODEL.train_end, by_line=True)),
+        rows("history_intervals", spark.read.json(found.paths["history_intervals"]), "entity", F.to_date("entry_date"), F.to_date("remove_date")),
+        rows("predicted_labels", labels_read.groupBy("date").count(), None, "date", n="count"),
+        number("table", table),
+        number("predictions", spark.read.csv(found.paths["predictions"], header=True)),
+        *facts("rows", "prediction_only_rows", "history_daily_rows", "predicted_daily_rows"),
+        number("predicted_intervals", spark.read.schema("entity string").json(found.paths["predicted_intervals"])),
+        number("blacklist_differs", listed.exceptAll(flagged).unionAll(flagged.exceptAll(listed))),
+        number("labels_differ", labels_read.select("date", "entity", "label").exceptAll(label_table)),
+        number("reloaded_differs", again.exceptAll(table.select(*KEYS, "predicted_label_value"))),
+        rows("unfinished_visible", spark.range(1), None, None, n=F.lit(unfinished)),
+    ]
+    together = out[0]
+    for part in out[1:]:
+        together = together.unionByName(part)
+    return together
