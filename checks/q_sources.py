@@ -178,6 +178,73 @@ def watchlist_document(spark, sf):
     return rd.scan_daily_watchlist(spark, path, *OUTPUT, by_line=True)
 
 
+def _one_file(spark, days, element, layout: str) -> str:
+    """A document `{day: list}` as one file: indented over many lines, or all on one."""
+    path = scratch_path(spark, f"document-{layout}")
+    text = F.to_json(F.create_map(F.col("date").cast("string"), element), {"pretty": str(layout == "indented").lower(), "ignoreNullFields": "false"})
+    # the pair of each day without its own braces
+    pair = F.regexp_replace(F.regexp_replace(text, r"^\s*\{", ""), r"\}\s*$", "")
+    ordered = days.select("date", pair.alias("pair")).agg(F.array_sort(F.collect_list(F.struct("date", "pair"))).alias("all"))
+    whole = F.array_join(F.transform("all", lambda x: x["pair"]), ",")
+    # a small fixture: a reference document is one file
+    ordered.select(F.concat(F.lit("{"), whole, F.lit("}")).alias("value")).write.text(path)
+    return path
+
+
+@query("daily_watchlist_document", sql("select entity, date from listed", "listed"))
+def watchlist_one_file(spark, sf):
+    """A document in the incoming layout: one object in one file, indented."""
+    days = wl.daily_arrays(result(spark, sf).watchlist(), START, END)
+    return rd.scan_daily_watchlist(spark, _one_file(spark, days, F.col("entities"), "indented"), *OUTPUT)
+
+
+@query(
+    "reasoned_watchlist_one_file",
+    sql(
+        """select date, cast(row_number() over (partition by date order by score desc, entity) as int) as rank, entity,
+             cast(trunc(score) as bigint) as risk_score, 0 as is_st,
+             'a "{[,]}" \\ of ' || entity as ann_daily from listed""",
+        "listed",
+    ),
+)
+def reasoned_one_file(spark, sf):
+    """The same with reasons that hold brackets, commas, quotes and backslashes, all on one line."""
+    from checks.q_rules import panel_of
+
+    texts = panel_of(spark, sf).withColumn(
+        "doc_text", F.concat(F.lit('a "{[,]}" \\ of '), "entity")
+    )
+    days = wl.daily_arrays(result(spark, sf).reasoned(texts), START, END, element=wl.reason_struct())
+    return rd.scan_reasoned_watchlist(spark, _one_file(spark, days, F.col("entities"), "line"))
+
+
+@query(
+    "scan_documents_one_file",
+    sql(
+        "select id, publish_date as date, entity, length(content) as chars, sha256(content) as sha from docs",
+        "docs",
+    ),
+)
+def scan_documents_one_file(spark, sf):
+    """All documents of the period in one CSV file for each year, read by byte ranges."""
+    base = scratch_path(spark, "one-file")
+    docs = documents(spark, sf).withColumn("_year", F.year("publish_date"))
+    for year in (2023, 2024):
+        rows = docs.where(F.col("_year") == year).select(
+            F.col("id").cast("string").alias("id"), F.date_format("publish_date", "yyyy/M/d").alias("publish_date"),
+            "title", F.lit("feed").alias("source"), F.lit(1).alias("has_full_text"), "content", "entity",
+            F.col("entity").alias("entity_name"), F.lit("c").alias("category_code"), "category_name", F.lit("1").alias("level"),
+        )
+        # a small fixture: an incoming year is one file
+        named = rows.select(*[F.col(new).alias(old) for old, new in fv.DOCUMENT_COLUMNS.items()])
+        wr.write_csv(named.coalesce(1), f"{base}/announcements_{year}.csv")
+    df = rd.scan_documents(spark, base, lookback_days=60, **_PERIOD)
+    return df.select(
+        F.col("id").cast("bigint").alias("id"), F.to_date("publish_date").alias("date"), "entity",
+        F.length("content").cast("bigint").alias("chars"), F.sha2("content", 256).alias("sha"),
+    )
+
+
 @query("daily_watchlist_rows", sql("select entity, date from listed", "listed"))
 def watchlist_rows(spark, sf):
     """Row form: one object per day and list part."""

@@ -1,8 +1,8 @@
 """Readers of the incoming files.
 
-CSV and single-document JSON are the exchange formats.  Quoted line breaks make a CSV file
-unsplittable and a JSON document is one value, so large histories should come as many files per
-year, or be landed once as Parquet (`land_documents`) and read from there with pruning.
+CSV and single-document JSON are the exchange formats.  Quoted line breaks and the brackets of a
+document keep Spark from cutting such a file; `sources.ranges` reads documents and lists by byte ranges
+nevertheless.  What is read often should be landed once as Parquet (`land_documents`) and pruned there.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from watchpanel.functions.columns import (
     parse_yyyymmdd,
 )
 from watchpanel.operators.panel import distinct_keys, in_range, melt_label_matrix
+from watchpanel.sources.ranges import json_members, read_csv_ranges
 
 
 def _hadoop_exists(spark: SparkSession, path: str) -> bool:
@@ -39,12 +40,16 @@ def first_existing(spark: SparkSession, candidates: Sequence[str]) -> str:
     raise FileNotFoundError("none of these exist: " + ", ".join(candidates))
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_csv(spark: SparkSession, paths: str | Sequence[str], *, by_ranges: bool = False) -> DataFrame:
     """CSV with header, quoted line breaks and doubled quotes; every column as text.
 
-    Cells that stand for a missing value are null.
+    Cells that stand for a missing value are null.  A file is read by one task, or `by_ranges` by as many
+    as it has byte ranges.
     """
-    df = spark.read.csv(paths, header=True, multiLine=True, escape='"', inferSchema=False)
+    if by_ranges:
+        df = read_csv_ranges(spark, paths)
+    else:
+        df = spark.read.csv(paths, header=True, multiLine=True, escape='"', inferSchema=False)
     cells = [(F.col(f"`{name}`"), name) for name in df.columns]
     return df.select(*[F.when(~c.isin(*fv.MISSING_CELLS), c).alias(name) for c, name in cells])
 
@@ -81,12 +86,14 @@ def scan_documents(
 ) -> DataFrame:
     """Documents of the needed years, mapped columns only; rows without an entity dropped.
 
-    One path (file or folder) per year; years outside the period are not opened.  `head` keeps
-    the first rows of each year, for trials.
+    One path (file or folder) per year; years outside the period are not opened.  A file is read by
+    byte ranges, whatever line breaks its texts hold.  `head` keeps the first rows of each year, for
+    trials, and reads no more than it needs.
     """
     years = needed_years(output_start, output_end, lookback_days)
     if head is None:
-        return _document_rows(renamed(read_csv(spark, [f"{base}/{name(y)}" for y in years]), mapping))
+        paths = [f"{base}/{name(y)}" for y in years]
+        return _document_rows(renamed(read_csv(spark, paths, by_ranges=True), mapping))
     parts = [renamed(read_csv(spark, f"{base}/{name(y)}"), mapping).limit(head) for y in years]
     together = parts[0]
     for part in parts[1:]:
@@ -183,15 +190,16 @@ def truth_rows(labels: DataFrame) -> DataFrame:
 def _document_days(spark: SparkSession, path: str, kind: str, by_line: bool) -> DataFrame:
     """JSON documents `{day: list}` as one row per day.
 
-    `by_line` reads the form this package writes (a line per day, splittable).  Otherwise each
-    file is one document in any layout, parsed by one task.
+    `by_line` reads the form this package writes (a line per day).  Otherwise each file is one document
+    in any layout, cut at its top-level keys by byte ranges; a day's list is one value.
     """
-    text = spark.read.text(path, wholetext=not by_line)
     if by_line:
         pair = F.regexp_replace(F.regexp_replace("value", r"^[\s{]+", ""), r"\][\s,}]*$", "]")
-        text = text.select(F.concat(F.lit("{"), pair, F.lit("}")).alias("value"))
+        days = spark.read.text(path).select(F.concat(F.lit("{"), pair, F.lit("}")).alias("value"))
+    else:
+        days = json_members(spark, path).select(F.concat(F.lit("{"), "member", F.lit("}")).alias("value"))
     parsed = F.from_json("value", f"map<string,{kind}>")
-    return text.select(F.explode(parsed).alias("_day", "_items"))
+    return days.select(F.explode(parsed).alias("_day", "_items"))
 
 
 def scan_daily_watchlist(
