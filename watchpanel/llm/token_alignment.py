@@ -224,8 +224,11 @@ class Aligned:
 
 
 def _of_block(known: Encoders, row: dict) -> Aligned:
-    a, b = (np.frombuffer(row[c], dtype=known.kind).astype(np.int64) for c in ("a", "b"))
-    return Aligned(known, a, b, np.array(row["n_a"], dtype=np.int64), np.array(row["n_b"], dtype=np.int64))
+    counts = [np.array(row[c], dtype=np.int64) for c in ("n_a", "n_b")]
+    width = np.dtype(known.kind).itemsize
+    packed = (pa.decompress(row[c], int(n.sum()) * width, codec="zstd") for c, n in zip(("a", "b"), counts))
+    a, b = (np.frombuffer(x, dtype=known.kind).astype(np.int64) for x in packed)
+    return Aligned(known, a, b, *counts)
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -240,7 +243,7 @@ def token_blocks(
     docs: DataFrame, key: str = "doc_id", text: str = "text", *, left: str | None = None, right: str | None = None,
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
-    """(block, keys, n_a, n_b, a, b): ids of consecutive texts, packed little-endian integers (`Encoders.kind`).
+    """(block, keys, n_a, n_b, a, b): ids of consecutive texts, packed little-endian integers (`Encoders.kind`), zstd.
 
     Written to a table, which fixes the blocks.  Null and empty texts, and texts that B does not give
     back byte by byte, have no tokens.
@@ -259,7 +262,7 @@ def token_blocks(
                     pa.array([number], pa.int64()), pa.array([keys], pa.list_(key_type)),
                     pa.array([[len(x) // width for x in a]], pa.list_(pa.int32())),
                     pa.array([[len(x) // width for x in b]], pa.list_(pa.int32())),
-                    pa.array([b"".join(a)], pa.binary()), pa.array([b"".join(b)], pa.binary()),
+                    *[pa.array([pa.compress(b"".join(x), codec="zstd", asbytes=True)], pa.binary()) for x in (a, b)],
                 ],
                 names=["block", "keys", "n_a", "n_b", "a", "b"],
             )
