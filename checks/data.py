@@ -21,7 +21,7 @@ OUTPUT = (START, END)
 DIM_EVENTS = dict(zip(fv.DIMS, ("error", "click", "view", "purchase")))
 
 KEYWORDS = ("attion", "tion the", "License", "license", "worthless", "@", "nicht", "que la")
-TEXT = TextParams(lookback_days=12, keywords=KEYWORDS, sentence_breaks="[.!?;\n\r]+")
+TEXT = TextParams(lookback_days=22, keywords=KEYWORDS, sentence_breaks="[.!?;\n\r]+")
 PREFILTER = PrefilterParams(
     high=5, medium=3,
     keywords=("license", "attion", "worthless", "thanedble", "anea", "tion", "token", "nicht", "que"),
@@ -34,12 +34,12 @@ RULES = RuleParams(
 MODEL = ModelParams(
     train_start=START, train_end=dt.date(2024, 1, 20),
     predict_start=dt.date(2024, 1, 21), predict_end=END,
-    validation_start=dt.date(2024, 1, 15),
-    max_iter=8, step_size=0.1, max_depth=4, horizon_days=20,
+    validation_start=dt.date(2024, 1, 15), horizon_days=20,
 )
 DOC_FIRST, DOC_LAST = dt.date(2023, 12, 10), dt.date(2024, 1, 23)
-DOC_OUTPUT = (dt.date(2024, 1, 1), dt.date(2024, 1, 20))
-DOC_START = dt.date(2023, 12, 20)
+# the lookback of the first output day reaches the first document
+DOC_OUTPUT = (dt.date(2024, 1, 1), DOC_LAST)
+USABLE = (dt.date(2023, 12, 20), dt.date(2024, 1, 20))
 
 PHRASES = PhraseRules(
     categories={
@@ -268,8 +268,7 @@ CTES: dict[str, str] = {
     "used_docs": f"""
         select id, entity, publish_date as date, {sql_clean('title')} as title,
           {sql_clean('category_name')} as category_name, content
-        from docs where publish_date between date '2023-12-20' and date '2024-01-20'
-          and {sql_clean('title')} <> '' and {sql_clean('category_name')} <> ''""",
+        from docs where {sql_clean('title')} <> '' and {sql_clean('category_name')} <> ''""",
     "kept_docs": """
         select * from (select *, row_number() over (partition by entity, date order by id) as rank from used_docs)
         where rank <= 3""",

@@ -14,12 +14,13 @@ from watchpanel.operators import features as ft
 from watchpanel.operators import intervals as iv
 from watchpanel.operators import model as md
 from watchpanel.operators import panel as pn
+from watchpanel.operators import search as sr
 from watchpanel.operators import summary as sm
 from watchpanel.operators import sweep as sw
 from watchpanel.operators import watchlist as wl
 from watchpanel.plans import model_track as mt
 from watchpanel.sources import writers as wr
-from watchpanel.sources.storage import scratch_path
+from watchpanel.sources.storage import materialize, scratch_path
 
 KEYS = pn.KEYS
 
@@ -212,57 +213,119 @@ def prediction_only(spark, sf):
     return df.select(*KEYS, "label_in_file", "y_label_empty", r6("y_label_value"))
 
 
-def _trained(spark, sf, params=MODEL):
-    return mt.run(filled_dims(spark, sf), labels(spark, sf), params)
+_RUNS: dict[tuple, mt.ModelResult] = {}
 
 
-@query("train_urgency_model")
-def train_model(spark, sf):
-    """Validation errors and row counts of a training run."""
-    return _trained(spark, sf).metrics
+def _trained(spark, sf, params=MODEL):
+    """A training run with the default settings; the queries about it share one for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf, params)
+    if key not in _RUNS:
+        run = mt.run(filled_dims(spark, sf), labels(spark, sf), params)
+        rows = materialize(run.predictions)
+        _RUNS[key] = replace(
+            run, predictions=rows, history=pn.in_range(rows, params.train_start, params.train_end),
+            predicted=pn.in_range(rows, params.predict_start, params.predict_end),
+        )
+    return _RUNS[key]
+
+
+_COUNTS_SQL = """select positive + least(zero, greatest(cast(floor(positive * 5.53767) as bigint), 1)) as sampled_rows,
+             positive as positive_rows, zero as zero_rows, positive + zero as numeric_rows{more} from (
+             select count(*) filter (y_label_value > 0) as positive, count(*) filter (y_label_value = 0) as zero
+             from labelled where date <= date '2024-01-20')"""
 
 
 @query(
-    "training_row_counts",
+    "train_urgency_model",
     sql(
-        """select positive + least(zero, greatest(cast(floor(positive * 5.53767) as bigint), 1)) as sampled_rows,
-             positive as positive_rows, zero as zero_rows, positive + zero as numeric_rows from (
-             select count(*) filter (y_label_value > 0) as positive, count(*) filter (y_label_value = 0) as zero
-             from labelled where date <= date '2024-01-20')""",
-        "panel", "urgency", extra=_FILE,
+        _COUNTS_SQL.format(more=", true as errors_in_range, true as better_than_the_mean"), "panel", "urgency", extra=_FILE,
     ),
 )
-def training_counts(spark, sf):
-    """Row counts reported by a training run."""
-    metrics = _trained(spark, sf, replace(MODEL, max_iter=2)).metrics
-    return metrics.select(
-        *[F.col(c).cast("bigint").alias(c) for c in ("sampled_rows", "positive_rows", "zero_rows", "numeric_rows")]
+def train_model(spark, sf):
+    """Row counts of a training run, and its errors against those of the mean as prediction."""
+    run = _trained(spark, sf)
+    sample = md.balanced_sample(training_rows(spark, sf), MODEL.zero_ratio, MODEL.seed)
+    known = sample.select(*KEYS, "y_label_value").join(run.predictions.select(*KEYS, "predicted_label_value"), KEYS)
+    value, guess = F.col("y_label_value"), F.col("predicted_label_value")
+    fitted = known.agg((F.avg((value - guess) ** 2) < F.var_pop(value)).alias("better_than_the_mean"))
+    mae, rmse = F.col("validation_mae"), F.col("validation_rmse")
+    return run.metrics.crossJoin(fitted).select(  # one row each
+        *[F.col(c).cast("bigint").alias(c) for c in ("sampled_rows", "positive_rows", "zero_rows", "numeric_rows")],
+        ((mae > 0) & (mae <= rmse) & (rmse < 1)).alias("errors_in_range"), "better_than_the_mean",
     )
 
 
-@query("predict_urgency")
+@query("training_row_counts", sql(_COUNTS_SQL.format(more=""), "panel", "urgency", extra=_FILE))
+def training_counts(spark, sf):
+    """Row counts that a training run reports, taken without a fit."""
+    return md.sample_counts(training_rows(spark, sf), MODEL)
+
+
+@query(
+    "predict_urgency",
+    sql(
+        """select entity, date, 0 as predicted_st, true as in_range, true as flag_follows
+           from panel where date > date '2024-01-20'""",
+        "panel",
+    ),
+)
 def predict(spark, sf):
-    return _trained(spark, sf).predicted.select(*KEYS, "predicted_label_value", "predicted_st", "predicted_blacklist")
+    """Predictions of the prediction period: inside 0..1, and the flag of each as its threshold says."""
+    value, flag = F.col("predicted_label_value"), F.col("predicted_blacklist")
+    reached = (value >= F.lit(MODEL.label_threshold).cast("float")) & (F.col("predicted_st") == 0)
+    return _trained(spark, sf).predicted.select(
+        *KEYS, "predicted_st", value.between(0, 1).alias("in_range"), (flag == reached.cast("int")).alias("flag_follows")
+    )
 
 
-@query("prediction_table_csv")
+@query(
+    "prediction_table_csv",
+    sql(
+        """select l.entity as stock_code, l.date, case when l.date <= date '2024-01-20' then label_in_file end as label_in_file,
+             case when l.date <= date '2024-01-20' then y_label_empty end as y_label_empty,
+             round(case when l.date <= date '2024-01-20' then y_label_value end, 6) as y_label_value,
+             y_label_empty as predicted_st, 0 as predicted_label_empty, true as labels_agree, """
+        + ", ".join(f"round(coalesce({d}, 0), 6) as {d}" for d in fv.DIMS)
+        + " from labelled l left join dims d using (entity, date)",
+        "panel", "urgency", "dims", extra=_FILE,
+    ),
+)
 def prediction_csv(spark, sf):
+    """The table written and read back; the model's columns agree with each other and with the rows written."""
     path = scratch_path(spark, "predictions")
-    wr.write_predictions(_trained(spark, sf).predictions, path)
-    return spark.read.csv(path, header=True)
+    rows = _trained(spark, sf).predictions
+    wr.write_predictions(rows, path)
+    back = spark.read.csv(path, header=True, enforceSchema=True, schema=", ".join(
+        f"`{n}` {'string' if n == 'stock_code' else 'date' if n == 'date' else 'double'}" for n in wr.PREDICTION_COLUMNS.values()
+    ))
+    own = rows.select(F.col("entity").alias("stock_code"), "date", F.col("predicted_label_value").alias("_v"), F.col("predicted_blacklist").alias("_b"))
+    same = (
+        (F.col("predicted_label_value") == F.col("predicted_label")) & (F.col("predicted_label").cast("float") == F.col("_v"))
+        & (F.col("predicted_blacklist") == F.col("_b"))
+    )
+    whole = ("label_in_file", "y_label_empty", "predicted_st", "predicted_label_empty")
+    return back.join(own, ["stock_code", "date"]).select(
+        "stock_code", "date", *[F.col(c).cast("int").alias(c) for c in whole], r6("y_label_value"), same.alias("labels_agree"),
+        *[r6(d) for d in fv.DIMS],
+    )
 
 
-@query("saved_model")
+@query(
+    "saved_model",
+    sql("select entity, date, true as same_value, true as same_threshold from panel", "panel"),
+)
 def saved_model(spark, sf):
-    """A model written, read back and applied."""
+    """A model written, read back and applied: the predictions of the fresh one."""
     path = scratch_path(spark, "model")
+    run = _trained(spark, sf)
+    md.save_model(run.model, path, MODEL.label_threshold, ft.feature_columns())
+    loaded, threshold, names = md.load_model(path)
     frame = mt.feature_frame(filled_dims(spark, sf), labels(spark, sf), MODEL)
-    training = pn.in_range(frame, MODEL.train_start, MODEL.train_end)
-    model, _ = md.train(training, ft.feature_columns(), MODEL)
-    md.save_model(model, path, MODEL.label_threshold, ft.feature_columns())
-    loaded, threshold, _ = md.load_model(path)
-    scored = md.predict(loaded, frame)
-    return scored.select(*KEYS, "predicted_label_value", (F.col("predicted_label_value") >= threshold).alias("listed"))
+    scored = md.predict(loaded, frame).select(*KEYS, F.col("predicted_label_value").alias("_again"))
+    kept = F.lit(threshold == MODEL.label_threshold and names == ft.feature_columns())
+    return run.predictions.join(scored, KEYS).select(
+        *KEYS, (F.col("_again") == F.col("predicted_label_value")).alias("same_value"), kept.alias("same_threshold")
+    )
 
 
 _EVAL = {
@@ -331,17 +394,82 @@ def threshold_sweep(spark, sf):
     return df.select("threshold", r6("avg_list_size"), r6("acc"), r6("fpr"), r6("objective"))
 
 
-@query("model_setting_sweep")
+SWEPT = (0.01, 0.02, 0.05, 0.1, 0.2)
+_SWEPT = ", ".join(f"({t})" for t in SWEPT)
+
+
+@query(
+    "model_setting_sweep",
+    f"""select trial, cast(t as double) as threshold, case trial when 0 then 2.0 else 6.0 end as zero_ratio, 96 as max_iter,
+          true as objective_follows, true as lists_shrink, true as rates_in_range
+        from (values (0), (1)) x(trial) cross join (values {_SWEPT}) y(t)""",
+)
 def model_sweep(spark, sf):
-    """Two training settings, five thresholds each."""
-    truth = label_panel(spark, sf).select(*KEYS, "y_status", "st_label_value")
+    """Two training settings, five thresholds each: what holds for any model."""
+    from pyspark.sql import Window
+
+    truth = materialize(label_panel(spark, sf).select(*KEYS, "y_status", "st_label_value"))
+    frame = materialize(mt.feature_frame(filled_dims(spark, sf), labels(spark, sf), MODEL))
 
     def fit_and_score(params):
-        scored = _trained(spark, sf, params).predicted.select(*KEYS, "predicted_label_value")
+        scored = mt.predicted_from(frame, params)
         return pn.in_range(truth, params.predict_start, params.predict_end).join(scored, KEYS)
 
-    trials = [{"zero_ratio": 2.0, "max_iter": 4}, {"zero_ratio": 6.0, "max_iter": 4}]
-    return sw.sweep_models(fit_and_score, MODEL, trials, (0.01, 0.02, 0.05, 0.1, 0.2))
+    rows = sw.sweep_models(fit_and_score, MODEL, [{"zero_ratio": 2.0}, {"zero_ratio": 6.0}], SWEPT)
+    acc, fpr = F.col("acc"), F.col("fpr")
+    before = F.lag("avg_list_size").over(Window.partitionBy("trial").orderBy("threshold"))
+    follows = F.abs(F.col("objective") - (F.coalesce(acc, F.lit(0.0)) - fpr)) < 1e-9
+    return rows.select(
+        "trial", "threshold", "zero_ratio", "max_iter", follows.alias("objective_follows"),
+        F.coalesce(F.col("avg_list_size") <= before, F.lit(True)).alias("lists_shrink"),
+        (F.coalesce(acc.between(0, 1), F.lit(True)) & fpr.between(0, 1)).alias("rates_in_range"),
+    )
+
+
+TRIALS = sr.draw_trials(9, seed=42)
+_DRAWN = ", ".join(
+    f"({i}, {t['zero_ratio']!r}, {t['label_threshold']!r}, {t['max_iter']}, {t['step_size']!r}, {t['max_depth']})" for i, t in enumerate(TRIALS)
+)
+
+
+def _search(spark, sf):
+    truth = label_panel(spark, sf).select(*KEYS, "y_status", "st_label_value")
+    frame = materialize(mt.feature_frame(filled_dims(spark, sf), labels(spark, sf), MODEL))
+    return sr.search_settings(frame, truth, MODEL, TRIALS)
+
+
+@query(
+    "model_setting_search",
+    f"""with t(trial, zero_ratio, label_threshold, max_iter, step_size, max_depth) as (values {_DRAWN})
+        select trial, 0 as rung, cast(ceil(max_iter / 9) as int) as trees, round(zero_ratio, 9) as zero_ratio,
+          round(label_threshold, 9) as label_threshold, cast(max_iter as double) as max_iter, round(step_size, 9) as step_size,
+          cast(max_depth as double) as max_depth,
+          zero_ratio between 2 and 10 and label_threshold between 0.001 and 0.05 and max_iter between 80 and 250
+            and step_size between 0.01 and 0.2 and max_depth between 4 and 6 as in_range,
+          9 as in_first, 3 as in_second, 1 as in_last, 4 as stages, true as best_go_on, true as best_is_best from t""",
+)
+def model_search(spark, sf):
+    """Nine drawn settings, halved twice: the draws, the rungs, and the best by accuracy less false-positive rate."""
+    from pyspark.sql import Window
+
+    found = _search(spark, sf)
+    rows = found.results
+    (best,) = found.best.collect()
+    last = rows.where("rung = 2")
+    sizes = rows.agg(*[F.count_distinct(F.when(F.col("rung") == r, F.col("trial"))).cast("int").alias(f"r{r}") for r in range(3)]).first()
+    went_on = rows.where("rung = 1").select("trial").distinct().withColumn("on", F.lit(1))
+    place = F.row_number().over(Window.partitionBy("rung").orderBy(F.desc("objective"), "trial"))
+    first = rows.where("rung = 0").withColumn("_place", place).join(went_on, "trial", "left")
+    top = last.agg(F.max("objective"), F.count(F.lit(1))).first()
+    return first.select(
+        "trial", "rung", "trees", *[F.round(c, 9).alias(c) for c in ("zero_ratio", "label_threshold")], "max_iter",
+        F.round("step_size", 9).alias("step_size"), "max_depth",
+        (F.col("zero_ratio").between(2, 10) & F.col("label_threshold").between(0.001, 0.05) & F.col("max_iter").between(80, 250)
+         & F.col("step_size").between(0.01, 0.2) & F.col("max_depth").between(4, 6)).alias("in_range"),
+        *[F.lit(sizes[f"r{r}"]).alias(n) for r, n in enumerate(("in_first", "in_second", "in_last"))],
+        F.lit(top[1]).cast("int").alias("stages"), (F.col("on").isNotNull() == (F.col("_place") <= 3)).alias("best_go_on"),
+        F.lit(best.objective == top[0]).alias("best_is_best"),
+    )
 
 
 _RUN_SQL = {

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.data import (
+    DOC_FIRST,
     DOC_LAST,
     DOC_OUTPUT,
-    DOC_START,
     KEYWORDS,
     PREFILTER,
     TEXT,
+    USABLE,
     documents,
     dim_scores,
     scorer_outputs,
@@ -28,9 +29,10 @@ from watchpanel.functions import text as tx
 from watchpanel.operators import documents as dc
 from watchpanel.operators import panel as pn
 from watchpanel.operators import scoring as sc
+from watchpanel.params import TextParams
 
 KEYS = pn.KEYS
-RANGE = (DOC_START, DOC_OUTPUT[1])
+RANGE = (DOC_FIRST, DOC_LAST)
 
 
 def daily(spark, sf):
@@ -174,10 +176,15 @@ def tails(spark, sf):
 # --- documents to daily texts -----------------------------------------------
 @query(
     "usable_documents",
-    sql("select id, entity, date, title, category_name from used_docs", "used_docs"),
+    sql(
+        """select id, entity, date, title, category_name from used_docs
+           where date between date '2023-12-20' and date '2024-01-20'""",
+        "used_docs",
+    ),
 )
 def usable(spark, sf):
-    return dc.usable_documents(documents(spark, sf), *RANGE).select("id", *KEYS, "title", "category_name")
+    """A period within the documents' days is the feature here."""
+    return dc.usable_documents(documents(spark, sf), *USABLE).select("id", *KEYS, "title", "category_name")
 
 
 @query("first_documents_per_day", sql("select id, entity, date, rank from kept_docs", "kept_docs"))
@@ -196,15 +203,33 @@ def daily_query(spark, sf):
     return daily(spark, sf)
 
 
+@query(
+    "daily_text_without_limits",
+    sql(
+        f"""select entity, date, string_agg(category_name || '：' || title ||
+              case when key <> '' then '；正文要点：' || key else '' end, '；' order by id) as doc_text
+            from (select id, entity, date, title, category_name, {sql_clean("coalesce(content, '')")} as key from used_docs)
+            group by 1, 2""",
+        "used_docs",
+    ),
+)
+def daily_whole(spark, sf):
+    """Every document of a day with its whole text."""
+    whole = TextParams(
+        max_docs_per_day=None, max_sentences=None, key_max_chars=None, title_max_chars=None, document_max_chars=None
+    )
+    return dc.daily_text(documents(spark, sf), *RANGE, whole)
+
+
 _TEXT_PANEL = {
     "doc_panel": """
       select entity, date from (select distinct entity from docs) cross join
-        (select cast(unnest(generate_series(date '2023-12-20', date '2024-01-20', interval 1 day)) as date) as date)""",
+        (select cast(unnest(generate_series(date '2023-12-10', date '2024-01-23', interval 1 day)) as date) as date)""",
     "text_panel": """
       select p.entity, p.date, coalesce(any_value(d.doc_text), '无相关公告') as doc_text,
         coalesce(string_agg(w.doc_text, '；' order by w.date), '无相关公告') as lookback
       from doc_panel p left join doc_text d on d.entity = p.entity and d.date = p.date
-        left join doc_text w on w.entity = p.entity and w.date between p.date - 11 and p.date
+        left join doc_text w on w.entity = p.entity and w.date between p.date - 21 and p.date
       group by 1, 2""",
 }
 
@@ -289,7 +314,7 @@ def label_counts(spark, sf):
     "select_plain_tasks",
     sql(
         """select entity, date, lookback as text from text_panel
-           where date between date '2024-01-01' and date '2024-01-20' and lookback <> '无相关公告'
+           where date between date '2024-01-01' and date '2024-01-23' and lookback <> '无相关公告'
              and (doc_text <> '无相关公告' or date = date '2024-01-01')""",
         "doc_text", extra=_TEXT_PANEL,
     ),
@@ -299,7 +324,7 @@ def plain_tasks(spark, sf):
 
 
 _TASKS_SQL = """select entity, date, doc_text as text from rated
-                where date <= date '2024-01-20' and filter_label in ('HIGH', 'MEDIUM')"""
+                where date <= date '2024-01-23' and filter_label in ('HIGH', 'MEDIUM')"""
 
 
 @query("select_prefiltered_tasks", sql(_TASKS_SQL, "doc_text", extra=_RATED_DAYS))
@@ -428,7 +453,7 @@ _DOC_RUN = {
     "doc_scores": f"select entity, date, {_SCORE_SQL} as v from ({_TASKS_SQL}) where date >= date '2024-01-01'",
     "doc_dense": """
       select e.entity, c.date, coalesce(s.v, 0) as v from (select distinct entity from docs) e cross join
-        (select cast(unnest(generate_series(date '2024-01-01', date '2024-01-20', interval 1 day)) as date) as date) c
+        (select cast(unnest(generate_series(date '2024-01-01', date '2024-01-23', interval 1 day)) as date) as date) c
         left join doc_scores s using (entity, date)""",
     "doc_mem": """
       select entity, date, cast(case when v >= 60 then v else 0 end as double) as s from doc_dense where date = date '2024-01-01'
@@ -439,7 +464,7 @@ _DOC_RUN = {
         lateral (select case when d.v > 0 and a.s0 > 0 then greatest(a.s0, d.v)
                              when d.v > 0 and d.v >= 60 then d.v else a.s0 end as s1) x""",
     "doc_status": """select distinct source as entity, cast(ts as date) as date from documents join events on event_id = doc_id
-                     where event_type = 'signup' and value > 60 and cast(ts as date) between date '2023-12-20' and date '2024-01-20'""",
+                     where event_type = 'signup' and value > 60 and cast(ts as date) between date '2023-12-10' and date '2024-01-23'""",
 }
 
 
@@ -504,7 +529,7 @@ def plain_scheme(spark, sf):
              union all
              select entity, date, 0 from (select distinct lpad(cast(user_id as varchar), 6, '0') as entity from events
                where event_type = 'signup' and value > 60) cross join
-               (select cast(unnest(generate_series(date '2024-01-01', date '2024-01-20', interval 1 day)) as date) as date))""",
+               (select cast(unnest(generate_series(date '2024-01-01', date '2024-01-23', interval 1 day)) as date) as date))""",
         "doc_text", extra=_TEXT_PANEL,
     ),
 )
@@ -543,12 +568,12 @@ def _dim_states() -> tuple[str, dict[str, str]]:
         + f" from ({_TASKS_SQL})",
         "doc_days": """
           select e.entity, c.date from (select distinct entity from docs) e cross join
-            (select cast(unnest(generate_series(date '2023-12-20', date '2024-01-20', interval 1 day)) as date) as date) c""",
+            (select cast(unnest(generate_series(date '2023-12-10', date '2024-01-23', interval 1 day)) as date) as date) c""",
     }
     for d in fv.DIMS:
         extra[f"v_{d}"] = f"select p.entity, p.date, coalesce(s.{d}, 0) as v from doc_days p left join dim_scores s using (entity, date)"
         extra[f"s_{d}"] = f"""
-          select entity, date, cast(case when v >= 30 then v else 0 end as double) as s from v_{d} where date = date '2023-12-20'
+          select entity, date, cast(case when v >= 30 then v else 0 end as double) as s from v_{d} where date = date '2023-12-10'
           union all
           select n.entity, n.date, case when x.s1 < 30 then 0.0 else x.s1 end as s
           from s_{d} m join v_{d} n on n.entity = m.entity and n.date = m.date + 1,
@@ -597,7 +622,21 @@ def plain_dims(spark, sf):
     return df.select(*KEYS, *[F.col(d).cast("double").alias(d) for d in fv.DIMS])
 
 
-@query("scoring_summary_by_task")
+@query(
+    "scoring_summary_by_task",
+    sql(
+        f"""select count(*) as n_total, count(*) as n_parse_ok, 0 as n_parse_fail, true as one_row_a_task, true as rates_follow
+            from ({_TASKS_SQL})""",
+        "doc_text", extra=_RATED_DAYS,
+    ),
+)
 def summary_by_task(spark, sf):
-    """Totals of each scoring task."""
-    return sc.scoring_summary(sc.scoring_results(scored(spark, sf)), by_task=True)
+    """Totals of each scoring task, added up: which task scores a row depends on the partitioning."""
+    tasks = sc.scoring_summary(sc.scoring_results(scored(spark, sf)), by_task=True)
+    n, ok = F.col("n_total"), F.col("n_parse_ok")
+    return tasks.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n_total"), F.coalesce(F.sum(ok), F.lit(0)).alias("n_parse_ok"),
+        F.coalesce(F.sum("n_parse_fail"), F.lit(0)).alias("n_parse_fail"),
+        (F.count_distinct("task") == F.count(F.lit(1))).alias("one_row_a_task"),
+        F.coalesce(F.bool_and(F.abs(F.col("parse_ok_rate") - ok / n) < 1e-9), F.lit(True)).alias("rates_follow"),
+    )

@@ -95,6 +95,16 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "predicted_label_val
     return scored.withColumn(out, value).drop("features", "_prediction")
 
 
+def sample_counts(df: DataFrame, params: ModelParams, target: str = TARGET) -> DataFrame:
+    """One row: rows of the training sample, positive, zero and all rows of labelled rows, without a fit."""
+    positive, zero = F.col("positive_rows"), F.col("zero_rows")
+    wanted = F.greatest(F.floor(positive * F.lit(params.zero_ratio)), F.lit(1))
+    return df.agg(
+        F.count_if(F.col(target) > 0).alias("positive_rows"), F.count_if(F.col(target) == 0).alias("zero_rows"),
+        F.count(F.lit(1)).alias("numeric_rows"),
+    ).select((positive + F.least(zero, wanted)).alias("sampled_rows"), "positive_rows", "zero_rows", "numeric_rows")
+
+
 def train(
     df: DataFrame, features: Sequence[str], params: ModelParams
 ) -> tuple[PipelineModel, DataFrame]:

@@ -15,13 +15,13 @@ from watchpanel.operators.panel import KEYS, calendar, in_range
 from watchpanel.params import ModelParams
 from watchpanel.sources.storage import materialize
 
-# Default search ranges of the model sweep
+# Default search ranges of the model sweep: lowest and highest value, and how values are drawn
 SEARCH_RANGES = {
-    "zero_ratio": (2.0, 10.0),
-    "label_threshold": (0.001, 0.05),
-    "max_iter": (80, 250),
-    "step_size": (0.01, 0.2),
-    "max_depth": (4, 6),
+    "zero_ratio": (2.0, 10.0, "even"),
+    "label_threshold": (0.001, 0.05, "log"),
+    "max_iter": (80, 250, "whole"),
+    "step_size": (0.01, 0.2, "log"),
+    "max_depth": (4, 6, "whole"),
 }
 
 

@@ -21,7 +21,7 @@ from watchpanel.operators.evaluate import (
 from watchpanel.operators.features import feature_columns, with_features
 from watchpanel.operators.intervals import entry_events, flag_intervals
 from watchpanel.operators.memory import decay_memory
-from watchpanel.operators.model import predict, save_model, train
+from watchpanel.operators.model import balanced_sample, fit_regressor, predict, save_model, train
 from watchpanel.operators.panel import (
     KEYS,
     distinct_keys,
@@ -86,6 +86,14 @@ def run(scores: DataFrame, labels: DataFrame, params: ModelParams) -> ModelResul
     )
 
 
+def predicted_from(frame: DataFrame, params: ModelParams) -> DataFrame:
+    """`entity, date, predicted_label_value` of the prediction period, from a stored feature frame and one fit."""
+    labelled = in_range(frame, params.train_start, params.train_end).where("y_label_numeric_available = 1")
+    model = fit_regressor(balanced_sample(labelled, params.zero_ratio, params.seed), feature_columns(), params)
+    ahead = in_range(frame, params.predict_start, params.predict_end)
+    return predict(model, ahead).select(*KEYS, "predicted_label_value")
+
+
 #: lists of a run: name, flag, period
 RUN_LISTS = (
     ("history_daily", "predicted_st", "history"),
