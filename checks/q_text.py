@@ -338,8 +338,7 @@ _SCORE_SQL = "least(100, 20 * ({}))".format(
 )
 
 
-def make_scorer():
-    return sc.KeywordScorer(KEYWORDS)
+make_scorer = sc.keyword_answers(KEYWORDS)
 
 
 def scored(spark, sf):
@@ -372,6 +371,47 @@ def scoring_log(spark, sf):
     return sc.debug_rows(scored(spark, sf)).withColumn("text_chars", F.col("text_chars").cast("bigint"))
 
 
+@query(
+    "batch_text_scoring_in_python",
+    sql(
+        f"select entity, date, cast({_SCORE_SQL} as int) as risk_score, true as parse_ok from ({_TASKS_SQL})",
+        "doc_text", extra=_RATED_DAYS,
+    ),
+)
+def batch_scoring_python(spark, sf):
+    """The form for scorers that are no expression: batches of texts in Python workers."""
+    tasks = dc.select_prefiltered(daily(spark, sf), DOC_OUTPUT, PREFILTER)
+    return sc.scoring_results(sc.score_texts(tasks, lambda: sc.KeywordScorer(KEYWORDS), parts=8))
+
+
+@query(
+    "scoring_with_answer_store",
+    sql(
+        f"""select entity, date, cast({_SCORE_SQL} as int) as risk_score, true as parse_ok,
+             (select count(distinct text) from ({_TASKS_SQL}) where date < date '2024-01-05') as first_run,
+             (select count(distinct text) from ({_TASKS_SQL}) where text not in (
+                select text from ({_TASKS_SQL}) where date < date '2024-01-05')) as second_run, 0 as third_run
+           from ({_TASKS_SQL})""",
+        "doc_text", extra=_RATED_DAYS,
+    ),
+)
+def scoring_store(spark, sf):
+    """Three runs over one store: the days up to a day, all days, all days again; each scores new texts only."""
+    from watchpanel.sources.answers import AnswerStore
+    from watchpanel.sources.storage import materialize, scratch_path
+
+    store = AnswerStore(spark, scratch_path(spark, "answers"))
+    tasks = materialize(dc.select_prefiltered(daily(spark, sf), DOC_OUTPUT, PREFILTER))
+    written = [0]
+    for part in (tasks.where("date < '2024-01-05'"), tasks, tasks):
+        done = store.score(part, make_scorer)
+        written.append(store.rows().count())
+    new = [b - a for a, b in zip(written, written[1:])]
+    return sc.scoring_results(done).select(
+        "*", *[F.lit(n).cast("bigint").alias(c) for n, c in zip(new, ("first_run", "second_run", "third_run"))]
+    )
+
+
 @query("parse_scores", sql("select id, risk_score, parse_ok from parsed", "parsed"))
 def parse_scores(spark, sf):
     return op.with_parsed_score(scorer_outputs(spark, sf), "raw").select("id", "risk_score", "parse_ok")
@@ -514,6 +554,59 @@ def plain_scheme(spark, sf):
     return df.select(*KEYS, F.col("score").cast("double").alias("score"))
 
 
+@query(
+    "plain_scheme_first_day_all",
+    sql(
+        """select p.entity, p.date, cast(case when x.seen is null or p.date - x.seen > 4 then 0 else x.score end as double) as score
+           from (select * from doc_panel where date >= date '2024-01-01') p left join lateral (
+             select q.date as seen, q.score from (
+               select entity, date, """
+        + _SCORE_SQL.replace("text", "lookback")
+        + """ as score from text_panel where date >= date '2024-01-01' and lookback <> '无相关公告'
+                 and (doc_text <> '无相关公告' or date = date '2024-01-01')) q
+             where q.entity = p.entity and q.date <= p.date order by q.date desc limit 1) x on true""",
+        "doc_text", extra=_TEXT_PANEL,
+    ),
+)
+def plain_scheme_first_day(spark, sf):
+    """Every entity is scored on the first output day, from the days before."""
+    from watchpanel.plans.rule_track import filled_scores
+
+    df = filled_scores(documents(spark, sf), _document_rules(), make_scorer, max_days=4, first_day_all=True)
+    return df.select(*KEYS, F.col("score").cast("double").alias("score"))
+
+
+_LOOKBACK_TASKS = """
+  select t.entity, t.date, t.lookback as text from text_panel t left join rated r using (entity, date)
+  where t.date <= date '2024-01-23' and (t.date = date '2024-01-01' or (r.filter_label in ('HIGH', 'MEDIUM') and t.lookback <> '无相关公告'))"""
+
+
+@query(
+    "watchlist_from_lookback_texts",
+    sql(
+        "select m.date, cast(row_number() over (partition by m.date order by s desc, m.entity) as bigint) as rank, m.entity, "
+        "s as score from doc_mem m where s >= 40 and not exists "
+        "(select 1 from doc_status d where d.entity = m.entity and d.date = m.date)",
+        "doc_text",
+        extra={
+            **_TEXT_PANEL, **_DOC_RUN,
+            "doc_scores": f"select entity, date, {_SCORE_SQL} as v from ({_LOOKBACK_TASKS}) where date >= date '2024-01-01'",
+        },
+    ),
+)
+def lookback_watchlist(spark, sf):
+    """The decay scheme on lookback texts, every entity scored on the first output day, through a store."""
+    from watchpanel.plans.rule_track import run_from_documents
+    from watchpanel.sources.answers import AnswerStore
+    from watchpanel.sources.storage import scratch_path
+
+    run, _ = run_from_documents(
+        documents(spark, sf), _document_intervals(spark, sf), _document_rules(), make_scorer,
+        first_day_all=True, use_daily_text=False, store=AnswerStore(spark, scratch_path(spark, "lookback-answers"), slices=2),
+    )
+    return run.watchlist().select("date", "rank", "entity", F.col("score").cast("double").alias("score"))
+
+
 # --- status entities and limits -----------------------------------------------
 @query(
     "plain_scheme_with_status_entities",
@@ -551,8 +644,7 @@ DIM_WORDS = dict(
 )
 
 
-def make_dim_scorer():
-    return sc.DimKeywordScorer(DIM_WORDS, 30)
+make_dim_scorer = sc.dim_keyword_answers(DIM_WORDS, 30)
 
 
 def _points(dim: str, column: str) -> str:

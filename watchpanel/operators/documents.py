@@ -80,6 +80,13 @@ def daily_text(
     return lines.groupBy(*KEYS).agg(text.alias("doc_text"))
 
 
+def with_first_day(daily: DataFrame, entities: DataFrame, day: dt.date) -> DataFrame:
+    """Sparse daily texts with a row for every entity on `day`, empty where it has no document."""
+    first = entities.select("entity", F.lit(day).alias("date"))
+    missing = first.join(daily.where(F.col("date") == F.lit(day)).select(*KEYS), KEYS, "left_anti")
+    return daily.unionByName(missing.withColumn("doc_text", F.lit(None).cast("string")))
+
+
 def lookback_text(df: DataFrame, days: int, text: str = "doc_text", out: str = "lookback") -> DataFrame:
     """Add the texts of the last `days` days of the entity, this day included, oldest first.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,32 @@ from watchpanel.operators.panel import KEYS, dense_fill, latest_per_key
 Scorer = Callable[[Sequence[str]], Sequence[str]]
 
 
+@dataclass(frozen=True)
+class ColumnScorer:
+    """A scorer that is an expression over the text: no Python worker takes part."""
+
+    answer: Callable[[Column], Column]
+
+
+def _points(text: Column, words: Sequence[str], points: int) -> Column:
+    found = sum((text.contains(w).cast("int") for w in words), F.lit(0))
+    return F.least(F.lit(100), F.lit(points) * found).cast("string")
+
+
+def keyword_answers(keywords: Sequence[str] = fv.RULE_KEYWORDS, points: int = 20) -> ColumnScorer:
+    """`KeywordScorer` as an expression."""
+    return ColumnScorer(lambda t: F.concat(F.lit('{"risk_score": '), _points(t, keywords, points), F.lit("}")))
+
+
+def dim_keyword_answers(keywords: Mapping[str, Sequence[str]], points: int = 20) -> ColumnScorer:
+    """`DimKeywordScorer` as an expression."""
+    def answer(t: Column) -> Column:
+        fields = [F.concat(F.lit(f'"{d}": '), _points(t, words, points)) for d, words in keywords.items()]
+        return F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
+
+    return ColumnScorer(answer)
+
+
 class KeywordScorer:
     """Rule scorer: 20 points per different keyword, answered as the JSON a model would give."""
 
@@ -50,7 +77,7 @@ class DimKeywordScorer:
 
 def score_texts(
     df: DataFrame,
-    make_scorer: Callable[[], Scorer],
+    make_scorer: Callable[[], Scorer] | ColumnScorer,
     *,
     text: str = "text",
     batch_size: int = 4,
@@ -60,8 +87,10 @@ def score_texts(
 
     `make_scorer` is called once per task, so a model is loaded once for all its batches.  With
     `parts`, rows are dealt out evenly first: scoring cost does not depend on the key, so hot
-    entities do not matter.
+    entities do not matter.  A `ColumnScorer` is an expression and stays where the texts are.
     """
+    if isinstance(make_scorer, ColumnScorer):
+        return df.withColumn("raw_output", make_scorer.answer(F.coalesce(F.col(text), F.lit(""))))
     # `add` would change the frame's own schema
     schema = T.StructType([*df.schema.fields, T.StructField("raw_output", T.StringType())])
     rows = df.repartition(parts) if parts else df

@@ -16,14 +16,17 @@ from pyspark.sql import functions as F
 
 from watchpanel import fixed_values as fv
 from watchpanel.functions.columns import row_max
-from watchpanel.operators.documents import daily_text, lookback_text, select_plain, select_prefiltered
+from watchpanel.operators.documents import daily_text, lookback_text, select_plain, select_prefiltered, with_first_day
 from watchpanel.operators.evaluate import daily_metrics, match_runs, matched_days, overall_metrics
 from watchpanel.operators.intervals import entry_days, status_days_any
 from watchpanel.operators.memory import cut_stale, forward_fill, memory_days
 from watchpanel.operators.panel import KEYS, in_range, universe
-from watchpanel.operators.scoring import KeywordScorer, Scorer, place_results_dense, score_texts, scoring_results
+from watchpanel.operators.scoring import (
+    ColumnScorer, Scorer, keyword_answers, place_results_dense, score_texts, scoring_results,
+)
 from watchpanel.operators.watchlist import listed_rows, ranked, reasoned_rows
 from watchpanel.params import RuleParams
+from watchpanel.sources.answers import AnswerStore
 from watchpanel.sources.storage import materialize
 
 
@@ -130,27 +133,45 @@ def run_from_scores(scores: DataFrame, intervals: DataFrame, params: RuleParams)
     return RuleRun(alive, status, params, params.output_start)
 
 
+def _scored(tasks: DataFrame, make_scorer, parts: int | None, store: AnswerStore | None) -> DataFrame:
+    if store is not None:
+        return store.score(tasks, make_scorer, parts=parts)
+    return score_texts(tasks, make_scorer, parts=parts)
+
+
 def run_from_documents(
     documents: DataFrame,
     intervals: DataFrame,
     params: RuleParams,
-    make_scorer: Callable[[], Scorer] = KeywordScorer,
+    make_scorer: Callable[[], Scorer] | ColumnScorer = keyword_answers(),
     *,
     warmup: bool = False,
     scorer_parts: int | None = None,
+    first_day_all: bool = False,
+    use_daily_text: bool = True,
+    store: AnswerStore | None = None,
 ) -> tuple[RuleRun, DataFrame]:
     """Documents and status intervals to watchlist and metrics; also returns the daily texts.
 
     The lookback days are scored too; the memory starts empty on the first output day unless
     `warmup` lets them count.  Daily texts and scores are kept in shared storage: documents are read once and every
-    text is scored once, whatever is asked for afterwards.
+    text is scored once, whatever is asked for afterwards.  `first_day_all` scores every entity on the
+    first output day, whatever the prefilter says; the scorer reads the lookback text unless
+    `use_daily_text`.  With a `store`, texts that it has good answers for are not scored again.
     """
+    output = (params.output_start, params.output_end)
     first = params.output_start - dt.timedelta(days=params.text.lookback_days)
     daily = materialize(daily_text(documents, first, params.output_end, params.text))
+    rows = daily
+    if first_day_all:
+        known = universe(documents) if intervals is None else universe(documents, intervals)
+        rows = with_first_day(rows, known, output[0])
+    if not use_daily_text:
+        rows = lookback_text(rows, params.text.lookback_days)
     tasks = select_prefiltered(
-        daily, (params.output_start, params.output_end), params.prefilter
+        rows, output, params.prefilter, use_daily_text=use_daily_text, first_day_all=first_day_all
     )
-    results = materialize(scoring_results(score_texts(tasks, make_scorer, parts=scorer_parts)))
+    results = materialize(scoring_results(_scored(tasks, make_scorer, scorer_parts, store)))
     scores = results.select(*KEYS, F.col("risk_score").cast("double").alias("score"))
     if not warmup:
         scores = scores.where(F.col("date") >= F.lit(params.output_start))
@@ -169,30 +190,35 @@ def run_from_documents(
 def filled_scores(
     documents: DataFrame,
     params: RuleParams,
-    make_scorer: Callable[[], Scorer] = KeywordScorer,
+    make_scorer: Callable[[], Scorer] | ColumnScorer = keyword_answers(),
     *,
     intervals: DataFrame | None = None,
     dims: Sequence[str] | None = None,
     fill: bool = True,
     max_days: int | None = 30,
     scorer_parts: int | None = None,
+    first_day_all: bool = False,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """The plain scheme: score the lookback text of document days, carry scores forward.
 
     Returns the dense output panel with `score`, or with `dims` when the scorer gives several
-    dimensions.  Entities of `intervals` without documents belong to the panel too.
+    dimensions.  Entities of `intervals` without documents belong to the panel too.  `first_day_all`
+    scores the lookback text of every entity on the first output day, so that scores reach back; with a
+    `store`, texts that it has good answers for are not scored again.
     """
     output = (params.output_start, params.output_end)
     first = params.output_start - dt.timedelta(days=params.text.lookback_days)
-    texts = lookback_text(daily_text(documents, first, output[1], params.text), params.text.lookback_days)
+    known = universe(documents) if intervals is None else universe(documents, intervals)
+    daily = daily_text(documents, first, output[1], params.text)
+    if first_day_all:
+        daily = with_first_day(materialize(daily), known, output[0])
+    tasks = select_plain(lookback_text(daily, params.text.lookback_days), output, first_day_all=first_day_all)
     # every text is scored once
-    results = materialize(
-        scoring_results(score_texts(select_plain(texts, output), make_scorer, parts=scorer_parts), dims)
-    )
+    results = materialize(scoring_results(_scored(tasks, make_scorer, scorer_parts, store), dims))
     columns = ["score"] if dims is None else list(dims)
     if dims is None:
         results = results.withColumnRenamed("risk_score", "score")
-    known = universe(documents) if intervals is None else universe(documents, intervals)
     placed = place_results_dense(known, results, columns, *output)
     if not fill:
         return placed
