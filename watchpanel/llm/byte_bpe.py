@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchpanel.llm import pretokens
+from watchpanel.llm.workers import handing_back
 
 #: bytes of texts that are cut together; a longer text stands alone
 BATCH_BYTES = 1 << 18
@@ -251,7 +252,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", *, ranks: s
 
     source = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     kind = source.schema["k"].dataType.simpleString()
-    return source.mapInArrow(run, f"k {kind}, n_tokens long, ids binary, offsets binary").withColumnRenamed("k", key)
+    return source.mapInArrow(handing_back(run), f"k {kind}, n_tokens long, ids binary, offsets binary").withColumnRenamed("k", key)
 
 
 def decode(
@@ -281,4 +282,4 @@ def decode(
     )
     names = ["_out", *source.columns[2:]]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[2:])
-    return source.mapInArrow(run, f"_out binary, {kinds}").toDF(out, *columns).select(*[f"`{c}`" for c in columns], f"`{out}`")
+    return source.mapInArrow(handing_back(run), f"_out binary, {kinds}").toDF(out, *columns).select(*[f"`{c}`" for c in columns], f"`{out}`")

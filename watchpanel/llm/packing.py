@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchpanel.llm.workers import handing_back
 from watchpanel.sources.storage import materialize
 
 SEQUENCE_TOKENS = 2048
@@ -137,7 +138,7 @@ def pieces(
 
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return source.mapInPandas(_whole_ids(cut), schema).withColumnRenamed("id", key)
+    return source.mapInPandas(handing_back(_whole_ids(cut)), schema).withColumnRenamed("id", key)
 
 
 def _whole_ids(fn):

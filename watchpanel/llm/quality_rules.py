@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from watchpanel.llm.rowmatch import matching
 from watchpanel.llm.wordspans import Words, covered, slices, utf8
+from watchpanel.llm.workers import handing_back
 from watchpanel.sources.storage import materialize
 
 # Frequent function words of four languages, lower case.
@@ -177,7 +178,7 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")
     )
     schema = "id long, lang string, " + "".join(f"{n} long, " for n in BASE)
-    return source.mapInPandas(run, schema + "base_failed boolean, chars array<bigint>, common array<bigint>")
+    return source.mapInPandas(handing_back(run), schema + "base_failed boolean, chars array<bigint>, common array<bigint>")
 
 
 def references(rows: DataFrame) -> DataFrame:
@@ -253,7 +254,7 @@ def _compared(rows: DataFrame, known: list, rules: Rules) -> DataFrame:
             yield out
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, fields + ", char_distance double, word_distance double")
+    return rows.mapInPandas(handing_back(run), fields + ", char_distance double, word_distance double")
 
 
 def good_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from watchpanel.llm import pretokens
 from watchpanel.llm.byte_bpe import Ranks, runs, trim
+from watchpanel.llm.workers import handing_back
 from watchpanel.sources.storage import scratch_path
 
 #: bytes of texts that are encoded together; a longer text stands alone
@@ -285,7 +286,7 @@ def token_blocks(
     source = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
     kind = source.schema["k"].dataType.simpleString()
     schema = f"block long, keys array<{kind}>, n_a array<int>, n_b array<int>, a binary, b binary"
-    return _stored(source.mapInArrow(run, schema), "token-blocks")
+    return _stored(source.mapInArrow(handing_back(run), schema), "token-blocks")
 
 
 def block_pairs(blocks: DataFrame, *, left: str | None = None, right: str | None = None) -> DataFrame:
@@ -305,7 +306,7 @@ def block_pairs(blocks: DataFrame, *, left: str | None = None, right: str | None
                     names=["block", "pair", "docs"],
                 )
 
-    return _stored(blocks.mapInArrow(run, "block long, pair long, docs long"), "block-pairs")
+    return _stored(blocks.mapInArrow(handing_back(run), "block long, pair long, docs long"), "block-pairs")
 
 
 def pair_counts(asked: DataFrame) -> DataFrame:
