@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from watchpanel.functions.columns import clip_unit
 from watchpanel.operators.evaluate import regression_metrics
-from watchpanel.operators.ordering import with_position
 from watchpanel.operators.panel import KEYS
+from watchpanel.operators.selection import smallest
 from watchpanel.params import ModelParams
 from watchpanel.sources.storage import materialize
 
@@ -52,8 +52,8 @@ def time_split(
 def balanced_sample(df: DataFrame, zero_ratio: float, seed: int, target: str = TARGET) -> DataFrame:
     """All rows with a positive target and exactly the wanted number of zero rows.
 
-    Zeros are put in a fixed random order by ranges and cut at the wanted place, so the sample
-    has its exact size without gathering it in one task.
+    Zeros have a fixed random number each, and those with the smallest ones are taken: histograms find
+    the cut, so zero rows are neither sorted nor gathered.
     """
     counts = df.agg(
         F.count_if(F.col(target) > 0).alias("positive"), F.count_if(F.col(target) == 0).alias("zero")
@@ -62,10 +62,7 @@ def balanced_sample(df: DataFrame, zero_ratio: float, seed: int, target: str = T
     positive = df.where(F.col(target) > 0)
     zero = df.where(F.col(target) == 0)
     if wanted < counts["zero"]:
-        placed = with_position(
-            zero.withColumn("_spread", _spread(seed)), ["_spread", *KEYS], "_place"
-        )
-        zero = placed.where(F.col("_place") < wanted).drop("_spread", "_place")
+        zero = smallest(zero, _spread(seed), wanted, KEYS)
     # read many times by the trainer: computed once, kept in shared storage
     return materialize(positive.unionByName(zero))
 

@@ -8,7 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpanel.operators.ordering import with_running_total
+from watchpanel.operators.selection import values_at
+from watchpanel.sources.storage import materialize
 
 PERCENTILES = (0.5, 0.7, 0.8, 0.9, 0.95, 0.99)
 
@@ -18,40 +19,37 @@ def describe(
 ) -> DataFrame:
     """One row: count, mean, std, min, max and exact interpolated percentiles (p50, ...).
 
-    Percentiles come from the table of different values with their counts, put in order by
-    ranges; neither all values nor all different values meet in one task.
+    Everything comes from the table of different values with their counts, which is computed once;
+    percentiles by selection, so values are not put in order.
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
     if nonzero:
         values = values.where(F.col("v") > 0)
-    # a single row
-    totals = values.agg(
-        F.count("v").alias("count"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
+    histogram = materialize(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    v, n = F.col("v"), F.col("n")
+    # single rows
+    totals = histogram.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("count"), (F.sum(v * n) / F.sum(n)).alias("mean"),
+        F.min(v).alias("min"), F.max(v).alias("max"),
     ).first()
-    histogram = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    upto = with_running_total(histogram, ["v"], "n", "upto")
-
-    def at(place: int):
-        """Value at a 0-based place: the smallest one whose running count passes it."""
-        return F.min(F.when(F.col("upto") > place, F.col("v")))
-
-    columns = []
-    for q in percentiles:
-        place = q * max(totals["count"] - 1, 0)
-        below = math.floor(place)
-        above = math.ceil(place)
-        value = at(below) + (at(above) - at(below)) * F.lit(place - below)
-        columns.append(value.alias(f"p{round(q * 100):d}"))
-    kinds = {"count": "bigint"}
-    known = [
-        F.lit(totals[name]).cast(kinds.get(name, "double")).alias(name)
-        for name in ("count", "mean", "std", "min", "max")
-    ]
-    return upto.agg(*columns).select(*known, "*")
+    mean = F.lit(totals["mean"]).cast("double")
+    squares = histogram.agg(F.sum(n * (v - mean) * (v - mean))).first()[0]
+    count = totals["count"]
+    std = math.sqrt(squares / (count - 1)) if count > 1 else None
+    places = {q: q * max(count - 1, 0) for q in percentiles}
+    at = values_at(histogram, "v", "n", [f(p) for p in places.values() for f in (math.floor, math.ceil)])
+
+    def between(place: float) -> float | None:
+        if not at:
+            return None
+        below = at[math.floor(place)]
+        return below + (at[math.ceil(place)] - below) * (place - math.floor(place))
+
+    known = {"mean": totals["mean"], "std": std, "min": totals["min"], "max": totals["max"]}
+    known |= {f"p{round(q * 100):d}": between(p) for q, p in places.items()}
+    return df.sparkSession.range(1).select(
+        F.lit(count).cast("bigint").alias("count"), *[F.lit(x).cast("double").alias(c) for c, x in known.items()]
+    )
 
 
 def run_counters(tasks: DataFrame, panel: DataFrame, output_rows: DataFrame) -> DataFrame:
