@@ -18,6 +18,8 @@ PYTHON = {
     "scan_documents_by_year", "scan_documents_pruned_years", "scan_documents_one_file", "daily_watchlist_document",
     "reasoned_watchlist_one_file", "batch_text_scoring_in_python",
 }
+#: read small results while they are built
+GRIDS = {"rule_grid_sweep", "rule_grid_within_budget"}
 
 
 def plan_of(df):
