@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from watchpanel import fixed_values as fv
+from watchpanel.operators.bitmaps import evaluate_list
 from watchpanel.operators.documents import daily_text, select_prefiltered
 from watchpanel.operators.evaluate import (
     daily_metrics_from_panel,
@@ -26,7 +27,6 @@ from watchpanel.operators.panel import (
     KEYS,
     distinct_keys,
     in_range,
-    require_complete_panel,
     universe,
     with_labels,
     with_predictions,
@@ -193,21 +193,22 @@ def evaluate(
     params: ModelParams,
     check_panel: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Daily and overall metrics of listed rows by the label rule."""
-    # checked, then read for the daily counts and for the events
-    panel = materialize(
-        evaluation_panel(
-            in_range(scores, start, end), in_range(truth, start, end), in_range(listed, start, end)
-        )
-    )
+    """Daily and overall metrics of listed rows by the label rule.
+
+    A complete panel is evaluated from bitmaps of days, without building it.  With `check_panel` False
+    entities may lack days: then the rows themselves are laid side by side.
+    """
+    rule = {"min_lead": params.min_lead_days, "horizon": params.horizon_days}
     if check_panel:
-        require_complete_panel(panel)
-    rows = label_band_correct(
-        entry_events(panel), min_lead=params.min_lead_days, horizon=params.horizon_days
+        daily, events = evaluate_list(scores, truth, listed, start, end, market_n=params.market_n, **rule)
+        return daily, overall_metrics(daily, events, {"market_n": params.market_n})
+    # read for the daily counts and for the events
+    panel = materialize(
+        evaluation_panel(in_range(scores, start, end), in_range(truth, start, end), in_range(listed, start, end))
     )
+    rows = label_band_correct(entry_events(panel), **rule)
     daily = daily_metrics_from_panel(rows, params.market_n)
-    events = event_recall(rows, min_lead=params.min_lead_days, horizon=params.horizon_days)
-    return daily, overall_metrics(daily, events, {"market_n": params.market_n})
+    return daily, overall_metrics(daily, event_recall(rows, **rule), {"market_n": params.market_n})
 
 
 def score_dims(
