@@ -124,3 +124,27 @@ def test_peek_nonzero(spark):
     )
     assert [(r.entity, r.date) for r in rd.peek_nonzero(df, 20).collect()] == [("a", day(1)), ("b", D)]
     assert tuple(rd.nonzero_counts(df).first()) == (3, 2)
+
+
+def test_label_matrix_of_a_whole_market_plans_fast(spark, tmp_path):
+    import time
+
+    n = 5400
+    lines = ["date," + ",".join(f'"{i:06d}.SZ"' for i in range(n))]
+    for k in range(1, 4):
+        lines.append(f"2024/1/{k}," + ",".join("" if i % 7 == 0 else "2.5" if i % 11 == 0 else str(i / n) for i in range(n)))
+    lines += ["2024-01-04,1", "2025-01-01," + ",".join(["1"] * n), ""]
+    (tmp_path / "m.csv").write_bytes("\r\n".join(lines).encode())
+    best = 9e9
+    for _ in range(3):
+        began = time.perf_counter()
+        df = rd.scan_label_matrix(spark, f"file://{tmp_path}/m.csv", dt.date(2024, 1, 1), dt.date(2024, 12, 31))
+        df._jdf.queryExecution().executedPlan()
+        best = min(best, time.perf_counter() - began)
+    assert best < 3  # under one second on a quiet machine
+    rows = df.collect()
+    assert len(rows) == 4 * n
+    found = {(r.entity, str(r.date)): (r.y_label_empty, r.y_label_value) for r in rows}
+    assert found["000007", "2024-01-01"] == (1, None) and found["000011", "2024-01-02"] == (0, 1.0)
+    assert found["000027", "2024-01-03"] == (0, 27 / n) and found["000000", "2024-01-04"] == (0, 1.0)
+    assert found["000001", "2024-01-04"] == (1, None)

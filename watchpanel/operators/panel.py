@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from watchpanel import fixed_values as fv
 from watchpanel.functions.columns import clip_unit
 
 KEYS = ["entity", "date"]
@@ -157,17 +158,26 @@ def melt_label_matrix(wide: DataFrame) -> DataFrame:
     A blank cell means in-status: `y_label_empty` is 1 and the value null.
     """
     date, *entities = wide.columns
-    # codes may contain dots
-    cells = [F.col(f"`{e}`") for e in entities]
-    texts = wide.select(
-        F.col(f"`{date}`").alias("date"), *[c.cast("string").alias(e) for c, e in zip(cells, entities)]
-    )
-    number = clip_unit(F.col("_cell").try_cast("double"))
-    return texts.unpivot(["date"], cells, "entity", "_cell").select(
+    # a row's cells become one list, so the plan does not grow with each entity; codes may contain dots
+    cells = F.array(*[F.col(f"`{e}`").cast("string") for e in entities])
+    return label_cells(wide.select(F.col(f"`{date}`").alias("date"), cells.alias("cells")), entities)
+
+
+def label_cells(rows: DataFrame, entities: Sequence[str]) -> DataFrame:
+    """Rows (date, cells), a list of texts in the order of `entities`, to long rows as of the label matrix.
+
+    One expansion, whatever the number of entities; cells that lack are blank.
+    """
+    # one literal, whatever its length
+    names = F.split(F.lit("\x1f".join(entities)), "\x1f")
+    listed = rows.select("date", F.posexplode(F.slice("cells", 1, max(len(entities), 1))).alias("_place", "_cell"))
+    blank = F.col("_cell").isNull() | F.col("_cell").isin(*fv.MISSING_CELLS)
+    number = clip_unit(F.when(~blank, F.col("_cell").try_cast("double")))
+    return listed.select(
         "date",
-        "entity",
+        F.get(names, F.col("_place")).alias("entity"),
         F.lit(1).alias("label_in_file"),
-        F.col("_cell").isNull().cast("int").alias("y_label_empty"),
+        blank.cast("int").alias("y_label_empty"),
         F.when(~F.isnan(number), number).alias("y_label_value"),
     )
 

@@ -7,6 +7,7 @@ nevertheless.  What is read often should be landed once as Parquet (`land_docume
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 
@@ -22,7 +23,7 @@ from watchpanel.functions.columns import (
     parse_mixed_timestamp,
     parse_yyyymmdd,
 )
-from watchpanel.operators.panel import distinct_keys, in_range, melt_label_matrix
+from watchpanel.operators.panel import distinct_keys, in_range, label_cells
 from watchpanel.sources.ranges import json_members, read_csv_ranges
 
 
@@ -168,11 +169,24 @@ def scan_dim_scores(
 
 
 def scan_label_matrix(spark: SparkSession, path: str, start: dt.date, end: dt.date) -> DataFrame:
-    """Wide label matrix (first column a date, one column per entity) as long rows."""
-    wide = read_csv(spark, path)
-    first = wide.columns[0]
-    dated = wide.withColumn(first, parse_mixed_date(F.col(f"`{first}`")))
-    long = melt_label_matrix(in_range(dated, start, end, first))
+    """Wide label matrix (first column a date, one column per entity) as long rows.
+
+    Lines are cut into lists of cells, not into columns: a market of thousands of entities is one column
+    of the plan.  Cells are dates, numbers or blank, so no line break or comma is inside one.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", "[\r\ufeff]", "").alias("value")).where("value <> ''")
+    head = lines.first()
+    if head is None:
+        raise ValueError(f"no header in {path}")
+    _, *entities = next(csv.reader([head["value"]]))
+    cells = F.transform(F.split("value", ",", -1), lambda c: F.regexp_replace(c, '^"|"$', ""))
+    rows = lines.select(cells.alias("cells"))
+    dated = rows.select(parse_mixed_date(F.get("cells", F.lit(0))).alias("date"), "cells")
+    # headers of further files have no date
+    inside = in_range(dated, start, end)
+    width = len(entities)
+    padded = F.slice(F.concat("cells", F.array_repeat(F.lit("").cast("string"), width)), 2, max(width, 1))
+    long = label_cells(inside.select("date", padded.alias("cells")), entities)
     return long.withColumn("entity", normalize_code("entity"))
 
 
