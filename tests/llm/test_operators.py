@@ -484,3 +484,39 @@ def test_word_table_smaller_than_a_batch():
     few, many = packing.WordTokens(None, kept=3), packing.WordTokens(None)
     for texts in (["a b"], ["a c d e f", "b g 0 x0 h"], ["a c d"]):
         assert [x.tolist() for x in few(texts)] == [x.tolist() for x in many(texts)]
+
+
+def test_main_text_keeps_headings_wrappers_and_words_of_attributes():
+    words = main_text.Weights()
+
+    def text(body):
+        return main_text.main_text(f"<html><body>{body}</body></html>", words)
+
+    def article(inner):
+        return text(f"<nav><a>menu</a></nav><article><p>Many words stand here in a row before.</p>{inner}</article><footer>end</footer>")
+
+    before = "Many words stand here in a row before."
+    assert article('<h2 id="social-impact">Impact</h2><h3 class="share">Shares rose</h3>') == f"{before} Impact Shares rose"
+    assert article('<section id="related-work"><p>Work like this.</p></section>') == f"{before} Work like this."
+    assert article('<div class="post-header"><p>By the author.</p></div>') == f"{before} By the author."
+    assert article('<p title="a hidden gem">A gem.</p><p hidden>Not seen.</p><p style="display: none">Nor this.</p>') == f"{before} A gem."
+    for part in ("cookie-banner", "comment-list", "site-header", "share", "responses", "social-share"):
+        assert article(f'<div class="x {part}"><p>Part.</p></div>') == before, part
+    long = "One sentence of the page. " * 20
+    for wrapper in ('class="content no-sidebar"', 'class="has-comments"', 'class="main sidebar"', 'id="modal"', "hidden"):
+        assert text(f"<nav>menu</nav><div {wrapper}><p>{long}</p></div><div class=ad>buy</div>") == long.strip(), wrapper
+
+
+def test_names_and_numbers_in_other_forms():
+    for text, want in {
+        "Mr. O'Neil came": ["Mr. O'Neil"], "Mrs. Smith-Jones left": ["Mrs. Smith-Jones"], "Dr Miller said.": ["Dr Miller"],
+        "MR JOHN SMITH": ["MR JOHN SMITH"], "Mme Anna d\u2019Arc": ["Mme Anna"],
+        "call 555 123 4567 now": ["555 123 4567"], "t\u00e9l 01 23 45 67 89.": ["01 23 45 67 89"], "1 555 123 4567 8": [],
+        "at 2001:db8:0:0:0:0:2:1, or fe80::1": ["2001:db8:0:0:0:0:2:1", "fe80::1"], "at 10:30:45 it was": [], "std::vector": [],
+        "5551234567 and 0123456789": [],
+    }.items():
+        assert [text[a:b] for _, a, b in surrogates.entities(text)] == want, text
+    new, _ = surrogates.replaced("Mrs. Smith-Jones met Smith-Jones. Dr Miller said.", b"k")
+    assert "Smith" not in new and "Jones" not in new and "Miller" not in new and new.endswith(" said.")
+    v6 = {surrogates.surrogate(b"k", "ip", f"2001:db8::{i:x}") for i in range(16, 256)}
+    assert len(v6) == 240 and all(len(x) == 12 and x.count(":") == 3 for x in v6)

@@ -39,8 +39,11 @@ BLOCKS = (
 PARTS = (
     "ad ads advert advertisement banner promo sponsor sponsored comment comments cookie cookies consent "
     "notice sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer share sharing social "
-    "related newsletter subscribe popup modal widget toolbar pagination disqus reply replies"
+    "related newsletter subscribe popup modal widget toolbar pagination disqus reply replies response responses"
 ).split()
+# words that name no content of their own beside those, as in site-header or comment-list
+NEUTRAL = "site page top bottom left right main global list box bar block area slot wrap wrapper container inner item items section form button links link row unit".split()
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -49,8 +52,10 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_PART = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_PIECE = re.compile(r"[-_]+")
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/]|$)", re.I)
+_STYLE = re.compile(r"\bstyle\s*=\s*(?:\"[^\"]*?|'[^']*?)display\s*:\s*none", re.I)
 
 
 @dataclass(frozen=True)
@@ -69,24 +74,49 @@ def _kind(name: str, attr: str) -> tuple[str, bool]:
     """Kind of a tag, and whether the element is a page part that holds no article text."""
     if name in ASIDE:
         return name, True
-    if attr and name not in ("html", "body", "article", "main"):
-        words = " ".join(a or b or c for a, b, c in _NAMED.findall(attr)).lower()
-        if set(_PART.findall(words)).intersection(PARTS):
+    if attr and name not in ("html", "body", "article", "main", *HEADINGS):
+        words = " ".join(a or b or c for a, b, c in _NAMED.findall(attr)).lower().split()
+        if any(map(_names_part, words)):
             return f"{name}.part", True
-        if _HIDDEN.search(attr):
+        if _HIDDEN.search(_QUOTED.sub("", attr)) or _STYLE.search(attr):
             return f"{name}.hidden", True
     return name, False
 
 
+def _names_part(word: str) -> bool:
+    """Whether a whole class, id or role names a page part: its pieces are such words, with neutral ones."""
+    pieces = [p for p in _PIECE.split(word) if p]
+    return any(p in PARTS for p in pieces) and all(p in PARTS or p in NEUTRAL for p in pieces)
+
+
 def tokens(page: str) -> list[tuple[str, str, bool]]:
-    """(kind of tag or '' for text, text, outside): `outside` is text inside a page part."""
+    """(kind of tag or '' for text, text, outside): `outside` is text inside a page part.
+
+    An element that is a part by its names or attributes, and holds over half of the page's words, is a
+    wrapper and no part.
+    """
+    spared: frozenset[int] = frozenset()
+    while True:
+        out, parts = _tokens(page, spared)
+        total = sum(len(text.split()) for kind, text, _ in out if not kind)
+        wrappers = {at for at, n in parts.items() if 2 * n > total}
+        if not wrappers:
+            return out
+        spared = spared | wrappers
+
+
+def _tokens(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, str, bool]], dict[int, int]]:
+    """Tokens, and the words inside each part that its names or attributes make one, by its place."""
     out: list[tuple[str, str, bool]] = []
     open_: list[str] = []  # elements open since the outermost page part
-    part = ""
+    words: dict[int, int] = {}
+    part, begun = "", -1
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             out.append(("", page[at : m.start()], bool(open_)))
+            if open_ and begun >= 0:
+                words[begun] = words.get(begun, 0) + len(out[-1][1].split())
         at = m.end()
         if not (name := m["name"]):
             continue
@@ -102,7 +132,7 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             else:
                 out.append(("/" + name, "", bool(open_)))
             continue
-        kind, aside = _kind(name, m["attr"])
+        kind, aside = _kind(name, m["attr"]) if m.start() not in spared else (name, False)
         if name in ("article", "main") and open_ and part != "dialog":
             open_.clear()
         out.append((kind, "", bool(open_)))
@@ -111,10 +141,12 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
                 open_.append(name)
             elif aside or name == "head":
                 open_.append(name)
-                part = kind
+                part, begun = kind, m.start() if "." in kind else -1
     if at < len(page):
         out.append(("", page[at:], bool(open_)))
-    return out
+        if open_ and begun >= 0:
+            words[begun] = words.get(begun, 0) + len(page[at:].split())
+    return out, words
 
 
 def fit(pages: list[str]) -> Weights:

@@ -39,17 +39,21 @@ TITLES = {
     "": "Dr Prof".split(),
 }
 
-_TITLE = "|".join(t for group in TITLES.values() for t in group)
+_TITLE = "|".join(t for group in TITLES.values() for t in dict.fromkeys([x for w in group for x in (w, w.upper())]))
+#: a word of a name: letters, with an apostrophe or hyphen between two of them
+_WORD = r"[^\W\d_](?:['’-]?[^\W\d_])+"
 #: kind -> pattern; at one place the first kind in this order wins
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.+-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])",
+    "ip": r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])|(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])",
     "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,4}"
-    r"|\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w]|[.-][0-9])",
-    "name": rf"(?<=\b)(?:{_TITLE})\.?\x20[^\W\d_][^\W\d_'’-]+(?:\x20[^\W\d_][^\W\d_'’-]+)?",
+    r"|\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+    r"|[0-9]{3}\x20[0-9]{3}\x20[0-9]{4}(?!\x20[0-9])|0[1-9](?:[\x20.-][0-9]{2}){4}(?!\x20[0-9]))(?![\w]|[.-][0-9])",
+    "name": rf"(?<=\b)(?:{_TITLE})\.?\x20{_WORD}(?:\x20{_WORD})?",
 }
 _ANY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 _NOT_CARD = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items() if kind != "card"))
@@ -158,6 +162,12 @@ def _iban(secret: bytes, value: str) -> str:
 
 
 def _ip(secret: bytes, value: str) -> str:
+    if ":" in value:
+        # a digit for a digit, groups and their lengths as they are
+        digits = value.replace(":", "")
+        new = iter(f"{permute(secret, f'ip6/{len(digits)}', int(digits, 16), 16 ** len(digits)):0{len(digits)}x}")
+        made = "".join(c if c == ":" else next(new) for c in value)
+        return made.upper() if value.upper() == value else made
     number = int.from_bytes(bytes(map(int, value.split("."))), "big")
     return ".".join(map(str, permute(secret, "ip", number, 1 << 32).to_bytes(4, "big")))
 
@@ -280,8 +290,13 @@ def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
             kind = "number" if 15 <= len(re.sub(r"\D", "", value)) <= 16 else ""
         if kind == "iban" and not _iban_ok(value.replace(" ", "")):
             kind, at = "", m.start() + 2
+        if kind == "name":
+            # the word after a name is part of it if it begins with no small letter
+            *most, last = value.split(" ")
+            if len(most) > 1 and last[0].islower():
+                at = m.end() - len(last) - 1
         if kind:
-            yield kind, m.start(), m.end()
+            yield kind, m.start(), at
 
 
 def mentions(text: str | None) -> list[tuple[str, int, int]]:
@@ -298,7 +313,7 @@ def mentions(text: str | None) -> list[tuple[str, int, int]]:
     taken = iter([*found, ("", len(text), len(text))])
     kind, start, end = next(taken)
     more = []
-    for m in re.finditer(r"[^\W\d_][^\W\d_'’-]+", text):
+    for m in re.finditer(_WORD, text):
         while end <= m.start() and kind:
             kind, start, end = next(taken)
         if first.get(m[0], len(text)) <= m.start() and m.end() <= start and (m.start() == 0 or not re.match(r"[\w]", text[m.start() - 1])):
