@@ -520,3 +520,17 @@ def test_names_and_numbers_in_other_forms():
     assert "Smith" not in new and "Jones" not in new and "Miller" not in new and new.endswith(" said.")
     v6 = {surrogates.surrogate(b"k", "ip", f"2001:db8::{i:x}") for i in range(16, 256)}
     assert len(v6) == 240 and all(len(x) == 12 and x.count(":") == 3 for x in v6)
+
+
+def test_word_table_equals_the_tokenizer():
+    import random
+
+    draw = random.Random(9)
+    parts = ["Foo", "BAR", "\u00c9t\u00e9", "\u00dc", "\u00df", "\u0130", "\u0178", "\u0153", "\u00d7", "\u00f7", "\u00bb", "'s", "'", "0", "12", ".", ",", "!", "...", ";", " ", "\n", "\u00a0",
+             "\u3000", "\u0085", "\u6f22", "\U0001f600", "e\u0301", "\u00b5", "\u00aa", "\x1c", "I'll", "<|endoftext|>", "\u1e9e", "\u03a3"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(3000)] + ["a,", "\u00e9.", "\u00bb,", "x0,", "\u00d7!", "A.B.", "a.,", "\u00aa,", "\u00b5."]
+    words = packing.WordTokens(None, kept=50)
+    assert words.small and words.parted
+    for at in range(0, len(texts), 64):
+        for text, found in zip(texts[at : at + 64], words(texts[at : at + 64])):
+            assert found.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)

@@ -26,7 +26,7 @@ OPEN_BINS = 256
 #: pieces dealt to one block on average
 BLOCK_PIECES = 6000
 #: words whose ids a Python worker keeps; the older half goes beyond it
-KEPT_WORDS = 120_000
+KEPT_WORDS = 500_000
 
 
 @cache
@@ -47,10 +47,13 @@ class WordTokens:
     """Token ids of texts for a tokenizer that drops white space and ends every word on its own.
 
     Each distinct word is encoded once and looked up afterwards.  New words are encoded together,
-    with a one-token word (``0``) between them that tells where each ends.
+    with a one-token word (``0``) between them that tells where each ends.  A word of letters with one
+    mark of punctuation after it is the word and the mark, and texts of Latin-1 characters are looked up
+    in small letters if the tokenizer makes them small itself.
     """
 
     MARK = b"0"
+    PUNCTUATION = b".,;:!?"
 
     def __init__(self, path: str | None, kept: int = KEPT_WORDS):
         self.tokenizer = _tokenizer(path)
@@ -59,6 +62,12 @@ class WordTokens:
         (self.mark,) = self._encode(self.MARK).tolist()
         if not np.array_equal(self._encode(b"ab cd"), np.concatenate([self._encode(b"ab"), self._encode(b"cd")])):
             raise ValueError("the tokenizer must drop white space and end every word on its own")
+        joined = lambda *parts: np.concatenate([self._encode(p) for p in parts])
+        self.small = np.array_equal(self._encode("AB \u00c9Z".encode()), self._encode("ab \u00e9z".encode()))
+        self.parted = all(
+            np.array_equal(self._encode(b"ab" + p), joined(b"ab", p)) and np.array_equal(self._encode(b"\xc3\xa9" + p), joined(b"\xc3\xa9", p))
+            for p in (bytes([c]) for c in self.PUNCTUATION)
+        )
 
     def _encode(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4")
@@ -66,6 +75,14 @@ class WordTokens:
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of each of `words`."""
         found: dict[bytes, bytes] = {}
+        stems = {w: w[:-1] for w in words if self._is_parted(w)}
+        if stems:
+            ends = {bytes([c]) for c in self.PUNCTUATION}
+            whole = words.difference(stems).union(ends.difference(self.ids), set(stems.values()).difference(self.ids))
+            found = self.learn(whole)
+            known = lambda w: found[w] if w in found else self.ids[w]
+            found.update([(w, known(stem) + known(w[-1:])) for w, stem in stems.items()])
+            return found
         plain = [w for w in words if self.MARK not in w]
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
@@ -81,9 +98,23 @@ class WordTokens:
         found.update((w, self._encode(w).tobytes()) for w in words if self.MARK in w)
         return found
 
+    def _is_parted(self, word: bytes) -> bool:
+        """One mark after a letter: ASCII, or one of U+00C0 to U+00FF."""
+        if not self.parted or len(word) < 2 or word[-1] not in self.PUNCTUATION:
+            return False
+        last = word[-2]
+        return 97 <= last <= 122 or 65 <= last <= 90 or (len(word) > 2 and word[-3] == 0xC3 and last not in (0x97, 0xB7))
+
+    def _lowered(self, text: str) -> str:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         # ASCII white space only: other white space stays inside a word, and the tokenizer drops it
-        split = [t.encode().split() for t in texts]
+        split = [(self._lowered(t) if self.small else t).encode().split() for t in texts]
         words = set().union(*split)
         # the table is complete for this batch, and trimmed after it
         if new := words.difference(self.ids):
