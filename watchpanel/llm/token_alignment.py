@@ -253,6 +253,7 @@ def token_blocks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoders(left, right)
         width = np.dtype(known.kind).itemsize
+        pack = pa.Codec("zstd", compression_level=4)
         number = TaskContext.get().partitionId() << 32
         keys, ids, held = [], [], 0
 
@@ -263,7 +264,7 @@ def token_blocks(
                     pa.array([number], pa.int64()), pa.array([keys], pa.list_(key_type)),
                     pa.array([[len(x) // width for x in a]], pa.list_(pa.int32())),
                     pa.array([[len(x) // width for x in b]], pa.list_(pa.int32())),
-                    *[pa.array([pa.compress(b"".join(x), codec="zstd", asbytes=True)], pa.binary()) for x in (a, b)],
+                    *[pa.array([pack.compress(b"".join(x), asbytes=True)], pa.binary()) for x in (a, b)],
                 ],
                 names=["block", "keys", "n_a", "n_b", "a", "b"],
             )
