@@ -530,7 +530,8 @@ def test_word_table_equals_the_tokenizer():
              "\u3000", "\u0085", "\u6f22", "\U0001f600", "e\u0301", "\u00b5", "\u00aa", "\x1c", "I'll", "<|endoftext|>", "\u1e9e", "\u03a3"]
     texts = ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(3000)] + ["a,", "\u00e9.", "\u00bb,", "x0,", "\u00d7!", "A.B.", "a.,", "\u00aa,", "\u00b5."]
     words = packing.WordTokens(None, kept=50)
-    assert words.small and words.parted
+    assert words.small and words.parted and words.joins is not None
+    texts += [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz\u00e9\u00fc\u00df\u00f1", k=draw.randint(1, 30))) for _ in range(200)) for _ in range(20)]
     for at in range(0, len(texts), 64):
         for text, found in zip(texts[at : at + 64], words(texts[at : at + 64])):
             assert found.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)

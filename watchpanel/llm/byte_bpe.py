@@ -58,10 +58,14 @@ class Ranks:
             joins = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
             pairs = {named[x] << 32 | named[y]: (k, named[x + y]) for k, (x, y) in reversed(list(enumerate(joins)))}
             self.words: dict[bytes, int] = ids if model.get("ignore_merges") else {}
+            end = model.get("end_of_word_suffix") or ""
+            letter_of = {b: c for c, b in byte_of.items()}
+            last = [named[letter_of[b] + end] for b in range(256)]
         else:
             with open(path, "rb") as lines:
                 entries = [line.split() for line in lines if line.strip()]
             ids = self.words = {base64.b64decode(token): int(rank) for token, rank in entries}
+            last = [ids[bytes([b])] for b in range(256)]
             pairs = {
                 ids[token[:k]] << 32 | ids[token[k:]]: (i, i)
                 for token, i in ids.items()
@@ -75,6 +79,8 @@ class Ranks:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.of_byte = np.array([ids[bytes([b])] for b in range(256)], dtype=np.int64)
+        # a vocabulary may have tokens of their own for the last byte of a word
+        self.of_last = np.array(last, dtype=np.int64)
         self.order = {key: k for key, (k, _) in pairs.items()}
         self.pair = np.array(sorted(pairs), dtype=np.int64)
         self.pair_order = np.array([self.order[key] for key in self.pair.tolist()], dtype=np.int64)
@@ -97,10 +103,12 @@ class Ranks:
         if not words:
             return found
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ids = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        ids = self.of_byte[raw]
         number = np.arange(len(words))
         rank = np.full(len(ids), _NONE)
         last = np.cumsum(size) - 1
+        ids[last] = self.of_last[raw[last]]
         inner = np.ones(len(ids), dtype=bool)
         inner[last] = False
         at = np.flatnonzero(inner)
@@ -143,6 +151,7 @@ class Ranks:
         if word in self.words:
             return np.uint32(self.words[word]).tobytes()
         start = self.of_byte[np.frombuffer(word, dtype=np.uint8)]
+        start[-1] = self.of_last[word[-1]]
         ids = start.tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))

@@ -8,6 +8,7 @@ are found through a bitset with one bit for each amount of free space.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchpanel.llm.byte_bpe import LONG_BYTES, Ranks
 from watchpanel.llm.workers import handing_back
 from watchpanel.sources.storage import materialize
 
@@ -29,6 +31,18 @@ BLOCK_PIECES = 6000
 KEPT_WORDS = 500_000
 
 
+# a word of small letters: a-z, and U+00DF to U+00FF in UTF-8
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _file(path: str | None) -> str:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return path
+
+
 @cache
 def _tokenizer(path: str | None):
     import os
@@ -36,18 +50,15 @@ def _tokenizer(path: str | None):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("word_bpe_49k.json")
-    return Tokenizer.from_file(path)
+    return Tokenizer.from_file(_file(path))
 
 
 class WordTokens:
     """Token ids of texts for a tokenizer that drops white space and ends every word on its own.
 
     Each distinct word is encoded once and looked up afterwards.  New words are encoded together,
-    with a one-token word (``0``) between them that tells where each ends.  A word of letters with one
+    with a one-token word (``0``) between them that tells where each ends; words of small letters only are
+    merged together by the vocabulary's joins (`byte_bpe`) if that gives the same.  A word of letters with one
     mark of punctuation after it is the word and the mark, and texts of Latin-1 characters are looked up
     in small letters if the tokenizer makes them small itself.
     """
@@ -69,9 +80,22 @@ class WordTokens:
             for p in (bytes([c]) for c in self.PUNCTUATION)
         )
 
+        self.joins = self._joins(path)
+
     def _encode(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4")
 
+    def _joins(self, path: str | None) -> Ranks | None:
+        """The vocabulary's joins, if words of letters are what the tokenizer makes of them."""
+        try:
+            joins = Ranks(_file(path))
+        except (KeyError, TypeError, ValueError):
+            return None  # no byte-level vocabulary
+        vocabulary = (t.removesuffix("</w>") for t in list(self.tokenizer.get_vocab())[::97])
+        samples = {w for t in vocabulary if _LETTERS.fullmatch(w := t.encode())} | {"stra\u00dfe".encode(), "\u00e9t\u00e9\u00ff".encode()}
+        made = joins.merged(list(samples))
+        return joins if all(made[w] == self._encode(w).tobytes() for w in samples) else None
+
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of each of `words`."""
         found: dict[bytes, bytes] = {}
@@ -83,6 +107,10 @@ class WordTokens:
             known = lambda w: found[w] if w in found else self.ids[w]
             found.update([(w, known(stem) + known(w[-1:])) for w, stem in stems.items()])
             return found
+        if self.joins is not None:
+            letters = [w for w in words if len(w) <= LONG_BYTES and _LETTERS.fullmatch(w)]
+            found.update(self.joins.merged(letters))
+            words = words.difference(letters)
         plain = [w for w in words if self.MARK not in w]
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
