@@ -311,6 +311,38 @@ def classes_by_all_pairs(texts):
     return root
 
 
+def test_run_hashes_travel_packed():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    runs = np.unique(rng.integers(0, 1 << 38, 600_000, dtype=np.uint64))
+    whole = np.unique(rng.integers(0, 1 << 64, 50_000, dtype=np.uint64))
+    for hashes, most in ((runs, 3.5), (whole, 7), (runs[:1], 100), (runs[:0], 0)):
+        data = substrings._packed(hashes)
+        assert (substrings._unpacked(data) == hashes).all() and len(data) <= most * len(hashes) + 100
+    keys = np.array([5, -1, 1 << 62, 0])
+    assert (substrings._values(substrings._planes(keys)).view(np.int64) == keys).all()
+
+
+def test_only_blocks_met_again_are_anchors():
+    import numpy as np
+
+    def chunk(texts, ids):
+        return substrings._blocks_in_chunk(texts, np.array(ids), 7, np.uint64(20))
+
+    def text(name, first=0):
+        return " ".join(f"{name}{i}" for i in range(first, first + 40)).encode()
+
+    # a block of one document is met by that document's own runs, which makes it no anchor
+    alone = [chunk([text("a"), text("b")], [1, 2]), chunk([text("c"), b"", None], [3, 4, 5])]
+    assert len(substrings._met_again(*zip(*alone))) == 0
+    inside = [chunk([text("a"), text("a", 5)], [1, 2])]
+    across = [chunk([text("a")], [1]), chunk([text("a", 5)], [2])]
+    assert len(substrings._met_again(*zip(*inside))) == len(substrings._met_again(*zip(*across))) > 4
+    # rows of one key do not remove each other's words
+    assert len(substrings._met_again(*zip(*[chunk([text("a"), text("a", 5)], [1, 1])]))) == 0
+
+
 def test_near_copies_of_odd_rows(spark, given):
     from watchpanel.llm import nearcopies
 
