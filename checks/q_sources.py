@@ -235,9 +235,9 @@ def scan_documents_one_file(spark, sf):
             "title", F.lit("feed").alias("source"), F.lit(1).alias("has_full_text"), "content", "entity",
             F.col("entity").alias("entity_name"), F.lit("c").alias("category_code"), "category_name", F.lit("1").alias("level"),
         )
-        # a small fixture: an incoming year is one file
+        # an incoming year is one file
         named = rows.select(*[F.col(new).alias(old) for old, new in fv.DOCUMENT_COLUMNS.items()])
-        wr.write_csv(named.coalesce(1), f"{base}/announcements_{year}.csv")
+        wr.write_csv_file(named, f"{base}/announcements_{year}.csv")
     df = rd.scan_documents(spark, base, lookback_days=60, **_PERIOD)
     return df.select(
         F.col("id").cast("bigint").alias("id"), F.to_date("publish_date").alias("date"), "entity",

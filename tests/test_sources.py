@@ -148,3 +148,29 @@ def test_label_matrix_of_a_whole_market_plans_fast(spark, tmp_path):
     assert found["000007", "2024-01-01"] == (1, None) and found["000011", "2024-01-02"] == (0, 1.0)
     assert found["000027", "2024-01-03"] == (0, 27 / n) and found["000000", "2024-01-04"] == (0, 1.0)
     assert found["000001", "2024-01-04"] == (1, None)
+
+
+def test_one_csv_file_from_many_tasks(spark):
+    import os
+
+    from watchpanel.sources import readers as rd
+    from watchpanel.sources import writers as wr
+    from watchpanel.sources.storage import scratch_path
+
+    rows = [(str(i), f'a "{i}"\nline, two' * (i % 5) or None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id string, `a ""text""` string".replace('""', "'")).repartition(7)
+    path = scratch_path(spark, "one") + "/all.csv"
+    wr.write_csv_file(df, path)
+    assert os.path.isfile(path.removeprefix("file:"))
+    for by_ranges in (False, True):
+        back = rd.read_csv(spark, path, by_ranges=by_ranges)
+        assert back.columns == df.columns and sorted(map(tuple, back.collect())) == sorted(rows)
+    stages = spark.sparkContext.statusTracker()
+    # no stage of the write has all the rows in one task
+    spark.sparkContext.setJobGroup("one-file", "one-file")
+    wr.write_csv_file(df, scratch_path(spark, "one") + "/again.csv")
+    ran = [stages.getStageInfo(s) for j in stages.getJobIdsForGroup("one-file") for s in stages.getJobInfo(j).stageIds]
+    assert 7 in [s.numTasks for s in ran if s]
+    empty = scratch_path(spark, "one") + "/none.csv"
+    wr.write_csv_file(df.limit(0), empty)
+    assert rd.read_csv(spark, empty).collect() == []

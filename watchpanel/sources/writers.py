@@ -7,12 +7,18 @@ the files put one after another are the document, and no task holds more than it
 
 from __future__ import annotations
 
+import csv
+import io
+import os
+import shutil
 from collections.abc import Mapping, Sequence
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchpanel import fixed_values as fv
+from watchpanel.sources.storage import scratch_path
 
 
 def write_day_objects(days: DataFrame, path: str) -> None:
@@ -69,6 +75,40 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
     writer.csv(path)
 
 
+def write_csv_file(df: DataFrame, path: str) -> None:
+    """CSV as of `write_csv` in one file of any size: each task puts its rows at their place in the file.
+
+    For a `file:` path in a folder that driver and executors share.  Other file systems cannot be written
+    at a place; there one task writes the file, in a folder `path`.
+    """
+    if urlparse(path).scheme != "file":
+        write_csv(df.coalesce(1), path)
+        return
+    spark = df.sparkSession
+    parts, target = scratch_path(spark, "csv-parts"), urlparse(path).path
+    df.write.option("escape", '"').csv(parts)
+    # a row for each task of the write; the contents are not read
+    listed = spark.read.format("binaryFile").load(parts).select("path", "length").orderBy("path").collect()
+    header = io.StringIO()
+    csv.writer(header, lineterminator="\n").writerow(df.columns)
+    places, end = [], len(header.getvalue().encode())
+    for part in listed:
+        places.append((part["path"].removeprefix("file:"), end))
+        end += part["length"]
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    with open(target, "wb") as out:
+        out.write(header.getvalue().encode())
+        out.truncate(end)
+
+    def put(place: tuple[str, int]) -> None:
+        with open(place[0], "rb") as rows, open(target, "r+b") as out:
+            out.seek(place[1])
+            shutil.copyfileobj(rows, out, 1 << 20)
+
+    if places:
+        spark.sparkContext.parallelize(places, len(places)).foreach(put)
+
+
 def write_dim_scores(df: DataFrame, path: str, start, end, file_format: str = "csv") -> None:
     """Four-dimension panel of the output period, by month."""
     rows = (
