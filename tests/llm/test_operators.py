@@ -363,6 +363,30 @@ def test_near_copies_of_odd_rows(spark, given):
     assert kept.count(None) == 1
 
 
+def test_searches_together(spark):
+    def told(pairs):
+        return lambda docs, key, text: docs.join(spark.createDataFrame(pairs, "k long, component_id long"), docs[key] == F.col("k")).select(key, "component_id")
+
+    docs = spark.createDataFrame([(i, "") for i in range(1, 7)], "id long, body string")
+    near = simhash.linked_by(
+        told([(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6)]), told([(1, 1), (2, 2), (3, 2), (4, 4), (5, 4), (6, 6)])
+    )
+    assert sorted(map(tuple, near(docs, "id", "body").collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)]
+
+
+def test_pipeline_links_by_fingerprints(spark):
+    import corpus_pipeline
+
+    # a fingerprint counts repeats, sets of shingles do not
+    chorus = "tick tock tack " * 300
+    texts = {i: chorus + " ".join(f"{c}{n}" for n in range(20)) for i, c in ((1, "a"), (2, "b"))}
+    texts[3] = "another text of its own"
+    assert classes_by_all_pairs(texts) == {1: 1, 2: 2, 3: 3}
+    assert len({simhash.fingerprint(t) for t in texts.values()}) == 2
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 3]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

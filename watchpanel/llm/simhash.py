@@ -16,7 +16,7 @@ have such a point in common: rows stay in proportion to fingerprints, and no lin
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -136,6 +136,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
+def linked_by(
+    *searches: Callable[[DataFrame, str, str], DataFrame],
+) -> Callable[[DataFrame, str, str], DataFrame]:
+    """A search for `one_per_component`: components of the links of all `searches` together; keys are not null."""
+
+    def near(docs: DataFrame, key: str, text: str) -> DataFrame:
+        found = [
+            materialize(search(docs, key, text).select(F.col(key).alias("_id"), "component_id")) for search in searches
+        ]
+        joined = components(reduce(DataFrame.unionByName, found), "_id", "component_id")
+        return found[0].join(joined, F.col("_id") == F.col("node"), "left").select(
+            F.col("_id").alias(key), F.coalesce("component", "_id").alias("component_id")
+        )
+
+    return near
+
+
 def one_per_component(
     docs: DataFrame,
     key: str = "doc_id",
