@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchpanel.sources.storage import materialize
+from watchpanel.sources.storage import by_rows, materialize, parts_for
 
 
-def _stars(links: DataFrame, larger: bool) -> DataFrame:
+def _stars(links: DataFrame, larger: bool, parts: int) -> DataFrame:
     """One contraction: links of a node are moved to the smallest node among its neighbours.
 
     `larger`: neighbours above the node move, seen from both ends; otherwise the node and its
-    neighbours below it move.
+    neighbours below it move.  The steps have no more than `parts` partitions.
     """
     if larger:
         both = links.unionByName(links.select(F.col("high").alias("low"), F.col("low").alias("high")))
@@ -28,7 +28,7 @@ def _stars(links: DataFrame, larger: bool) -> DataFrame:
             .select(F.col("low").alias("high"), F.col("least").alias("low"))
             .unionByName(least.select("high", F.col("least").alias("low")))
         )
-    return moved.where("low < high").select("low", "high").distinct()
+    return moved.where("low < high").select("low", "high").coalesce(parts).distinct().coalesce(parts)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -52,8 +52,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if (seen.n, seen.h) == mark or not seen.n:
             break
         mark = (seen.n, seen.h)
-        now = materialize(_stars(_stars(now, larger=True), larger=False))
-    top = now.select(F.col("low").alias("node")).distinct()
+        # a few links take a few tasks, whatever the number of shuffle partitions
+        now, parts = by_rows(now, seen.n), parts_for(seen.n)
+        now = materialize(_stars(_stars(now, larger=True, parts=parts), larger=False, parts=parts))
+    parts = parts_for(seen.n)
+    top = now.select(F.col("low").alias("node")).distinct().coalesce(parts)
     return now.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(
         top.select("node", F.col("node").alias("component"))
     )
