@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 from dataclasses import replace
 
 import pytest
@@ -72,6 +73,28 @@ def test_training_beats_the_mean_and_repeats(spark, inputs):
     assert rows.where("y_label_empty = 1 and predicted_blacklist = 1").count() == 0
 
 
+def test_both_fits_run_side_by_side(spark, inputs, monkeypatch):
+    """Neither fit waits for the other, and each has its own rows."""
+    scores, labels = inputs
+    frame = mt.feature_frame(scores, labels, MODEL)
+    params = replace(MODEL, max_iter=2)
+    both, fit, rows = threading.Barrier(2), md.fit_regressor, []
+
+    def met(df, *args):
+        both.wait(60)
+        rows.append(df.count())
+        return fit(df, *args)
+
+    monkeypatch.setattr(md, "fit_regressor", met)
+    model, metrics = md.train(frame, ft.feature_columns(), params)
+    counted = metrics.first()
+    assert max(rows) == counted.sampled_rows > min(rows) and counted.validation_mae <= counted.validation_rmse
+    labelled = frame.where("y_label_numeric_available = 1")
+    alone = fit(md.balanced_sample(labelled, params.zero_ratio, params.seed), ft.feature_columns(), params)
+    total = lambda m: md.predict(m, frame).agg(F.sum("predicted_label_value")).first()[0]
+    assert total(model) == pytest.approx(total(alone))
+
+
 def test_feature_frame(spark, inputs):
     scores, _ = inputs
     rows = ft.with_features(scores).where("entity = '000007'").orderBy("date").collect()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -107,14 +109,21 @@ def train(
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit a validation model and the final model on labelled rows.
 
-    Returns the final model and one row of validation errors and row counts.
+    Returns the final model and one row of validation errors and row counts.  The fits need nothing of
+    each other and run side by side: a level of a tree is a short job, and while one fit waits for its
+    driver or its last task, the other has the cores.
     """
     labelled = df.where(F.col("y_label_numeric_available") == 1)
     early, late = time_split(labelled, params.validation_start, params.seed)
-    check = fit_regressor(balanced_sample(early, params.zero_ratio, params.seed), features, params)
+
+    def fitted(rows: DataFrame) -> tuple[DataFrame, PipelineModel]:
+        sample = balanced_sample(rows, params.zero_ratio, params.seed)
+        return sample, fit_regressor(sample, features, params)
+
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        running = [pool.submit(inheritable_thread_target(df.sparkSession)(fitted), rows) for rows in (early, labelled)]
+        (_, check), (sample, final) = [r.result() for r in running]
     errors = regression_metrics(predict(check, late, "_predicted"), TARGET, "_predicted")
-    sample = balanced_sample(labelled, params.zero_ratio, params.seed)
-    final = fit_regressor(sample, features, params)
     counts = labelled.agg(
         F.count_if(F.col(TARGET) > 0).alias("positive_rows"),
         F.count_if(F.col(TARGET) == 0).alias("zero_rows"),
