@@ -441,6 +441,35 @@ def test_near_copies_against_brute_force(spark, leaders):
         same([r.doc_id for r in kept], [i for i, least in want if i == least])
 
 
+def test_near_copies_compare_few_sets_of_a_large_group(spark, monkeypatch):
+    import random
+
+    from watchpanel.llm import nearcopies
+
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(20_000)}" for _ in range(150)]
+    texts = {}
+    for i in range(300):
+        copy = list(base)
+        for at in draw.sample(range(150), draw.randrange(1, 7)):
+            copy[at] = f"new{draw.randrange(20_000)}"
+        texts[i] = " ".join(copy)
+    compared, stored = [], nearcopies.materialize
+
+    def counting(df):
+        if df.columns == ["home", "a", "b"]:
+            compared.append((out := stored(df)).count())
+            return out
+        return stored(df)
+
+    monkeypatch.setattr(nearcopies, "materialize", counting)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = nearcopies.near_copies(docs, "doc_id", "text").collect()
+    same([tuple(r) for r in found], list(classes_by_all_pairs(texts).items()))
+    # without likely pairs first 5,420 of the 44,850 pairs were compared
+    assert sum(compared) < 3000
+
+
 def test_masks_leave_a_place_for_each_pattern():
     from itertools import combinations
 
