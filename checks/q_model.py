@@ -357,7 +357,8 @@ def stored_evaluation(spark, sf):
     from watchpanel.sources import readers as rd
 
     path = scratch_path(spark, "evaluated")
-    wr.write_document(wl.daily_arrays(wl.ranked(alive_days(spark, sf)), START, END), "entities", path)
+    alive = pn.in_range(alive_days(spark, sf), START, END)
+    wr.write_document(wl.daily_arrays(wl.ranked(alive), START, END), "entities", path)
     listed = rd.scan_daily_watchlist(spark, path, START, END, by_line=True)
     truth = rd.truth_rows(labels(spark, sf))
     params = replace(MODEL, market_n=5400, horizon_days=20)

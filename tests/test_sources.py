@@ -117,6 +117,44 @@ def test_days_in_parts_are_one_value_of_the_document(spark, tmp_path):
     assert {r.entity for r in rows} == {"a", "b"}
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_days_in_parts_are_read_back_whole(spark, tmp_path, files):
+    from watchpanel.operators import watchlist as wl
+
+    listed = spark.createDataFrame(
+        [(day(d), i + 1, f"{d}{i:05d}") for d, n in enumerate((7, 0, 1, 4, 5, 2)) for i in range(n)], "date date, rank int, entity string"
+    )
+    want = sorted((r.date, r.entity) for r in listed.collect())
+    path = str(tmp_path / "doc")
+    wr.write_document(wl.daily_arrays(listed, D, day(6), part_size=2), "entities", path)
+    if files == 1:
+        lines = [line for f in sorted((tmp_path / "doc").glob("part-*")) for line in f.read_text().splitlines()]
+        path = str(tmp_path / "one.json")
+        (tmp_path / "one.json").write_text("\n".join(lines) + "\n")
+    rows = rd.scan_daily_watchlist(spark, path, D, day(6), by_line=True).collect()
+    assert sorted((r.date, r.entity) for r in rows) == want
+    texts = ("", 'a "{[,]}" \\ of', "]},", "[]", "x],")
+    told = listed.select(
+        "date", "rank", "entity", F.col("rank").cast("bigint").alias("risk_score"), F.lit(0).alias("is_st"),
+        F.element_at(F.array(*map(F.lit, texts)), F.col("rank") % 5 + 1).alias("ann_daily"),
+    )
+    reasons = wl.daily_arrays(told, D, day(6), element=wl.reason_struct(), part_size=2)
+    wr.write_document(reasons, "entities", str(tmp_path / "reasons"))
+    rows = rd.scan_reasoned_watchlist(spark, str(tmp_path / "reasons"), by_line=True).collect()
+    assert sorted(tuple(r) for r in rows) == sorted(tuple(r) for r in told.collect())
+
+
+@pytest.mark.parametrize("text", [
+    '{"2024-01-01":["a"],\n "2024-01-02":["b" "c"]}\n',
+    '{"2024-01-01":["a",\n "2024-01-02":["b"]}\n',
+    '{"2024-01-01":["a"],\n"b"]}\n',
+])
+def test_broken_document_is_no_result(spark, tmp_path, text):
+    (tmp_path / "doc.json").write_text(text)
+    with pytest.raises(Exception, match="no part of a document|a part of a day is missing"):
+        rd.scan_daily_watchlist(spark, str(tmp_path / "doc.json"), D, day(9), by_line=True).collect()
+
+
 def test_peek_nonzero(spark):
     df = spark.createDataFrame(
         [("b", D, 0.0, 1.0, 0.0, 0.0), ("a", D, 0.0, 0.0, 0.0, 0.0), ("a", day(1), 0.0, 0.0, 0.0, 5.0)],

@@ -66,6 +66,13 @@ def test_arrays_cover_empty_days_and_parts(spark):
     ]
 
 
+def test_rows_outside_the_days_of_a_document_are_an_error(spark):
+    ranked = wl.ranked(scores(spark, [("a", 1, 90, 0), ("b", 5, 90, 0)]))
+    for rows, last in ((ranked, day(2)), (ranked.withColumn("rank", F.lit(None).cast("int")), day(9))):
+        with pytest.raises(Exception, match="not a ranked row"):
+            wl.daily_arrays(rows, day(0), last).collect()
+
+
 def test_positions_and_running_totals(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 5).alias("w"))
     for parts in (None, 1, 7):

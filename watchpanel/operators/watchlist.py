@@ -87,11 +87,16 @@ def daily_arrays(
     """`date, part, entities`: the list of each day, an empty one for days without rows.
 
     A day longer than `part_size` continues in further parts, so that no array grows without
-    bound; parts in order make the list.
+    bound; parts in order make the list.  A row of another day or without a rank is an error: left out,
+    its day would look like one without it.
     """
     item = F.col("entity") if element is None else element
+    placed = F.col("date").between(F.lit(start), F.lit(end)) & (F.col("rank") >= 1)
+    part = F.when(placed, F.floor((F.col("rank") - 1) / part_size).cast("int")).otherwise(
+        F.raise_error(F.concat_ws(" ", F.lit(f"not a ranked row of {start} to {end}: date"), "date", F.lit("rank"), "rank"))
+    )
     parts = (
-        ranked_rows.withColumn("part", F.floor((F.col("rank") - 1) / part_size).cast("int"))
+        ranked_rows.withColumn("part", part)
         .groupBy("date", "part")
         .agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("_items"))
         .select("date", "part", F.transform("_items", lambda x: x["item"]).alias("entities"))

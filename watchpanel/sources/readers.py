@@ -11,7 +11,7 @@ import csv
 import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,7 @@ from watchpanel.functions.columns import (
 )
 from watchpanel.operators.panel import distinct_keys, in_range, label_cells
 from watchpanel.sources.ranges import json_members, read_csv_ranges
+from watchpanel.sources.storage import materialize
 
 
 def _hadoop_exists(spark: SparkSession, path: str) -> bool:
@@ -201,19 +202,62 @@ def truth_rows(labels: DataFrame) -> DataFrame:
     )
 
 
+def _or_fail(parsed: Column, text: str) -> Column:
+    """A parsed value; text that cannot be read is an error, and never a day without entries."""
+    return F.coalesce(parsed, F.raise_error(F.concat(F.lit("no part of a document: "), F.substring(text, 1, 100))))
+
+
+def _days_in_parts(pieces: DataFrame) -> DataFrame:
+    """`_day, _first, _items` of the lines of days in several parts, in the order of their lines.
+
+    Only the first line of a day tells it.  The lines stay where they are; one short row for each is put in order.
+    """
+    order = Window.orderBy(F.length("file"), "file", "block", "line")
+    fits = (F.lag("closes", 1, True).over(order) == F.col("opens")) & (F.lead("opens", 1, True).over(order) == F.col("closes"))
+    told = pieces.select("file", "block", "line", "opens", "closes", "day", F.size("items").alias("n")).select(
+        "file", "block", "line", "opens", "n", fits.alias("fits"),
+        F.last(F.when(F.col("opens"), F.col("day")), ignorenulls=True).over(order).alias("_day"),
+        F.sum("n").over(order).alias("total"),
+    )
+    whole = F.col("fits") | F.raise_error(F.lit("a part of a day is missing")).isNotNull()
+    before = F.col("total") - F.col("n")
+    begun = F.last(F.when(F.col("opens"), before), ignorenulls=True).over(order)
+    told = told.select("file", "block", "line", "_day", (before - begun).alias("_first"), "fits").where(whole)
+    return pieces.join(told, ["file", "block", "line"]).select("_day", "_first", F.col("items").alias("_items"))
+
+
+def _written_days(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """`_day, _first, _items` of a document as of `write_document`: a line per day, or per part of a day."""
+    key, end = r'^[\s{]*"([^"]*)"\s*:\s*\[', r"\][\s,}]*$"
+    value = F.col("value")
+    lines = spark.read.text(path).select(
+        value, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), value.rlike(key).alias("opens"), value.rlike(end).alias("closes"),
+    ).where(value.rlike(r"[^\s{},]"))
+    whole = F.col("opens") & F.col("closes")
+    pair = F.regexp_replace(F.regexp_replace(value, r"^[\s{]+", ""), end, "]")
+    parsed = _or_fail(F.from_json(F.concat(F.lit("{"), pair, F.lit("}")), f"map<string,{kind}>"), "value")
+    days = lines.where(whole).select(F.explode(parsed).alias("_day", "_items")).select("_day", F.lit(0).cast("bigint").alias("_first"), "_items")
+    body = F.regexp_replace(F.regexp_replace(value, key, ""), F.when(F.col("closes"), F.lit(end)).otherwise(F.lit(r"\s*,\s*$")), F.lit(""))
+    items = _or_fail(F.from_json(F.concat(F.lit("["), body, F.lit("]")), kind), "value")
+    pieces = materialize(
+        lines.where(~whole).select("file", "block", "line", "opens", "closes", F.regexp_extract(value, key, 1).alias("day"), items.alias("items"))
+    )
+    return days if pieces.isEmpty() else days.unionByName(_days_in_parts(pieces))
+
+
 def _document_days(spark: SparkSession, path: str, kind: str, by_line: bool) -> DataFrame:
-    """JSON documents `{day: list}` as one row per day.
+    """JSON documents `{day: list}` as `_day, _first, _items`: entries of a day, and how many are before them.
 
-    `by_line` reads the form this package writes (a line per day).  Otherwise each file is one document
-    in any layout, cut at its top-level keys by byte ranges; a day's list is one value.
+    `by_line` reads the form this package writes (a line per day, or per part of a long day).  Otherwise
+    each file is one document in any layout, cut at its top-level keys by byte ranges; a day's list is one
+    value.  Text that cannot be read is an error.
     """
     if by_line:
-        pair = F.regexp_replace(F.regexp_replace("value", r"^[\s{]+", ""), r"\][\s,}]*$", "]")
-        days = spark.read.text(path).select(F.concat(F.lit("{"), pair, F.lit("}")).alias("value"))
-    else:
-        days = json_members(spark, path).select(F.concat(F.lit("{"), "member", F.lit("}")).alias("value"))
-    parsed = F.from_json("value", f"map<string,{kind}>")
-    return days.select(F.explode(parsed).alias("_day", "_items"))
+        return _written_days(spark, path, kind)
+    days = json_members(spark, path).select(F.concat(F.lit("{"), "member", F.lit("}")).alias("value"))
+    parsed = _or_fail(F.from_json("value", f"map<string,{kind}>"), "value")
+    return days.select(F.explode(parsed).alias("_day", "_items")).select("_day", F.lit(0).cast("bigint").alias("_first"), "_items")
 
 
 def scan_daily_watchlist(
@@ -233,10 +277,10 @@ _REASON = "array<struct<stock_code:string,risk_score:bigint,is_st:int,ann_daily:
 def scan_reasoned_watchlist(spark: SparkSession, path: str, *, by_line: bool = False) -> DataFrame:
     """`date, rank, entity, risk_score, is_st, ann_daily` of a reasoned watchlist document."""
     days = _document_days(spark, path, _REASON, by_line)
-    rows = days.select(parse_mixed_date("_day").alias("date"), F.posexplode("_items").alias("_i", "_r"))
+    rows = days.select(parse_mixed_date("_day").alias("date"), "_first", F.posexplode("_items").alias("_i", "_r"))
     return rows.select(
         "date",
-        (F.col("_i") + 1).alias("rank"),
+        (F.col("_first") + F.col("_i") + 1).cast("int").alias("rank"),
         F.col("_r.stock_code").alias("entity"),
         "_r.risk_score",
         "_r.is_st",
