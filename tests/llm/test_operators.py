@@ -116,6 +116,41 @@ def test_links_with_large_keys(spark):
         assert found.count() == len(near) and found.select("component").distinct().count() == 1
 
 
+def test_few_links_are_contracted_without_shuffles(spark, monkeypatch):
+    import random
+
+    from watchpanel.llm import components as graph
+
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(900 + i, 901 + i) for i in range(40)] + [(None, 3), (4, 4)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    links = spark.createDataFrame(pairs, "a long, b long")
+    plans = []
+
+    def noted(df, store=graph.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(graph, "materialize", noted)
+    for most, shuffled in ((graph.LINKS_PER_PART, 0), (50, 1)):
+        monkeypatch.setattr(graph, "LINKS_PER_PART", most)
+        plans.clear()
+        found = graph.components(links, "a", "b").collect()
+        assert {r.node: r.component for r in found} == {x: top(x) for x in root} and len(found) == len(root)
+        # the first plan makes the links distinct
+        assert len(plans) > 2 and all(("Exchange" in plan) == bool(shuffled) for plan in plans[1:])
+
+
 def test_golay_pigeonhole():
     import numpy as np
 
